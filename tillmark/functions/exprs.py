@@ -177,3 +177,8 @@ def pack_unit(text: ColumnOrName) -> Column:
 def title_case(text: ColumnOrName) -> Column:
     """``still-water`` becomes ``Still Water``."""
     return F.initcap(F.regexp_replace(col(text), "-", " "))
+
+
+def seeded_order(seed: int, *keys: ColumnOrName) -> Column:
+    """A pseudo-random order that any engine or rerun reproduces: the MD5 of seed and key."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))

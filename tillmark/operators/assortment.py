@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.functions.exprs import bucketize, growth, safe_div
+from tillmark.functions.exprs import bucketize, growth, safe_div, seeded_order
 from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.ordered import avg_rank, pareto, pareto_cut, percentiles, running, upper_median
 from tillmark.operators.series import avg_growth, blended_growth, top_n
@@ -279,7 +279,7 @@ def compress_attributes(df: DataFrame, columns: Sequence[str], metric: str, cut:
 
 def stratified_sample(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """A share of each stratum, at least one row, chosen by a seeded hash so that reruns agree."""
-    order = [F.xxhash64(F.lit(seed), *key), *[F.col(k) for k in key]]
+    order = [seeded_order(seed, *key), *[F.col(k) for k in key]]
     ranked = running(df, order, by, position="__rn")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     chosen = F.col("__rn") <= F.greatest(F.lit(1), F.round(F.col("__n") * fraction))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +105,7 @@ def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds
     grid = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, a, b in maps])
     centred = placed.withColumn("__z", F.col("__x") - F.lit(mean))
     spread = centred.select("__p", "__z", F.explode(grid).alias("__g")).select("__p", "__z", "__g.*")
-    in_test = (F.col("a").cast("decimal(38,0)") * F.col("__p") + F.col("b")) % F.lit(n) < size
+    in_test = (F.col("a") * F.col("__p") + F.col("b")) % F.lit(n) < size
     part = F.when(in_test, F.lit("test")).otherwise(F.lit("control"))
     moments = spread.groupBy("seed").agg(*[
         f for name, test in (("t", in_test), ("c", ~in_test)) for f in (
@@ -127,22 +129,20 @@ def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds
     if not best["p_value"] > level:
         raise ValueError(f"no balanced split: best p-value {best['p_value']:.4f}")
     a, b = next((a, b) for s, a, b in maps if s == best["seed"])
-    moved = (F.lit(a).cast("decimal(38,0)") * F.col("__p") + F.lit(b)) % F.lit(n)
+    moved = (F.lit(a).cast("long") * F.col("__p") + F.lit(b)) % F.lit(n)
     split = placed.select(key, F.when(moved < size, F.lit("test")).otherwise(F.lit("control")).alias("campaign_set"))
     return split, report
 
 
 def _permutations(n: int, seeds: int) -> list[tuple[int, int, int]]:
-    """Multiplier prime to ``n`` and offset, per seed."""
-    import random
-    from math import gcd
-
+    """Multiplier prime to ``n`` and offset, per seed; the product with a position stays within a long."""
+    top = min(n, 10**9)
     out = []
     for s in range(seeds):
         rng = random.Random(s)
-        a = rng.randrange(1, n)
+        a = rng.randrange(1, top)
         while gcd(a, n) != 1:
-            a = rng.randrange(1, n)
+            a = rng.randrange(1, top)
         out.append((s, a, rng.randrange(n)))
     return out
 
@@ -176,12 +176,12 @@ def _levene(rows: DataFrame) -> DataFrame:
     medians = percentiles(rows, "__z", {"__med": 0.5}, ["seed", "part"])
     dev = join_keys(rows, medians, ["seed", "part"]).withColumn("__d", F.abs(F.col("__z") - F.col("__med")))
     parts = dev.groupBy("seed", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("m"), F.var_samp("__d").alias("v"))
-    grand = with_group(parts, ["seed"], [F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("M")])
-    between = F.sum(F.col("n") * (F.col("m") - F.col("M")) * (F.col("m") - F.col("M")))
+    grand = with_group(parts, ["seed"], [F.sum("n").alias("__all"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__mean")])
+    between = F.sum(F.col("n") * (F.col("m") - F.col("__mean")) * (F.col("m") - F.col("__mean")))
     within = F.sum((F.col("n") - 1) * F.col("v"))
-    w = grand.groupBy("seed").agg(between.alias("b"), within.alias("w"), F.max("N").alias("N"))
-    stat = F.sqrt(safe_div(F.col("b") * (F.col("N") - 2), "w"))
-    return w.select("seed", t_test_p(stat, (F.col("N") - 2).cast("double")).alias("p_levene"))
+    w = grand.groupBy("seed").agg(between.alias("b"), within.alias("w"), F.max("__all").alias("__all"))
+    stat = F.sqrt(safe_div(F.col("b") * (F.col("__all") - 2), "w"))
+    return w.select("seed", t_test_p(stat, (F.col("__all") - 2).cast("double")).alias("p_levene"))
 
 
 def assert_members(df: DataFrame, profile: DataFrame, key: str) -> DataFrame:

@@ -173,7 +173,7 @@ def _distances(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray
 
 
 def impute_elasticity(
-    skus: DataFrame, by: Sequence[str], sku: str, series_length: int, block: int = 500, nearest: int = 3
+    skus: DataFrame, by: Sequence[str], sku: str, block: int = 500, nearest: int = 3
 ) -> DataFrame:
     """Elasticity of SKUs without an acceptable model, from the most similar SKUs that have one.
 
@@ -198,6 +198,7 @@ def impute_elasticity(
     left = sized.filter("acceptable = 0").withColumn("__ub", numbered("__nu")).withColumn("__mb", others("__nm"))
     right = sized.filter("acceptable = 1").withColumn("__mb", numbered("__nm")).withColumn("__ub", others("__nu"))
     left, right = left.drop("__nm", "__nu", "elasticity"), right.drop("__nm", "__nu", "__share")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides stem from one scan
     keys = [*by, "__ub", "__mb"]
     group_fields = [base.schema[c] for c in by]
     parts = ("ordinal", "correlation", "attribute")

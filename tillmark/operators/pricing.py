@@ -65,7 +65,7 @@ def base_price_discounts(
     )
     out = join_keys(months, base, [*keys, "__month"], "inner").withColumn("avg_price", safe_div("sales", "quantity"))
     gap = safe_div(F.col("base_price") - F.col("avg_price"), "base_price")
-    flag = (gap >= discount_from).cast("int")
+    flag = F.coalesce(gap >= discount_from, F.lit(False)).cast("int")
     amount = F.when(flag == 1, (F.col("base_price") - F.col("avg_price")) * F.col("quantity")).otherwise(0.0)
     out = out.select(
         *keys,
@@ -74,7 +74,7 @@ def base_price_discounts(
         "quantity",
         "avg_price",
         "base_price",
-        (-gap >= increase_from).cast("int").alias("price_increase_flag"),
+        F.coalesce(-gap >= increase_from, F.lit(False)).cast("int").alias("price_increase_flag"),
         flag.alias("discount_flag"),
         amount.alias("discount_amount"),
     )

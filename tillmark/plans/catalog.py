@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillmark.operators.metrics import share_of
-from tillmark.plans import core, growth, people, ranging  # noqa: F401
+from tillmark.plans import core, growth, outreach, people, prices, ranging  # noqa: F401
 from tillmark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -24,9 +24,9 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
     For left, inner, semi and anti joins. Right columns other than the keys are added.
     """
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+    renamed = right.select(*[F.col(k).alias(f"__right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = all_of([F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def with_total(df: DataFrame, totals: Sequence[Column]) -> DataFrame:
@@ -120,16 +120,16 @@ def range_join(
     right_day = F.datediff(F.col(right_date), origin)
     a = left.withColumn("__stretch", stretch(F.datediff(F.col(left_date), origin)))
     b = right.select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
+        *[F.col(k).alias(f"__right_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
         F.explode(F.sequence(stretch(right_day + low), stretch(right_day + high))).alias("__right_stretch"),
     )
     gap = F.datediff(F.col(left_date), F.col(right_date))
     condition = all_of(
-        [F.col(k) == F.col(f"__{k}") for k in keys]
+        [F.col(k) == F.col(f"__right_{k}") for k in keys]
         + [F.col("__stretch") == F.col("__right_stretch"), gap.between(low, high)]
     )
-    return a.join(b, condition).drop("__stretch", "__right_stretch", *[f"__{k}" for k in keys])
+    return a.join(b, condition).drop("__stretch", "__right_stretch", *[f"__right_{k}" for k in keys])
 
 
 def after_first(df: DataFrame, first: DataFrame, keys: Sequence[str], day: str, first_day: str) -> DataFrame:

@@ -142,10 +142,10 @@ def gp_mismatch(sales: DataFrame, gp: DataFrame, keys: Sequence[str], percent: s
     """Keys where profit exceeds sales, and keys known to one source only."""
     left = sales.select(*keys, F.lit(1).alias("__s")).distinct()
     right = gp.groupBy(*keys).agg(F.max(percent).alias(percent), F.max(F.lit(1)).alias("__g"))
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], percent, "__g")
+    renamed = right.select(*[F.col(k).alias(f"__right_{k}") for k in keys], percent, "__g")
     cond = None
     for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        test = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
         cond = test if cond is None else cond & test
     joined = left.join(renamed, cond, "full")
     issue = (
@@ -153,6 +153,6 @@ def gp_mismatch(sales: DataFrame, gp: DataFrame, keys: Sequence[str], percent: s
         .when(F.col("__s").isNull(), F.lit("no sales"))
         .when(F.col(percent) > 100, F.lit("profit above sales"))
     )
-    return joined.select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], percent, issue.alias("issue")).filter(
+    return joined.select(*[F.coalesce(k, f"__right_{k}").alias(k) for k in keys], percent, issue.alias("issue")).filter(
         F.col("issue").isNotNull()
     )

@@ -12,6 +12,7 @@ from tillmark.functions.exprs import bucketize, round_to, safe_div, seeded_order
 from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.metrics import share_of
 from tillmark.operators.ordered import pareto, percentiles
+from tillmark.session import stage
 
 # Discount bands, right-closed and contiguous.
 DISCOUNT_EDGES = (0.0, 0.05, 0.10, 0.20, 1.0)
@@ -35,15 +36,20 @@ def base_price_discounts(
     anything is joined; a price point is then sent to the at most four months it can bear on, so the
     comparison is an equi-join and not one over date ranges.
     """
-    lines = tx.withColumn("__month", month_number(day))
-    points = (
-        lines.groupBy(*keys, "__month", price)
-        .agg(F.countDistinct("transaction_id").alias("__n"), F.min(day).alias("__seen"))
-        .groupBy(*keys, "__month", round_to(price, step).alias("__price"))
-        .agg(F.sum("__n").alias("__n"), F.min("__seen").alias("__seen"))
+    # one pass over the lines: price points and months both come from these cells
+    cells = stage(
+        tx.withColumn("__month", month_number(day)).groupBy(*keys, "__month", price).agg(
+            F.countDistinct("transaction_id").alias("__n"),
+            F.min(day).alias("__seen"),
+            F.sum("amount").alias("sales"),
+            F.sum("quantity").alias("quantity"),
+        )
+    )
+    points = cells.groupBy(*keys, "__month", round_to(price, step).alias("__price")).agg(
+        F.sum("__n").alias("__n"), F.min("__seen").alias("__seen")
     )
-    months = lines.groupBy(*keys, "__month").agg(
-        F.sum("amount").alias("sales"), F.sum("quantity").alias("quantity"), F.min(day).alias("__first")
+    months = cells.groupBy(*keys, "__month").agg(
+        F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"), F.min("__seen").alias("__first")
     )
     reach = F.sequence(month_number("__seen"), month_number(F.date_add("__seen", days)))
     sent = points.select(*keys, "__price", "__n", "__seen", F.explode(reach).alias("__month"))

@@ -15,22 +15,45 @@ from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import map_values
 from tillmark.operators.joins import star
-from tillmark.operators.metrics import valid_sales
+from tillmark.operators.metrics import SALE_TYPES, valid_sales
+from tillmark.session import spread
 
 # Return flag to transaction type.
 TRANSACTION_TYPES = {"N": "SALE", "A": "SELL_MEDIA", "R": "RETURN"}
 
 
+# Declared, so that building a query opens no file.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def whole(value):
+    """Nearest whole number of a positive value; ``round`` on doubles goes through decimals and is slower."""
+    return F.floor(value + 0.5).cast("double")
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Receipt lines without the receipt header."""
-    gross = F.round(F.col("l_extendedprice") * 100)
-    percent = F.round(F.col("l_discount") * 100)
-    amount = F.round(gross * (F.lit(100.0) - percent) / 100)
-    return table(spark, d, "lineitem").select(
+def lines(spark: SparkSession, d: str, flags: tuple[str, ...] = tuple(TRANSACTION_TYPES)) -> DataFrame:
+    """Receipt lines without the receipt header; the flags wanted are filtered at the scan."""
+    gross = whole(F.col("l_extendedprice") * 100)
+    percent = whole(F.col("l_discount") * 100)
+    amount = whole(gross * (F.lit(100.0) - percent) / 100)
+    raw = table(spark, d, "lineitem").filter(F.col("l_returnflag").isin(*flags))
+    return spread(raw, "l_orderkey").select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("store_id"),
@@ -49,7 +72,7 @@ def receipts(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("business_day"),
         F.col("o_orderpriority").alias("priority"),
-        F.round(F.col("o_totalprice") * 100).alias("billed_amount"),
+        whole(F.col("o_totalprice") * 100).alias("billed_amount"),
     )
 
 
@@ -59,7 +82,8 @@ def all_transactions(spark: SparkSession, d: str) -> DataFrame:
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     """Valid sales with their header. Filtered before the join, so the filter reaches the scan."""
-    return valid_sales(lines(spark, d)).join(receipts(spark, d), "transaction_id")
+    sold = tuple(f for f, t in TRANSACTION_TYPES.items() if t in SALE_TYPES)
+    return valid_sales(lines(spark, d, sold)).join(receipts(spark, d), "transaction_id")
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +136,14 @@ def segment_sales(spark: SparkSession, d: str) -> DataFrame:
 CTES = """
 lines AS (
   SELECT l_orderkey AS transaction_id, l_partkey AS product_id, l_suppkey AS store_id, l_quantity AS quantity,
-         round(l_extendedprice * 100) AS gross_amount,
-         round(round(l_extendedprice * 100) * (100.0 - round(l_discount * 100)) / 100) AS amount,
-         round(l_discount * 100) AS discount_percent,
+         floor(l_extendedprice * 100 + 0.5) AS gross_amount,
+         floor(floor(l_extendedprice * 100 + 0.5) * (100.0 - floor(l_discount * 100 + 0.5)) / 100 + 0.5) AS amount,
+         floor(l_discount * 100 + 0.5) AS discount_percent,
          CASE l_returnflag WHEN 'N' THEN 'SALE' WHEN 'A' THEN 'SELL_MEDIA' WHEN 'R' THEN 'RETURN' END AS transaction_type
   FROM lineitem),
 receipts AS (
   SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS business_day,
-         o_orderpriority AS priority, round(o_totalprice * 100) AS billed_amount
+         o_orderpriority AS priority, floor(o_totalprice * 100 + 0.5) AS billed_amount
   FROM orders),
 all_tx AS (
   SELECT lines.*, gross_amount - amount AS discount_amount, customer_id, business_day, priority, billed_amount

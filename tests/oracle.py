@@ -59,7 +59,7 @@ def compare(spark, con, folder: str, name: str, queries, oracles) -> str | None:
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     if not want:
-        return "the SQL gives no rows"
+        return f"{len(got)} rows, the SQL none" if got else "the SQL gives no rows"
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if len(a) != len(b):
         return f"rows {len(a)} != {len(b)}"

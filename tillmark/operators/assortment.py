@@ -90,6 +90,7 @@ def contribution_tier(
 
     ``rows`` (one row per SKU and week) makes the percentiles count a SKU once per week it sold.
     """
+    skus = stage(skus)
     basis = skus.filter(F.col(column) != 0)
     if rows is not None:
         basis = join_keys(rows.select(*by, sku), basis.select(*by, sku, column), [*by, sku], "inner")
@@ -157,6 +158,7 @@ def recommend(
     median growth of their tier.
     """
     g = F.col(growth_col)
+    skus = stage(skus)
     established = skus.filter((F.col("is_new") == 0) & g.isNotNull())
     medians = upper_median(established, growth_col, "__median", [*by, "tier"])
     out = join_keys(skus, medians, [*by, "tier"])
@@ -200,6 +202,7 @@ def tail_delist(
 
     Done only where they are at most ``count_percent`` of the SKUs of the group.
     """
+    skus = stage(skus)
     low = pareto(skus.filter(F.col("tier") == "Low"), [key], metric, by).select(*by, key, F.col("cum_share").alias("__cum"))
     marked = join_keys(skus, low, [*by, key]).withColumn(
         "__tail", F.coalesce((F.col("__cum") > 1 - share_percent / 100).cast("int"), F.lit(0))
@@ -280,10 +283,9 @@ def compress_attributes(df: DataFrame, columns: Sequence[str], metric: str, cut:
 def stratified_sample(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """A share of each stratum, at least one row, chosen by a seeded hash so that reruns agree."""
     order = [seeded_order(seed, *key), *[F.col(k) for k in key]]
-    ranked = running(df, order, by, position="__rn")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running(df.withColumn("__one", F.lit(1)), order, by, position="__rn", totals={"__n": "__one"})
     chosen = F.col("__rn") <= F.greatest(F.lit(1), F.round(F.col("__n") * fraction))
-    return join_keys(ranked, sizes, by).filter(chosen).drop("__rn", "__n")
+    return ranked.filter(chosen).select(*df.columns)
 
 
 def delist_impact(skus: DataFrame, by: Sequence[str], sales: str = "sales") -> DataFrame:

@@ -68,7 +68,7 @@ def reallocated_value(skus: DataFrame, removed: Column, by: Sequence[str] = ())
 
 def leave_one_out(skus: DataFrame, removed: Column, by: Sequence[str] = ()) -> DataFrame:
     """Value of the group if one more SKU went, for each SKU still kept: a closed form over group sums."""
-    out = with_group(skus.withColumn("__kept", ~removed), by, _pair_sums(F.col("__kept")))
+    out = with_group(skus.withColumn("__kept", ~removed), by, _pair_sums(F.col("__kept")), reread=False)
     a = F.col("price") * F.col("margin") * F.col("beta_exp")
     v = F.col("price") * F.col("margin") * F.col("prob_units")
     rate = F.coalesce(safe_div(F.col("__a") - a, F.col("__b") - F.col("beta_exp")), F.lit(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import col
+from tillmark.session import stage
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
@@ -29,19 +30,22 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def with_total(df: DataFrame, totals: Sequence[Column]) -> DataFrame:
-    """Add one-row totals of ``df`` to each of its rows."""
+def with_total(df: DataFrame, totals: Sequence[Column], reread: bool = True) -> DataFrame:
+    """Add one-row totals of ``df`` to each of its rows; see :func:`with_group` for ``reread``."""
+    df = stage(df) if reread else df
     return df.crossJoin(F.broadcast(df.agg(*totals)))
 
 
-def with_group(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+def with_group(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], reread: bool = True) -> DataFrame:
     """Add per-group aggregates to each row.
 
     Aggregating first combines on the map side, so a group holding a large part of the rows is never
-    gathered in one task, as it would be by a window without a frame.
+    gathered in one task, as it would be by a window without a frame. ``df`` is meant to be an aggregated
+    frame; it feeds both the totals and the rows, so it is written once unless ``reread`` is off.
     """
     if not by:
-        return with_total(df, aggs)
+        return with_total(df, aggs, reread)
+    df = stage(df) if reread else df
     return join_keys(df, df.groupBy(*by).agg(*aggs), by)
 
 
@@ -122,14 +126,14 @@ def range_join(
     b = right.select(
         *[F.col(k).alias(f"__right_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
-        F.explode(F.sequence(stretch(right_day + low), stretch(right_day + high))).alias("__right_stretch"),
+        F.explode(F.sequence(stretch(right_day + low), stretch(right_day + high))).alias("__to_stretch"),
     )
     gap = F.datediff(F.col(left_date), F.col(right_date))
     condition = all_of(
         [F.col(k) == F.col(f"__right_{k}") for k in keys]
-        + [F.col("__stretch") == F.col("__right_stretch"), gap.between(low, high)]
+        + [F.col("__stretch") == F.col("__to_stretch"), gap.between(low, high)]
     )
-    return a.join(b, condition).drop("__stretch", "__right_stretch", *[f"__right_{k}" for k in keys])
+    return a.join(b, condition).drop("__stretch", "__to_stretch", *[f"__right_{k}" for k in keys])
 
 
 def after_first(df: DataFrame, first: DataFrame, keys: Sequence[str], day: str, first_day: str) -> DataFrame:
@@ -142,15 +146,18 @@ def complete_grid(
 ) -> DataFrame:
     """Every combination of the two distinct key sets with the rows of ``df`` where they exist.
 
-    The result has |left| x |right| rows because that is what is asked for. The combinations are made
-    by exploding the array of right keys, which must therefore be a short list (attribute
-    combinations, periods); the left keys stay distributed.
+    The result has |left| x |right| rows because that is what is asked for. Right keys are packed into
+    arrays of a few thousand; each left key is sent once per array and opened there, so no single row
+    holds all right keys and the left keys stay distributed.
     """
-    right = df.select(F.struct(*right_keys).alias("__r")).distinct().agg(F.sort_array(F.collect_list("__r")).alias("__rs"))
+    df = stage(df)
+    right = stage(df.select(F.struct(*right_keys).alias("__r")).distinct())
+    packs = right.count() // 5000 + 1
+    packed = right.groupBy(F.pmod(F.xxhash64("__r"), F.lit(packs)).alias("__pack")).agg(F.collect_list("__r").alias("__rs"))
+    left = df.select(*left_keys).distinct()
     grid = (
-        df.select(*left_keys)
-        .distinct()
-        .crossJoin(F.broadcast(right))
+        left.select(*left_keys, F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).cast("long").alias("__pack"))
+        .join(packed, "__pack")
         .select(*left_keys, F.explode("__rs").alias("__r"))
         .select(*left_keys, *[F.col(f"__r.{k}").alias(k) for k in right_keys])
     )

@@ -119,6 +119,7 @@ def quantile_label(
     df: DataFrame, column: str, points: Sequence[float], labels: Sequence[str], name: str = "band", by: Sequence[str] = ()
 ) -> DataFrame:
     """Label rows by exact percentiles of a column, right-closed (at most the first point: first label)."""
+    df = stage(df)
     cuts = percentiles(df, column, {f"__q{i}": p for i, p in enumerate(points)}, by)
     joined = join_keys(df, cuts, by) if by else df.crossJoin(F.broadcast(cuts))
     label = None
@@ -131,6 +132,7 @@ def quantile_label(
 
 def growth_flag(df: DataFrame, column: str, name: str = "growth_flag", labels=("Low", "Medium", "High"), negative="Negative") -> DataFrame:
     """Tiers by the 33rd and 66th percentile of the non-negative growths; negative growth apart."""
+    df = stage(df)
     cuts = percentiles(df.filter(F.col(column) >= 0), column, {"__p33": 0.33, "__p66": 0.66})
     label = (
         F.when(F.col(column) < 0, F.lit(negative))
@@ -143,6 +145,7 @@ def growth_flag(df: DataFrame, column: str, name: str = "growth_flag", labels=("
 
 def quadrants(df: DataFrame, x: str, y: str, x_point: float = 0.95, name: str = "quadrant") -> DataFrame:
     """Four fields: x against a percentile of x, y against the mean of y."""
+    df = stage(df)
     cuts = percentiles(df, x, {"__x": x_point}).crossJoin(F.broadcast(df.agg(F.avg(y).alias("__y"))))
     label = F.concat(
         F.when(F.col(x) >= F.col("__x"), F.lit("high ")).otherwise(F.lit("low ")),
@@ -184,6 +187,7 @@ def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("__e")).select("__e.*")
+    long = stage(long)
     basic = long.groupBy("column").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),

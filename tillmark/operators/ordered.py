@@ -152,6 +152,7 @@ def avg_rank(
     df: DataFrame, column: str, name: str = "rank", by: Sequence[str] = (), ascending: bool = False, tasks: int | None = None
 ) -> DataFrame:
     """Rank with ties sharing the mean of their positions; NULL values get a NULL rank."""
+    df = stage(df)
     order = F.col(column).asc() if ascending else F.col(column).desc()
     ranked = running(value_counts(df, column, by), [order], by, sums={"__c": "__n"}, tasks=tasks)
     ranks = ranked.select(*by, column, (F.col("__c") - (F.col("__n") - 1) / 2).alias(name))

@@ -236,6 +236,7 @@ def l12_metrics(tx: DataFrame, keys: Sequence[str], period: str, months: int = 1
 
 def quartile_ordinal(df: DataFrame, column: str, by: Sequence[str], name: str | None = None) -> DataFrame:
     """Quantile class 1..4 per group; fewer classes where there are fewer distinct values."""
+    df = stage(df)
     points = {"__q25": 0.25, "__q50": 0.5, "__q75": 0.75, "__t1": 1 / 3, "__t2": 2 / 3}
     cuts = percentiles(df, column, points, by)
     size = df.groupBy(*by).agg(F.countDistinct(column).alias("__u"), F.min(column).alias("__lo"))
@@ -251,6 +252,7 @@ def quartile_ordinal(df: DataFrame, column: str, by: Sequence[str], name: str |
 
 def dense_ordinal(df: DataFrame, column: str, by: Sequence[str], name: str | None = None) -> DataFrame:
     """Dense position of a value among the distinct values of its group."""
+    df = stage(df)
     values = df.select(*by, column).distinct()
     place = F.dense_rank().over(Window.partitionBy(*by).orderBy(column))
     return join_keys(df, values.withColumn(name or f"{column}_ordinal", place), [*by, column])

@@ -54,7 +54,11 @@ def stage(df: DataFrame) -> DataFrame:
     Used where one aggregated frame feeds several branches (totals and rows, say), so that the fact
     table behind it is read once, and to end the lineage of a loop. The files outlive lost executors.
     """
+    if getattr(df, "_staged", False):
+        return df
     spark = df.sparkSession
     path = f"{stage_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._staged = True  # a second call for the same frame writes nothing
+    return written

@@ -74,8 +74,13 @@ def update_table(name: str, overrides: DataFrame, keys: Sequence[str], columns:
 
 def replace_slice(df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions of the table that ``df`` has rows for."""
-    columns = df.sparkSession.table(name).columns
-    df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+    spark, setting = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")  # as a writer option it does not reach insertInto
+    try:
+        df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def delete_slice(name: str, spark: SparkSession, condition: str) -> None:

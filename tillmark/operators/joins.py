@@ -156,7 +156,7 @@ def complete_grid(
     packed = right.groupBy(F.pmod(F.xxhash64("__r"), F.lit(packs)).alias("__pack")).agg(F.collect_list("__r").alias("__rs"))
     left = df.select(*left_keys).distinct()
     grid = (
-        left.select(*left_keys, F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).cast("long").alias("__pack"))
+        left.select(*left_keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("__pack"))
         .join(packed, "__pack")
         .select(*left_keys, F.explode("__rs").alias("__r"))
         .select(*left_keys, *[F.col(f"__r.{k}").alias(k) for k in right_keys])

@@ -126,6 +126,17 @@ def partial_dependence(model: PipelineModel, df: DataFrame, column: str, points:
     return model.transform(moved).groupBy(F.col("__g").alias(column)).agg(F.avg("prediction").alias("predicted"))
 
 
+def marginal_elasticity(model: PipelineModel, df: DataFrame, column: str) -> DataFrame:
+    """Mean relative change of the prediction for a rise of the column by a hundredth of its deviation."""
+    delta = (df.agg(F.stddev(column)).first()[0] or 0.0) * 0.01
+    if delta == 0:
+        raise ValueError(f"{column} does not vary")
+    now = model.transform(df).withColumnRenamed("prediction", "__y0").withColumn("__x", F.col(column)).drop("features")
+    moved = model.transform(now.withColumn(column, F.col(column) + F.lit(delta)))
+    e = safe_div(safe_div(F.col("prediction") - F.col("__y0"), "__y0"), safe_div(F.lit(delta), "__x"))
+    return moved.agg(F.avg(e).alias("elasticity"))
+
+
 def curve_elasticity(curve: DataFrame, column: str) -> DataFrame:
     """Mean of the point elasticities along a curve of few points (differences as in a numeric gradient)."""
     w = Window.partitionBy(F.lit(0)).orderBy(column)

@@ -11,7 +11,7 @@ from tillmark.functions.dates import month_label, month_number
 from tillmark.functions.exprs import bucketize, round_to, safe_div, seeded_order
 from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.metrics import share_of
-from tillmark.operators.ordered import pareto, percentiles
+from tillmark.operators.ordered import pareto, percentiles, running
 from tillmark.session import stage
 
 # Discount bands, right-closed and contiguous.
@@ -254,8 +254,8 @@ def dense_ordinal(df: DataFrame, column: str, by: Sequence[str], name: str | Non
     """Dense position of a value among the distinct values of its group."""
     df = stage(df)
     values = df.select(*by, column).distinct()
-    place = F.dense_rank().over(Window.partitionBy(*by).orderBy(column))
-    return join_keys(df, values.withColumn(name or f"{column}_ordinal", place), [*by, column])
+    # among distinct values the dense rank is the position
+    return join_keys(df, running(values, [F.col(column)], by, position=name or f"{column}_ordinal"), [*by, column])
 
 
 def price_band(items: DataFrame, slabs: DataFrame, keys: Sequence[str], price: str, slab_cols: Sequence[str]) -> DataFrame:

@@ -98,3 +98,10 @@ def _(spark, d):
 def _(spark, d):
     out = windows.run_once(windows.first_seen(_events(spark, d), ["user_id", "event_type"], "60 days"), "append")
     return out.agg(F.count(F.lit(1)).alias("keys"))
+
+
+@query("boosted_elasticity")
+def _(spark, d):
+    rows = stage(monthly(spark, d).select("avg_unit_price", F.col("stores").cast("double").alias("stores"), "quantity"))
+    model = models.fit_trees(rows, ["avg_unit_price", "stores"], "quantity", "gbt")
+    return models.marginal_elasticity(model, rows, "avg_unit_price")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillmark.functions import dates
-from tillmark.operators import baskets, customers, metrics, series
+from tillmark.operators import baskets, customers, metrics, ordered, series, sets
 from tillmark.plans import star
 from tillmark.plans.core import SQL_CY, SQL_PY, cy, py
 from tillmark.plans.registry import query
@@ -487,3 +487,31 @@ def _(spark, d):
     kept = df.join(best.select("nationality", "store_id"), ["nationality", "store_id"], "left_semi").join(star.products(spark, d), "product_id")
     per = kept.groupBy("nationality", "store_id", "brand").agg(F.sum("amount").alias("sales"))
     return series.top_n(per, ["nationality", "store_id"], [F.col("sales").desc(), F.col("brand")], 2)
+
+
+@query("one_timer_recency", sql("""
+WITH o AS (SELECT customer_id, segment, max(business_day) l FROM cs GROUP BY 1, 2 HAVING count(DISTINCT transaction_id) <= 5), r AS (SELECT segment, CAST(date_diff('day', l, DATE '2001-09-01') AS DOUBLE) d FROM o)
+SELECT segment, quantile_cont(d, 0.25) AS p25, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.75) AS p75 FROM r GROUP BY 1"""))
+def _(spark, d):
+    few = customers.rfm_features(star.transactions(spark, d), "2001-09-01").filter("orders <= 5")
+    rows = few.join(star.customers(spark, d), "customer_id").select("segment", F.col("recency").cast("double").alias("recency"))
+    return ordered.percentiles(rows, "recency", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["segment"])
+
+
+@query("band_cohort", sql("""
+WITH r AS (SELECT customer_id, count(DISTINCT transaction_id) AS orders, sum(amount) / count(DISTINCT transaction_id) AS atv, date_diff('day', max(business_day), DATE '2001-09-01') AS recency FROM tx GROUP BY 1)
+SELECT customer_id, orders, atv FROM r WHERE orders BETWEEN 5 AND 12 AND atv BETWEEN 3000000 AND 9000000 AND recency BETWEEN 0 AND 400"""))
+def _(spark, d):
+    rfm = customers.rfm_features(star.transactions(spark, d), "2001-09-01")
+    chosen = customers.band_filter(rfm, {"orders": (5, 12), "atv": (3_000_000, 9_000_000), "recency": (0, 400)})
+    return chosen.select("customer_id", "orders", "atv")
+
+
+@query("set_operations", sql(f"""
+WITH a AS (SELECT DISTINCT product_id FROM tx WHERE {SQL_CY}), b AS (SELECT DISTINCT product_id FROM tx WHERE {SQL_PY})
+SELECT 'kept' AS part, count(*) AS products FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""))
+def _(spark, d):
+    tx = star.transactions(spark, d)
+    a, b = tx.filter(cy()).select("product_id"), tx.filter(py()).select("product_id")
+    count = lambda name, df: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("products"))
+    return sets.union_all([count("kept", sets.intersect(a, b)), count("added", sets.difference(a, b))])

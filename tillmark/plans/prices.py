@@ -392,3 +392,11 @@ def _(spark, d):
     p = star.transactions(spark, d).groupBy("product_id").agg(safe_div(F.sum("amount"), F.sum("quantity")).alias("price"))
     out = metrics.iqr_bounds(p, ["price"])
     return out.select("column", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "lower", "upper")])
+
+
+@query("holiday_months", sql(f"""
+WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS holiday_date FROM orders WHERE day(o_orderdate) = 6)
+SELECT {MONTH.replace('business_day', 'holiday_date')} AS month, count(*) AS num_holidays, 1 AS has_holidays FROM h GROUP BY 1"""))
+def _(spark, d):
+    days = star.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("holiday_date"))
+    return pricing.holiday_months(days.filter(F.dayofmonth("holiday_date") == 6).distinct())

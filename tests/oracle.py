@@ -1,11 +1,14 @@
 """Compare registered queries with their SQL counterparts.
 
     python tests/oracle.py [folder] [name ...]
+
+NO_COALESCE=1 keeps every shuffle partition, so that ordered operators work over many stretches.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -80,7 +83,8 @@ def main(argv: list[str]) -> int:
     folder = argv[0] if argv else "/root/testdata/sf0.01"
     q, o = queries(), oracle_sql()
     names = argv[1:] or list(q)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+    keep = "false" if os.environ.get("NO_COALESCE") else "true"
+    spark = build_session(master="local[8]", **{"spark.sql.adaptive.coalescePartitions.enabled": keep, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillmark.functions import dates
+from tillmark.functions.exprs import safe_div
 from tillmark.operators import assortment, metrics, series
 from tillmark.plans import star
 from tillmark.plans.core import SQL_CY, SQL_PY, cy, py
@@ -177,7 +178,7 @@ def _(spark, d):
 
 GROUP_LFL = f"""
 gl AS (SELECT material_group, sum(CASE WHEN {SQL_CY} THEN amount ELSE 0 END) AS sales, round((sum(CASE WHEN {SQL_CY} THEN amount ELSE 0 END) - sum(CASE WHEN {SQL_PY} THEN amount ELSE 0 END))
-  / sum(CASE WHEN {SQL_PY} THEN amount ELSE 0 END), 9) AS growth, count(DISTINCT CASE WHEN {SQL_CY} THEN customer_id END) AS customers, department_of AS department
+  / nullif(sum(CASE WHEN {SQL_PY} THEN amount ELSE 0 END), 0), 9) AS growth, count(DISTINCT CASE WHEN {SQL_CY} THEN customer_id END) AS customers, department_of AS department
   FROM (SELECT *, 'D' || length(material_group) % 3 AS department_of FROM ps) WHERE ({SQL_CY}) OR ({SQL_PY}) GROUP BY material_group, department_of)"""
 
 
@@ -188,14 +189,14 @@ def group_lfl(spark, d):
         "material_group", F.concat(F.lit("D"), (F.length("material_group") % 3).cast("string")).alias("department")
     ).agg(
         s(cy()).alias("sales"),
-        F.round((s(cy()) - s(py())) / s(py()), 9).alias("growth"),
+        F.round(safe_div(s(cy()) - s(py()), s(py())), 9).alias("growth"),
         F.countDistinct(F.when(cy(), F.col("customer_id"))).alias("customers"),
     )
 
 
 @query("growth_flag", sql(f"""
 WITH {GROUP_LFL}, c AS (SELECT quantile_cont(growth, 0.33) a, quantile_cont(growth, 0.66) b FROM gl WHERE growth >= 0)
-SELECT material_group, sales, growth, CASE WHEN growth < 0 THEN 'Negative' WHEN growth <= a THEN 'Low' WHEN growth <= b THEN 'Medium' ELSE 'High' END AS growth_flag FROM gl, c"""))
+SELECT material_group, sales, growth, CASE WHEN growth IS NULL THEN NULL WHEN growth < 0 THEN 'Negative' WHEN growth <= a THEN 'Low' WHEN growth <= b THEN 'Medium' ELSE 'High' END AS growth_flag FROM gl, c"""))
 def _(spark, d):
     return metrics.growth_flag(group_lfl(spark, d), "growth").select("material_group", "sales", "growth", "growth_flag")
 

@@ -208,11 +208,13 @@ def _(spark, d):
 @query("fit_several_predictors", sql(f"""
 WITH {MONTHLY}, c AS (SELECT region, count(*) n, avg(ln(quantity)) my, avg(ln(avg_unit_price)) mx, avg(stores) mz, covar_pop(ln(avg_unit_price), ln(avg_unit_price)) xx, covar_pop(stores, stores) zz,
   covar_pop(ln(avg_unit_price), stores) xz, covar_pop(ln(quantity), ln(avg_unit_price)) xy, covar_pop(ln(quantity), stores) zy, var_pop(ln(quantity)) yy FROM mo GROUP BY 1),
-b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM c)
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM c WHERE zz > 0)
 SELECT region, n, round(my - b1 * mx - b2 * mz, 4) AS intercept, round(b1, 4) AS price_beta, round(b2, 4) AS stores_beta, round((b1 * xy + b2 * zy) / yy, 5) AS r2 FROM b"""))
 def _(spark, d):
     rows = monthly(spark, d).select("region", F.ln("avg_unit_price").alias("x"), F.col("stores").cast("double").alias("z"), F.ln("quantity").alias("y"))
-    out = elasticity.fit_ols(rows, ["region"], ["x", "z"], "y")
+    # a region whose brands never sell in more than one store at a time has no store effect to estimate
+    varied = joins.with_group(rows, ["region"], [(F.max("z") > F.min("z")).alias("varies")]).filter("varies")
+    out = elasticity.fit_ols(varied, ["region"], ["x", "z"], "y")
     b = F.col("coefficients")
     return out.select(
         "region", "n", F.round(b[0], 4).alias("intercept"), F.round(b[1], 4).alias("price_beta"), F.round(b[2], 4).alias("stores_beta"), F.round("r2", 5).alias("r2")
@@ -255,12 +257,12 @@ def _(spark, d):
 
 
 IMPUTE = f"""{MONTHLY},
-fe AS (SELECT region, brand, round(regr_slope(ln(quantity), ln(avg_unit_price)), 9) AS elasticity, sum(sales) / sum(quantity) AS price FROM mo GROUP BY 1, 2),
+fe AS (SELECT region, brand, round(regr_slope(ln(quantity), ln(avg_unit_price)), 9) AS elasticity, sum(sales) / sum(quantity) AS price FROM mo GROUP BY 1, 2 HAVING count(DISTINCT avg_unit_price) > 1),
 qt AS (SELECT region, quantile_cont(price, 0.25) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.75) c FROM fe GROUP BY 1),
 br AS (SELECT brand, CAST(max(content) AS BIGINT) % 7 AS ct, mode_attr AS at1, count(*) % 3 AS at2 FROM (SELECT *, length(brand) AS mode_attr FROM product) GROUP BY brand, mode_attr),
 sk AS (SELECT fe.*, CAST(CAST(split_part(brand, '#', 2) AS INTEGER) % 3 > 0 AS INTEGER) AS acceptable, 1 + (price > a)::INT + (price > b)::INT + (price > c)::INT AS po, dense_rank() OVER (PARTITION BY region ORDER BY ct) AS co, at1, at2
   FROM fe JOIN qt USING (region) JOIN br USING (brand)),
-co AS (SELECT x.region, x.brand AS b0, y.brand AS b1, CASE WHEN count(*) >= 2 THEN 1 - corr(x.quantity, y.quantity) END AS d2 FROM mo x JOIN mo y USING (region, month)
+co AS (SELECT x.region, x.brand AS b0, y.brand AS b1, CASE WHEN count(DISTINCT x.quantity) >= 2 AND count(DISTINCT y.quantity) >= 2 THEN 1 - corr(x.quantity, y.quantity) END AS d2 FROM mo x JOIN mo y USING (region, month)
   WHERE CAST(split_part(x.brand, '#', 2) AS INTEGER) % 3 = 0 AND CAST(split_part(y.brand, '#', 2) AS INTEGER) % 3 > 0 GROUP BY 1, 2, 3),
 pr AS (SELECT u.region, u.brand AS b0, m.brand AS b1, m.elasticity, 0.2 * abs(u.co - m.co) + 0.8 * abs(u.po - m.po) AS d1, d2, 1 - ((u.at1 = m.at1)::INT + (u.at2 = m.at2)::INT) / 2 AS d3
   FROM sk u JOIN sk m ON u.region = m.region AND u.acceptable = 0 AND m.acceptable = 1 LEFT JOIN co ON co.region = u.region AND co.b0 = u.brand AND co.b1 = m.brand),

@@ -111,3 +111,10 @@ def test_price_slabs(spark):
 def test_with_group_does_not_lose_null_groups(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "g string, v double")
     assert sorted(r["t"] for r in joins.with_group(df, ["g"], [F.sum("v").alias("t")]).collect()) == [3.0, 3.0, 5.0]
+
+
+def test_split_counts_leave_out_unknown_customers(spark):
+    rows = [("d", 1, 10.0, 1), ("d", 1, 5.0, 0), ("d", 2, 5.0, 0), ("d", None, 20.0, 1)]
+    df = spark.createDataFrame(rows, "g string, customer_id int, amount double, pl int")
+    r = metrics.conditional_split(df, ["g"], "pl").first()
+    assert (r["pl_sales"], r["total_sales"], r["pl_customers"], r["total_customers"]) == (30.0, 40.0, 1, 2)

@@ -67,13 +67,22 @@ def rollup_levels(
 def conditional_split(
     df: DataFrame, by: Sequence[str], flag: str, metric: str = "amount", key: str = "customer_id", name: str = "pl"
 ) -> DataFrame:
-    """Sums and distinct keys of flagged rows against all rows, with both shares."""
-    hit = F.col(flag) == 1
-    out = df.groupBy(*by).agg(
-        F.sum(F.when(hit, F.col(metric)).otherwise(0.0)).alias(f"{name}_sales"),
-        F.sum(metric).alias("total_sales"),
-        F.countDistinct(F.when(hit, F.col(key))).alias(f"{name}_customers"),
-        F.countDistinct(key).alias("total_customers"),
+    """Sums and distinct keys of flagged rows against all rows, with both shares.
+
+    Rows are first reduced to one per (group, key), which turns both distinct counts into plain sums.
+    """
+    hit = F.coalesce(F.col(flag) == 1, F.lit(False))
+    per = df.groupBy(*by, key).agg(
+        F.sum(F.when(hit, F.col(metric)).otherwise(0.0)).alias("__f"),
+        F.sum(metric).alias("__m"),
+        F.max(hit.cast("int")).alias("__hit"),
+    )
+    known = F.col(key).isNotNull()
+    out = per.groupBy(*by).agg(
+        F.sum("__f").alias(f"{name}_sales"),
+        F.sum("__m").alias("total_sales"),
+        F.sum(F.when(known, F.col("__hit")).otherwise(0)).alias(f"{name}_customers"),
+        F.count(key).alias("total_customers"),
     )
     return out.select(
         "*",

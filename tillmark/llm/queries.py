@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import simhash
+from tillmark.llm import bpe, flatfiles, simhash, transducer
+from tillmark.llm.store import new_path
+
+#: The vocabulary of the token queries, and the most tokens that fit a context.
+BYTE_BPE = "byte_bpe_50k.json"
+CONTEXT = 1024
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +37,27 @@ def remainder(column, n: int):
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents by 3-word SimHash at two bits or fewer."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it exceeds the context."""
+    return transducer.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), CONTEXT)
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    vocabulary = public_tokenizers.path(BYTE_BPE)
+    ids = bpe.encode(table(spark, folder, "documents"), vocabulary, ["doc_id"])
+    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
+    texts = bpe.decode(ids, vocabulary, ["doc_id", "n_tokens", "ids_sha256"])
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_flat_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as flat token files, and what a reader finds in them."""
+    place = new_path(spark, "flat-tokens")
+    flatfiles.write(table(spark, folder, "documents"), place, public_tokenizers.path(BYTE_BPE), end_token=2)
+    return flatfiles.read(spark, place, flatfiles.crc32, "ids_crc32 long")

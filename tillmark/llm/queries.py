@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, flatfiles, simhash, transducer
+from tillmark.llm import bpe, flatfiles, simhash, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -61,3 +61,9 @@ def op10_flat_files(spark: SparkSession, folder: str) -> DataFrame:
     place = new_path(spark, "flat-tokens")
     flatfiles.write(table(spark, folder, "documents"), place, public_tokenizers.path(BYTE_BPE), end_token=2)
     return flatfiles.read(spark, place, flatfiles.crc32, "ids_crc32 long")
+
+
+@query
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return vamana.nearest(table(spark, folder, "embeddings"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, flatfiles, simhash, transducer, vamana
+from tillmark.llm import bpe, ctw, flatfiles, simhash, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -67,3 +67,10 @@ def op10_flat_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth vector."""
     return vamana.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Context-tree and unigram scores of every document."""
+    scored = ctw.score(table(spark, folder, "documents"), remainder("doc_id", 7) != 2)
+    return scored.withColumn("learnt", ~F.col("learnt")).withColumnRenamed("learnt", "held_out")

@@ -124,7 +124,7 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
     return made
 
 
-def score(docs: DataFrame, learn: Column, depth: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, learnt, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
 
     Rows for which ``learn`` holds (null: not) teach the model, all are scored. A-Z are lower-cased. Tokens are the words between

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, ctw, flatfiles, simhash, transducer, vamana
+from tillmark.llm import bpe, ctw, flatfiles, pages, simhash, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -74,3 +74,11 @@ def op2_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Context-tree and unigram scores of every document."""
     scored = ctw.score(table(spark, folder, "documents"), remainder("doc_id", 7) != 2)
     return scored.withColumn("learnt", ~F.col("learnt")).withColumnRenamed("learnt", "held_out")
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    rows = table(spark, folder, "pages")
+    field = pages.train(pages.labelled_pages(pages.training_sentences(rows)))
+    return pages.main_text(rows, field, ["page_id", "url"])

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, ctw, flatfiles, pages, simhash, transducer, vamana
+from tillmark.llm import bpe, ctw, flatfiles, langid, pages, quality, simhash, templates, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
 BYTE_BPE = "byte_bpe_50k.json"
 CONTEXT = 1024
+#: Labelled texts of each language that the language model learns from, at most.
+LANGUAGE_TEXTS = 100
+#: Labelled texts of each label that the quality model learns from, at most.
+TRAINING_ROWS = 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +86,29 @@ def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "pages")
     field = pages.train(pages.labelled_pages(pages.training_sentences(rows)))
     return pages.main_text(rows, field, ["page_id", "url"])
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    rows = quality.training_rows(docs, table(spark, folder, "labels"), ~held_out, most=TRAINING_ROWS)
+    scored = quality.score(docs, quality.train(rows), ["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, folder, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = langid.train(langid.training_texts(docs, ~held_out, most=LANGUAGE_TEXTS))
+    found = langid.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op8_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, word for word or with other numbers, names or units."""
+    return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

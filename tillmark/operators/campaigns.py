@@ -82,7 +82,7 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> D
     return df.orderBy(seeded_order(seed, *keys), *keys).limit(n)
 
 
-def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds: int = 100, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds: int = 1000, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Best balanced test/control split out of several seeded ones.
 
     Returns (customers with their set, report of the seeds examined). For each seed a t-test compares the

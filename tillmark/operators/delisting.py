@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import safe_div
 from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.ordered import running
-from tillmark.session import stage
 
 
 def choice_value(
@@ -86,48 +87,46 @@ def delist_candidates(
     return skus.withColumn("candidate", ok.cast("int"))
 
 
-def greedy_delist(
-    skus: DataFrame, key: str, by: Sequence[str], limit_share: float = 0.25, max_rounds: int | None = None
-) -> DataFrame:
+def greedy_delist(skus: DataFrame, key: str, by: Sequence[str], limit_share: float = 0.25) -> DataFrame:
     """Remove SKUs one at a time, each time the candidate whose removal leaves the highest value.
 
-    All groups take a round together. A group ends at its limit, without candidates, or when the best
-    removal lowers its value. ``skus`` has price, margin, beta_exp, prob_units and candidate. The rounds
-    only write the removed keys of that round; the SKU table is written once.
+    A group ends at its limit (a share of its SKUs, halves rounded up), without candidates, or when the best removal lowers its value. ``skus``
+    has price, margin, beta_exp, prob_units and candidate. The SKUs of a group (a demand group of one region, one row
+    for each SKU) meet in a task after one shuffle, where a round is a handful of array operations.
     """
-    base = stage(skus.withColumn("__v0", F.col("price") * F.col("margin") * F.col("prob_units")))
-    groups = base.groupBy(*by).agg(
-        F.sum("__v0").alias("prev_value"), F.round(F.count(F.lit(1)) * limit_share).cast("int").alias("limit")
-    )
-    rounds = groups.agg(F.max("limit")).first()[0] or 0
-    rounds = rounds if max_rounds is None else min(rounds, max_rounds)
-    live = stage(groups)
-    gone = None
-    for i in range(1, rounds + 1):
-        state = base.withColumn("removed_round", F.lit(None).cast("int"))
-        if gone is not None:
-            state = join_keys(base, gone, [*by, key])
-        # groups that ended take no further part
-        state = join_keys(state, live, by, "inner").filter(F.col("limit") >= i)
-        scored = leave_one_out(state, F.col("removed_round").isNotNull(), by).filter("candidate = 1")
-        best = scored.groupBy(*by).agg(
-            F.max("value_without").alias("value"),
-            F.min_by(key, F.struct(-F.col("value_without"), F.col(key))).alias(key),
-            F.max("prev_value").alias("prev_value"),
-            F.max("limit").alias("limit"),
-        )
-        taken = stage(best.filter(F.col("value") >= F.col("prev_value")))
-        if taken.isEmpty():
-            break
-        step = taken.select(*by, key, F.lit(i).alias("removed_round"))
-        gone = step if gone is None else gone.unionByName(step)
-        live = taken.select(*by, F.col("value").alias("prev_value"), "limit")
-    if gone is None:
-        return base.drop("__v0").withColumn("removed_round", F.lit(None).cast("int")).withColumn("delist_flag", F.lit(0))
-    out = join_keys(base.drop("__v0"), gone, [*by, key])
+    needed = ["price", "margin", "beta_exp", "prob_units", "candidate"]
+    keys = [c for c in [*by, key] if c not in needed]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in skus.select(*keys).schema)
+
+    def rounds(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key, ignore_index=True)
+        order = _removals(*(group[c].to_numpy(dtype=float) for c in needed), int(np.floor(len(group) * limit_share + 0.5)))
+        return group.loc[order, keys].assign(removed_round=np.arange(1, len(order) + 1, dtype=np.int32))
+
+    gone = skus.select(*keys, *needed).groupBy(*by).applyInPandas(rounds, f"{fields}, removed_round int")
+    out = join_keys(skus, gone, [*by, key])
     return out.withColumn("delist_flag", F.col("removed_round").isNotNull().cast("int"))
 
 
+def _removals(price, margin, beta, units, candidate, limit: int) -> list[int]:
+    """Rows in the order of removal; of equal values the first row goes."""
+    weight, value = price * margin * beta, price * margin * units
+    kept = np.ones(len(price), dtype=bool)
+    free = candidate == 1
+    held, order = value.sum(), []
+    while len(order) < limit and free.any():
+        left = beta[kept].sum() - beta
+        rate = np.divide(weight[kept].sum() - weight, left, out=np.zeros(len(left)), where=left != 0)
+        without = rate * (units[~kept].sum() + units) + (value[kept].sum() - value)
+        best = int(np.argmax(np.where(free, without, -np.inf)))
+        if not without[best] >= held:
+            break
+        held = without[best]
+        kept[best] = free[best] = False
+        order.append(best)
+    return order
+
+
 def protect_variety(skus: DataFrame, key: str, variety: str, units: str, by: Sequence[str] = ()) -> DataFrame:
     """Where every SKU of a variety is delisted, the best selling one stays."""
     best = skus.groupBy(*by, variety).agg(

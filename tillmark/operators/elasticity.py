@@ -106,21 +106,32 @@ def boxcox(value: Column, power: float) -> Column:
     return F.ln(value) if abs(power) < 1e-12 else (F.pow(value, F.lit(power)) - 1) / F.lit(power)
 
 
-def boxcox_lambda(df: DataFrame, column: str, low: float = -2.0, high: float = 2.0, rounds: int = 3, points: int = 17) -> float:
-    """Exponent with the highest Box-Cox likelihood; each round is one pass that narrows the grid."""
+def boxcox_lambda(df: DataFrame, column: str, low: float = -2.0, high: float = 2.0, tolerance: float = 1e-4, points: int = 17) -> float:
+    """Exponent with the highest Box-Cox likelihood; each round is one pass over a grid.
+
+    While the best point is an end of the grid, the grid moves on and doubles; after that it narrows until its step is under
+    ``tolerance``. A likelihood that rises without end stops at an exponent of 64 either way, where powers of doubles begin to overflow.
+    """
     c = F.col(column)
-    for _ in range(rounds):
+    while True:
         grid = np.linspace(low, high, points)
         row = df.agg(
             F.count(c).alias("n"), F.sum(F.ln(c)).alias("s"), *[F.var_pop(boxcox(c, float(g))).alias(f"v{i}") for i, g in enumerate(grid)]
         ).first()
         score = [
-            -np.inf if not row[f"v{i}"] or row[f"v{i}"] <= 0 else -row["n"] / 2 * np.log(row[f"v{i}"]) + (g - 1) * row["s"]
+            -np.inf if not row[f"v{i}"] or not 0 < row[f"v{i}"] < np.inf else -row["n"] / 2 * np.log(row[f"v{i}"]) + (g - 1) * row["s"]
             for i, g in enumerate(grid)
         ]
-        best, step = grid[int(np.argmax(score))], grid[1] - grid[0]
-        low, high = best - step, best + step
-    return float(best)
+        top, step = int(np.argmax(score)), grid[1] - grid[0]
+        best = float(grid[top])
+        if top == 0 and best > -64 and score[top] > score[top + 1]:
+            low, high = best - 2 * (high - low), best + step
+        elif top == points - 1 and best < 64 and score[top] > score[top - 1]:
+            low, high = best - step, best + 2 * (high - low)
+        elif step < tolerance:
+            return best
+        else:
+            low, high = best - step, best + step
 
 
 def acceptable(r2: float = 0.6) -> Column:

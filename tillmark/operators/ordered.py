@@ -50,9 +50,6 @@ def running(
     within = Window.partitionBy(*by, "_stretch").orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
 
-    if len(base.inputFiles()) <= 1:
-        # everything fits one stretch, whose size Spark has just checked: a plain window does
-        return _within_one_stretch(base, df.columns, order, by, sums, position, fills, totals)
     parts = base.groupBy(*by, "_stretch").agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in summed]
     )
@@ -92,18 +89,6 @@ def running(
     return out.select(*df.columns, *extra)
 
 
-def _within_one_stretch(base, columns, order, by, sums, position, fills, totals) -> DataFrame:
-    group = Window.partitionBy(*(by or ["_stretch"]))
-    ordered = group.orderBy(*order)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    extra = [F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(name) for name, c in sums.items()]
-    extra += [F.last(c, ignorenulls=True).over(upto).alias(name) for name, c in fills.items()]
-    extra += [F.sum(c).over(group).alias(name) for name, c in totals.items()]
-    if position:
-        extra.append(F.row_number().over(ordered).cast("long").alias(position))
-    return base.select(*columns, *extra)
-
-
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per (group, value), NULL values left out."""
     return df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))

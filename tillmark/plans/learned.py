@@ -63,7 +63,7 @@ def _(spark, d):
 def _(spark, d):
     rows = stage(monthly(spark, d).select("avg_unit_price", F.col("stores").cast("double").alias("stores"), "quantity"))
     model = models.fit_trees(rows, ["avg_unit_price", "stores"], "quantity", "rf")
-    curve = stage(models.partial_dependence(model, rows, "avg_unit_price", 20))
+    curve = stage(models.partial_dependence(model, rows, "avg_unit_price"))
     return models.curve_elasticity(curve, "avg_unit_price")
 
 

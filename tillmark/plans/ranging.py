@@ -325,31 +325,27 @@ def _(spark, d):
     return out.select("department", "sku", F.round("value_without", 2).alias("value_without"))
 
 
-ROUNDS = 5
-
-
-def _greedy_sql() -> str:
-    """The rounds of the search written out one after the other."""
-    parts = [f"""{CHOICE}, k0 AS (SELECT *, brand || ' ' || category AS sku, brand <> 'Brand#1' AND sales_share <= 0.02 AND gp_share <= 0.02 AS cand, CAST(NULL AS INTEGER) AS rnd FROM ch),
-v0 AS (SELECT department, sum(price * margin * prob_units) AS pv, true AS alive, {ROUNDS} AS lim FROM k0 GROUP BY 1)"""]
-    for i in range(1, ROUNDS + 1):
-        p = i - 1
-        parts.append(f"""s{i} AS (SELECT department, sum(CASE WHEN rnd IS NULL THEN price * margin * beta_exp ELSE 0 END) a, sum(CASE WHEN rnd IS NULL THEN beta_exp ELSE 0 END) b,
-  sum(CASE WHEN rnd IS NULL THEN price * margin * prob_units ELSE 0 END) v, sum(CASE WHEN rnd IS NULL THEN 0 ELSE prob_units END) u FROM k{p} GROUP BY 1),
-b{i} AS (SELECT department, sku, val, row_number() OVER (PARTITION BY department ORDER BY val DESC, sku) rk FROM (
-  SELECT department, sku, (a - price * margin * beta_exp) / (b - beta_exp) * (u + prob_units) + v - price * margin * prob_units AS val FROM k{p} JOIN s{i} USING (department) WHERE rnd IS NULL AND cand)),
-t{i} AS (SELECT b{i}.department, sku, val FROM b{i} JOIN v{p} USING (department) WHERE rk = 1 AND alive AND val >= pv),
-k{i} AS (SELECT k.* EXCLUDE (rnd), CASE WHEN t.sku IS NOT NULL THEN {i} ELSE rnd END AS rnd FROM k{p} k LEFT JOIN t{i} t ON k.department = t.department AND k.sku = t.sku),
-v{i} AS (SELECT department, coalesce(t.val, pv) AS pv, alive AND t.val IS NOT NULL AS alive, lim FROM v{p} LEFT JOIN t{i} t USING (department))""")
-    return sql(f"WITH {', '.join(parts)} SELECT department, sku, CAST(rnd AS INTEGER) AS removed_round FROM k{ROUNDS} WHERE rnd IS NOT NULL")
+# one row for each round and department; a round scores every SKU still kept against the sums of its department
+GREEDY = f"""{CHOICE},
+k0 AS MATERIALIZED (SELECT department, brand || ' ' || category AS sku, price * margin * beta_exp AS w, beta_exp AS be, price * margin * prob_units AS v, prob_units AS pu,
+  brand <> 'Brand#1' AND sales_share <= 0.02 AND gp_share <= 0.02 AS cand FROM ch),
+lim AS MATERIALIZED (SELECT department, CAST(floor(count(*) * 0.25 + 0.5) AS INTEGER) AS lim, sum(v) AS pv FROM k0 GROUP BY 1),
+rounds AS (
+  SELECT department, 0 AS rnd, pv, CAST([] AS VARCHAR[]) AS gone FROM lim
+  UNION ALL
+  SELECT department, rnd + 1, val, list_append(gone, sku) FROM (
+    SELECT *, row_number() OVER (PARTITION BY department ORDER BY val DESC, sku) AS rk FROM (
+      SELECT *, (sum(CASE WHEN o THEN 0 ELSE w END) OVER p - w) / (sum(CASE WHEN o THEN 0 ELSE be END) OVER p - be) * (sum(CASE WHEN o THEN pu ELSE 0 END) OVER p + pu) + sum(CASE WHEN o THEN 0 ELSE v END) OVER p - v AS val
+      FROM (SELECT rounds.*, lim.lim, k0.sku, k0.w, k0.be, k0.v, k0.pu, k0.cand, list_contains(gone, k0.sku) AS o FROM rounds JOIN lim USING (department) JOIN k0 USING (department) WHERE rnd < lim.lim)
+      WINDOW p AS (PARTITION BY department)) WHERE cand AND NOT o) WHERE rk = 1 AND val >= pv)"""
 
 
 def greedy(spark, d):
     marked = delisting.delist_candidates(choice(spark, d), F.col("brand") == "Brand#1", 0.02, 0.02)
-    return delisting.greedy_delist(marked, "sku", ["department"], 0.25, ROUNDS)
+    return delisting.greedy_delist(marked, "sku", ["department"])
 
 
-@query("greedy_delist", _greedy_sql())
+@query("greedy_delist", sql(f"WITH RECURSIVE {GREEDY} SELECT department, gone[rnd] AS sku, rnd AS removed_round FROM rounds WHERE rnd > 0"))
 def _(spark, d):
     return greedy(spark, d).filter("delist_flag = 1").select("department", "sku", "removed_round")
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tillmark.functions.exprs import map_values
 from tillmark.operators.joins import star
 from tillmark.operators.metrics import SALE_TYPES, valid_sales
-from tillmark.session import spread
 
 # Return flag to transaction type.
 TRANSACTION_TYPES = {"N": "SALE", "A": "SELL_MEDIA", "R": "RETURN"}
@@ -53,7 +52,7 @@ def lines(spark: SparkSession, d: str, flags: tuple[str, ...] = tuple(TRANSACTIO
     percent = whole(F.col("l_discount") * 100)
     amount = whole(gross * (F.lit(100.0) - percent) / 100)
     raw = table(spark, d, "lineitem").filter(F.col("l_returnflag").isin(*flags))
-    return spread(raw, "l_orderkey").select(
+    return raw.select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("store_id"),
@@ -171,6 +170,8 @@ sales AS (SELECT ps.*, region, city FROM ps JOIN store USING (store_id))"""
 def sql(body: str) -> str:
     """SQL over the star: ``body`` is a SELECT, or further CTEs followed by one (starting with WITH)."""
     text = body.strip()
+    if text[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {CTES},\n{text[15:]}"
     if text[:5].upper() == "WITH ":
         return f"WITH {CTES},\n{text[5:]}"
     return f"WITH {CTES}\n{text}"

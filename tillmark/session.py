@@ -38,16 +38,6 @@ def stage_root(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split a table kept in fewer files than there are cores by hash of its join key.
-
-    A file of one row group is one task, and everything up to the next shuffle would run in it. Tables of
-    many files are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 

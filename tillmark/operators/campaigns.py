@@ -6,7 +6,7 @@ import random
 from collections.abc import Mapping, Sequence
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import safe_div, seeded_order
@@ -43,13 +43,12 @@ def exclusive_audience(lists: DataFrame, customer: str = "customer_id", campaign
 def sample_cap(lists: DataFrame, caps: Mapping[str, int], seed: int = 42, customer: str = "customer_id", campaign: str = "campaign") -> DataFrame:
     """Seeded random position of each customer within its campaign, up to the campaign's cap.
 
-    The filter on the largest cap lets Spark cut each task's rows before the shuffle.
+    Positions are running ones, so that a campaign of very many customers is spread over tasks.
     """
     cap = F.create_map(*[F.lit(v) for kv in caps.items() for v in kv])[F.col(campaign)]
     order = [seeded_order(seed, customer, campaign), F.col(customer)]
-    place = F.row_number().over(Window.partitionBy(campaign).orderBy(*order))
     once = lists.select(campaign, customer).distinct()
-    return once.withColumn("position", place).filter(F.col("position") <= max(caps.values())).filter(F.col("position") <= cap)
+    return running(once, order, [campaign], position="position").filter(F.col("position") <= cap)
 
 
 def allocate_audience(lists: DataFrame, order: Sequence[str], caps: Mapping[str, int], seed: int = 42, customer: str = "customer_id", campaign: str = "campaign") -> DataFrame:

@@ -358,10 +358,9 @@ def reconcile(df: DataFrame, transaction: str, amount: str, billed: str, toleran
 
 
 def modal_value(df: DataFrame, by: Sequence[str], column: str, name: str = "modal_value") -> DataFrame:
-    """Most frequent value per group, ties kept."""
+    """Most frequent value per group, ties kept. The largest count of a group comes from an aggregation."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    place = F.rank().over(Window.partitionBy(*by).orderBy(F.col("n").desc()))
-    return counts.withColumn("__r", place).filter("__r = 1").select(*by, F.col(column).alias(name), "n")
+    return with_group(counts, by, [F.max("n").alias("__n")]).filter("n = __n").select(*by, F.col(column).alias(name), "n")
 
 
 def count_histogram(df: DataFrame, by: Sequence[str], key: str, item: str, top: int = 4) -> DataFrame:

@@ -75,12 +75,12 @@ def _(spark, d):
 
 EVENT_CTE = """
 ed AS (SELECT o_orderpriority AS event_theme, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS event_date
-  FROM orders WHERE o_orderstatus = 'P')"""
+  FROM orders)"""
 EVENT_MONTH = MONTH.replace("business_day", "event_date")
 
 
 def events(spark, d):
-    o = star.table(spark, d, "orders").filter("o_orderstatus = 'P'")
+    o = star.table(spark, d, "orders")
     start = F.col("o_orderdate").cast("date")
     days = o.select(
         F.col("o_orderpriority").alias("event_theme"),

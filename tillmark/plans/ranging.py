@@ -198,13 +198,15 @@ def quarters(spark, d):
 
 
 @query("rescue_delists", sql(f"""
-WITH {QUARTERS}, r AS (SELECT *, rank() OVER (PARTITION BY department ORDER BY gp DESC) + (count(*) OVER (PARTITION BY department, gp) - 1) / 2.0 AS gp_rank,
+WITH {SKUS}, {QUARTERS}, dq AS (SELECT qd.* FROM qd JOIN reco USING (department, product_id) WHERE bucket = 'Delist'),
+r AS (SELECT *, rank() OVER (PARTITION BY department ORDER BY gp DESC) + (count(*) OVER (PARTITION BY department, gp) - 1) / 2.0 AS gp_rank,
   rank() OVER (PARTITION BY department ORDER BY sales_q4 DESC) + (count(*) OVER (PARTITION BY department, sales_q4) - 1) / 2.0 AS sales_rank,
-  coalesce((sales_q4 - sales_q3) / nullif(sales_q3, 0), 0) AS q_growth FROM qd),
-m AS (SELECT *, avg(CASE WHEN gp_rank <= 30 THEN q_growth END) OVER (PARTITION BY department) AS a FROM r)
-SELECT department, product_id, sales_q4, sales_q3, gp, gp_rank, sales_rank, q_growth, CASE WHEN gp_rank <= 30 AND q_growth > a AND q_growth > 0 AND sales_rank <= 30 THEN 'Observe' ELSE 'Delist' END AS bucket FROM m"""))
+  coalesce((sales_q4 - sales_q3) / nullif(sales_q3, 0), 0) AS q_growth FROM dq),
+m AS (SELECT *, avg(CASE WHEN gp_rank <= 15 THEN q_growth END) OVER (PARTITION BY department) AS a FROM r)
+SELECT department, product_id, sales_q4, sales_q3, gp, gp_rank, sales_rank, q_growth, CASE WHEN gp_rank <= 15 AND q_growth > a AND q_growth > 0 AND sales_rank <= 15 THEN 'Observe' ELSE 'Delist' END AS bucket FROM m"""))
 def _(spark, d):
-    return assortment.rescue_delists(stage(quarters(spark, d)), ["department"], 30)
+    delisted = recommended(spark, d).filter("bucket = 'Delist'").select(*KEYS)
+    return assortment.rescue_delists(joins.join_keys(quarters(spark, d), delisted, KEYS, "inner"), ["department"])
 
 
 @query("delist_priority", sql(f"""

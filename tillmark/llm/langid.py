@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.llm.texts import coded, pieces, ragged, strings
@@ -91,7 +91,7 @@ def forward_backward(e: np.ndarray, at: np.ndarray, moves: np.ndarray, begin: np
     lo = 0
     while lo < len(order):
         hi = lo + 1
-        while hi < len(order) and size[order[hi]] <= max(16, size[order[lo]] * 1.25) and (hi - lo + 1) * size[order[hi]] <= 400_000:
+        while hi < len(order) and size[order[hi]] <= max(16, size[order[lo]] * 1.25) and (hi - lo + 1) * size[order[hi]] <= 200_000:
             hi += 1
         texts = order[lo:hi]
         lo = hi
@@ -145,10 +145,15 @@ class Model:
 def training_texts(docs: DataFrame, learn: Column, most: int, label: str = "lang", text: str = "text", id: str = "doc_id") -> list[tuple[str, str]]:
     """Whole texts with their language, up to ``most`` of each, those first in the order of a hash of (id, text)."""
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("order"))
-    found = []
-    for row in rows.select("label").distinct().orderBy("label").collect():  # the languages
-        found += [(r["text"], r["label"]) for r in rows.where(F.col("label") == row["label"]).orderBy("order").limit(most).collect()]
-    return found
+    # the hashes first, so that texts of the chosen rows only leave their tasks
+    first = F.row_number().over(Window.partitionBy("label").orderBy("order"))
+    chosen = rows.select("label", "order").withColumn("n", first).where(F.col("n") <= most).select("label", "order").collect()
+    if not chosen:
+        return []
+    found = sorted((r["label"], r["order"], r["text"]) for r in rows.where(F.col("order").isin(sorted({r["order"] for r in chosen}))).collect())
+    wanted = {(r["label"], r["order"]) for r in chosen}
+    out: dict[tuple, tuple[str, str]] = {(lang, order): (text, lang) for lang, order, text in found if (lang, order) in wanted}  # equal rows count once
+    return [out[key] for key in sorted(out)]
 
 
 def train(rows: list[tuple[str, str]], rounds: int = 12, rate: float = 0.3) -> Model:

@@ -34,15 +34,25 @@ g AS (SELECT department, product_id, round(avg(0.5 * ((sales - ls) / ls) + 0.5 *
 PEN = f"""
 pn0 AS (SELECT department, product_id, count(DISTINCT region) n FROM sales WHERE {YEAR} GROUP BY 1, 2),
 pn AS (SELECT department, product_id, CASE WHEN round(n / 5, 2) <= 0.3 THEN 'Low' WHEN round(n / 5, 2) <= 0.7 THEN 'Middle' ELSE 'High' END AS pen_class FROM pn0)"""
-SKUS = f"""{WEEKLY}, {LIFE}, {CONTRI}, {GROWTH}, {PEN},
-skus AS (SELECT department, product_id, tier, life, pen_class, contri, coalesce(avg_growth, 0.0) AS avg_growth, CAST(first_week >= 27 AS INTEGER) AS is_new
-  FROM tiers JOIN life USING (department, product_id) LEFT JOIN g USING (department, product_id) JOIN pn USING (department, product_id)),
+LOOKALIKES = """
+lk AS (SELECT department, product_id FROM wk JOIN life0 USING (department, product_id) WHERE first_week < 27 AND last_selling_week >= 51
+  GROUP BY 1, 2 HAVING count(DISTINCT CASE WHEN week < first_week + 32 THEN week END) >= 26),
+lg AS (SELECT department, round(avg(a), 9) AS look FROM (SELECT department, product_id, avg(0.5 * ((sales - ls) / ls) + 0.5 * ((quantity - lq) / lq)) AS a
+  FROM g0 JOIN lk USING (department, product_id) WHERE rn BETWEEN 2 AND 26 GROUP BY 1, 2) GROUP BY 1)"""
+NEW_CONTRI = """
+nw AS (SELECT wk.* FROM wk JOIN life0 USING (department, product_id) WHERE first_week >= 27),
+no AS (SELECT department, product_id, min(week) AS launch_week, sum(sales) AS s, sum(quantity) AS q FROM nw GROUP BY 1, 2),
+nc AS (SELECT no.department, no.product_id, s / (SELECT sum(sales) FROM nw WHERE nw.department = no.department AND nw.week >= launch_week) * 0.5
+  + q / (SELECT sum(quantity) FROM nw WHERE nw.department = no.department AND nw.week >= launch_week) * 0.5 AS new_contri FROM no)"""
+SKUS = f"""{WEEKLY}, {LIFE}, {CONTRI}, {GROWTH}, {PEN}, {LOOKALIKES}, {NEW_CONTRI},
+skus AS (SELECT department, product_id, tier, life, pen_class, coalesce(new_contri, contri) AS contri, coalesce(avg_growth, 0.0) AS avg_growth, CAST(first_week >= 27 AS INTEGER) AS is_new, coalesce(look, 0.0) AS look
+  FROM tiers JOIN life USING (department, product_id) LEFT JOIN g USING (department, product_id) JOIN pn USING (department, product_id) LEFT JOIN nc USING (department, product_id) LEFT JOIN lg USING (department)),
 med AS (SELECT department, tier, avg_growth AS m FROM (SELECT *, row_number() OVER (PARTITION BY department, tier ORDER BY avg_growth) - 1 i,
   count(*) OVER (PARTITION BY department, tier) n FROM skus WHERE is_new = 0) WHERE i = n // 2),
 fl AS (SELECT department, min(contri) AS f FROM skus WHERE is_new = 0 AND tier = 'Middle' GROUP BY 1),
-reco AS (SELECT skus.*, CASE
-  WHEN is_new = 1 AND avg_growth >= 0.05 AND contri >= f THEN 'Grow'
-  WHEN is_new = 1 AND (avg_growth >= 0.05 OR contri >= f) THEN 'Maintain'
+reco AS (SELECT skus.* EXCLUDE (look), CASE
+  WHEN is_new = 1 AND avg_growth >= look AND contri >= f THEN 'Grow'
+  WHEN is_new = 1 AND (avg_growth >= look OR contri >= f) THEN 'Maintain'
   WHEN is_new = 1 AND life = 'Currently selling' THEN 'Observe'
   WHEN is_new = 1 THEN 'Delist'
   WHEN tier = 'Top' AND avg_growth < m THEN 'Grow' WHEN tier = 'Top' THEN 'Maintain'
@@ -79,7 +89,7 @@ def tiers_of(wk, life):
 
 
 def sku_frame(spark, d):
-    """One row per SKU with everything the recommendation rules look at."""
+    """One row per SKU with everything the recommendation rules look at; a department without look-alikes has growth 0 for them."""
     wk = stage(weekly(spark, d))
     life = life_of(wk)
     growth = assortment.sku_growth(wk, KEYS, "week", HALF)
@@ -89,9 +99,14 @@ def sku_frame(spark, d):
     out = joins.join_keys(out, life.select(*KEYS, "life", "first_week"), KEYS)
     out = joins.join_keys(out, growth.select(*KEYS, F.round("avg_growth", 9).alias("avg_growth")), KEYS)
     out = joins.join_keys(out, pen.select(*KEYS, "pen_class"), KEYS)
+    new = assortment.new_sku_contribution(wk, "product_id", "week", HALF, life.filter(assortment.new_sku_flag_by_week() == 1), ["department"])
+    out = joins.join_keys(out, new.select(*KEYS, F.col("contri").alias("new_contri")), KEYS)
+    alike = assortment.sku_growth(assortment.lookalike_base(wk, KEYS, "week"), KEYS, "week", HALF)
+    look = alike.groupBy("department").agg(F.round(F.avg("avg_growth"), 9).alias("look"))
+    out = joins.join_keys(out, look, ["department"])
     return stage(out.select(
-        *KEYS, "tier", "life", "pen_class", "contri", F.coalesce("avg_growth", F.lit(0.0)).alias("avg_growth"),
-        assortment.new_sku_flag_by_week().alias("is_new"),
+        *KEYS, "tier", "life", "pen_class", F.coalesce("new_contri", "contri").alias("contri"), F.coalesce("avg_growth", F.lit(0.0)).alias("avg_growth"),
+        assortment.new_sku_flag_by_week().alias("is_new"), F.coalesce("look", F.lit(0.0)).alias("look"),
     ))
 
 
@@ -99,7 +114,7 @@ def recommended(spark, d):
     skus = sku_frame(spark, d)
     middle = F.when((F.col("is_new") == 0) & (F.col("tier") == "Middle"), F.col("contri"))
     with_floor = joins.with_group(skus, ["department"], [F.min(middle).alias("floor")])
-    return assortment.recommend(with_floor, ["department"], lookalike_growth=0.05, new_floor=F.col("floor")).drop("floor")
+    return assortment.recommend(with_floor, ["department"], lookalike_growth=F.col("look"), new_floor=F.col("floor")).drop("floor", "look")
 
 
 @query("lifecycle", sql(f"""

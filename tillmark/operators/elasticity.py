@@ -178,8 +178,8 @@ def _distances(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
         r = (sxy - sx * sy / n) / np.sqrt(vx * vy)
     r[(n < 2) | (vx <= 1e-9 * sxx) | (vy <= 1e-9 * syy)] = np.nan
-    p, q = (np.array(list(f["attributes"]), dtype=object) for f in (a, b))
-    same = (p[:, None, :] == q[None, :, :]).mean(axis=2)
+    p, q = (np.array(list(f["attributes"]), dtype=np.int64) for f in (a, b))
+    same = sum((p[:, None, k] == q[None, :, k]).astype(float) for k in range(p.shape[1])) / max(1, p.shape[1])
     return ordinal, 1 - r, 1 - same
 
 
@@ -197,7 +197,8 @@ def impute_elasticity(
     nearest few per SKU. No pair is written or shuffled, and a large group is spread over many tasks.
     """
     cols = [*by, sku, "content_ordinal", "price_ordinal", "series", "attributes"]
-    base = stage(skus.select(*cols, "acceptable", "elasticity"))
+    coded = F.transform("attributes", lambda x: F.xxhash64(x))  # whole numbers compare faster than text
+    base = stage(skus.select(*cols, "acceptable", "elasticity").withColumn("attributes", coded))
     sizes = base.groupBy(*by).agg(
         F.ceil(F.sum(F.col("acceptable")) / block).cast("int").alias("__nm"),
         F.ceil(F.sum(1 - F.col("acceptable")) / block).cast("int").alias("__nu"),
@@ -247,20 +248,17 @@ def impute_elasticity(
             lo, hi = a[f"lo_{p}"].iloc[0], a[f"hi_{p}"].iloc[0]
             scaled.append((d - lo) / (hi - lo) if hi is not None and lo is not None and hi > lo else d * np.nan)
         stacked = np.stack(scaled)
-        known = ~np.isnan(stacked)
-        count = known.sum(axis=0)
-        mean = np.where(count > 0, np.nansum(stacked, axis=0) / np.maximum(count, 1), np.inf)
-        mean = np.round(mean, 9)
-        b = b.reset_index(drop=True)
-        ids = b[sku].to_numpy()
-        rows = []
-        for i in range(len(a)):
-            order = np.lexsort((ids, mean[i]))[:nearest]
-            for j in order:
-                rows.append(
-                    [*[a[c].iloc[i] for c in by], a[sku].iloc[i], mean[i, j], ids[j], b["elasticity"].iloc[j], a["__share"].iloc[i]]
-                )
-        return pd.DataFrame(rows, columns=best_schema.names)
+        count = (~np.isnan(stacked)).sum(axis=0)
+        # a pair without any known distance is no neighbour
+        mean = np.where(count > 0, np.round(np.nansum(stacked, axis=0) / np.maximum(count, 1), 9), np.inf)
+        by_id = np.argsort(b[sku].to_numpy(), kind="stable")
+        order = by_id[np.argsort(mean[:, by_id], axis=1, kind="stable")[:, :nearest]]
+        row, place = np.nonzero(np.isfinite(np.take_along_axis(mean, order, axis=1)))
+        other = order[row, place]
+        out = a.iloc[row][[*by, sku]].reset_index(drop=True)
+        return out.assign(
+            distance=mean[row, other], reference=b[sku].to_numpy()[other], elasticity=b["elasticity"].to_numpy()[other], modelled_share=a["__share"].to_numpy()[row]
+        )
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, best_schema)
     from tillmark.operators.series import top_n

@@ -269,7 +269,7 @@ pr AS (SELECT u.region, u.brand AS b0, m.brand AS b1, m.elasticity, 0.2 * abs(u.
 nm AS (SELECT region, b0, b1, elasticity, (d1 - min(d1) OVER w) / nullif(max(d1) OVER w - min(d1) OVER w, 0) n1, (d2 - min(d2) OVER w) / nullif(max(d2) OVER w - min(d2) OVER w, 0) n2,
   (d3 - min(d3) OVER w) / nullif(max(d3) OVER w - min(d3) OVER w, 0) n3 FROM pr WINDOW w AS (PARTITION BY region)),
 av AS (SELECT *, round((coalesce(n1, 0) + coalesce(n2, 0) + coalesce(n3, 0)) / nullif((n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (n3 IS NOT NULL)::INT, 0), 9) AS dist FROM nm),
-rk AS (SELECT *, row_number() OVER (PARTITION BY region, b0 ORDER BY dist, b1) k FROM av)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY region, b0 ORDER BY dist, b1) k FROM av WHERE dist IS NOT NULL)"""
 
 
 @query("impute_elasticity", sql(f"""

@@ -184,16 +184,18 @@ def test_choice_rows_are_balanced_and_never_contradict(spark):
 def test_logistic_recovers_preferences(spark):
     rng = random.Random(0)
     rows = []
-    for _ in range(4000):
+    for k in range(4000):
         a, x = rng.choice("abc"), rng.random()
         u = {"a": 0.0, "b": 1.0, "c": -1.0}[a] - 2 * x + 0.5
-        rows.append((a, x, int(rng.random() < 1 / (1 + math.exp(-u)))))
-    df = spark.createDataFrame(rows, "a string, x double, purchase_flag int")
-    model = models.fit_choice(df, ["a"], ["x"])
+        rows.append((k, a, x, int(rng.random() < 1 / (1 + math.exp(-u)))))
+    df = spark.createDataFrame(rows, "k int, a string, x double, purchase_flag int").withColumn("test", models.held_out("k"))
+    assert df.filter("test").count() == pytest.approx(1200, abs=100)
+    model = models.fit_choice(df.filter("NOT test"), ["a"], ["x"])
     betas = {(r["attribute"], r["level"]): r["beta"] for r in models.choice_coefficients(spark, model, ["a"], ["x"]).collect()}
     assert betas[("x", None)] == pytest.approx(-2, abs=0.4)
     assert betas[("a", "b")] == pytest.approx(1, abs=0.3) and betas[("a", "c")] == pytest.approx(-1, abs=0.3)
-    assert models.classification_report(model.transform(df)).first()["accuracy"] > 0.6
+    report = {r["test"]: r["accuracy"] for r in models.classification_report(model.transform(df), by=["test"]).collect()}
+    assert report[True] > 0.6 and report[False] > 0.6
 
 
 def test_intercept_goes_back_to_the_base_rate():

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import gcd
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.functions.exprs import safe_div
+from tillmark.functions.exprs import safe_div, seeded_order
 from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.ordered import avg_rank, running
 from tillmark.session import stage
@@ -23,44 +24,44 @@ def choice_dataset(
 ) -> tuple[DataFrame, float]:
     """Purchases and an equal number of non-purchases, with the true purchase rate of the full grid.
 
-    The grid of receipts and attribute combinations is not built: every receipt draws combinations it did
-    not buy by a seeded hash, from the array of all combinations (few, once attributes are compressed).
-    The draw is a little too large and then cut to size by position. Prices of non-purchases are those
-    of the next purchase of the combination, else of the last one. The price is min-max scaled.
+    The grid of receipts and attribute combinations is not built. Combinations are numbered, and every receipt
+    walks over their numbers from a seeded start in seeded steps that have no factor in common with their count, so it meets
+    none twice. Walks of twice the mean receipt leave enough non-purchases once what was bought is taken out, and these are cut to
+    size in a seeded order. Prices of non-purchases are those of the next purchase of the combination, else of the
+    last one. The price is min-max scaled.
     """
-    combo = F.struct(*attributes)
-    bought = stage(
-        purchases.groupBy(receipt, *attributes).agg(F.min(day).alias(day), F.avg(price).alias(price))
-    )
-    # the same combinations as one row, and per receipt the ones it bought
-    combos = bought.select(combo.alias("c")).distinct().agg(F.sort_array(F.collect_list("c")).alias("__all"))
-    receipts = bought.groupBy(receipt).agg(F.min(day).alias(day), F.collect_set(combo).alias("__own"))
+    bought = stage(purchases.groupBy(receipt, *attributes).agg(F.min(day).alias(day), F.avg(price).alias(price)))
     size = bought.agg(F.count(F.lit(1)).alias("p"), F.countDistinct(receipt).alias("t"), F.countDistinct(*attributes).alias("k")).first()
-    p, cells = size["p"], size["t"] * size["k"]
+    p, k, cells = size["p"], size["k"], size["t"] * size["k"]
     if cells <= p:
         raise ValueError("every receipt holds every combination: there is no non-purchase")
     wanted = min(p, cells - p)
-    rate = min(1.0, (wanted + 6 * wanted**0.5 + 10) / (cells - p))
-    resolution = 1 << 30
-    draw = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(receipt), c), F.lit(resolution))
-    drawn = (
-        receipts.crossJoin(F.broadcast(combos))
-        .select(receipt, day, F.explode(F.filter("__all", lambda c: (draw(c) < int(rate * resolution)) & ~F.array_contains("__own", c))).alias("c"))
-        .select(receipt, day, *[F.col(f"c.{a}").alias(a) for a in attributes])
+    length = min(k, -(-2 * p // size["t"]))
+    steps = [x for x in range(1, max(2, k)) if gcd(x, k) == 1][:64]
+    combos = running(bought.select(*attributes).distinct(), [F.col(a).asc() for a in attributes], position="__c")
+    number = lambda salt: F.conv(F.substring(seeded_order(salt, receipt), 1, 8), 16, 10).cast("long")
+    step = F.element_at(F.array(*[F.lit(x) for x in steps]), (number(seed + 1) % len(steps) + 1).cast("int"))
+    walks = bought.groupBy(receipt).agg(F.min(day).alias(day)).select(
+        receipt, day, F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: (number(seed) + j * step) % k + 1)).alias("__c")
     )
-    order = [F.xxhash64(F.lit(seed + 1), receipt, *attributes), F.col(receipt), *[F.col(a) for a in attributes]]
-    others = running(drawn, order, position="__pos").filter(F.col("__pos") <= wanted).drop("__pos")
+    drawn = walks.join(combos, "__c").drop("__c").join(bought.select(receipt, *attributes), [receipt, *attributes], "left_anti")
+    order = [seeded_order(seed + 2, receipt, *attributes), F.col(receipt), *[F.col(a) for a in attributes]]
+    others = running(drawn.select(receipt, *attributes, day), order, position="__pos").filter(F.col("__pos") <= wanted).drop("__pos")
     both = bought.withColumn("purchase_flag", F.lit(1)).unionByName(
         others.withColumn(price, F.lit(None).cast("double")).withColumn("purchase_flag", F.lit(0))
     )
     keys = [F.col(day), F.col(receipt)]
-    filled = running(both, [k.desc() for k in keys], attributes, fills={"__next": price})
-    filled = running(filled, [k.asc() for k in keys], attributes, fills={"__last": price})
+    filled = running(both, [key.desc() for key in keys], attributes, fills={"__next": price})
+    filled = running(filled, [key.asc() for key in keys], attributes, fills={"__last": price})
     out = filled.withColumn(price, F.coalesce(price, "__next", "__last")).drop("__next", "__last")
-    ends = out.agg(F.min(price).alias("__lo"), F.max(price).alias("__hi"))
+    out = with_group(out, [], [F.min(price).alias("__lo"), F.max(price).alias("__hi")])
     scaled = safe_div(F.col(price) - F.col("__lo"), F.col("__hi") - F.col("__lo"), 0)
-    out = out.crossJoin(F.broadcast(ends)).withColumn(price, scaled).drop("__lo", "__hi")
-    return out.select(receipt, *attributes, price, "purchase_flag"), p / cells
+    return out.withColumn(price, scaled).select(receipt, *attributes, price, "purchase_flag"), p / cells
+
+
+def held_out(key: str, tenths: int = 3, seed: int = 7) -> Column:
+    """True for about ``tenths`` of ten keys: the test part of a split that any engine repeats."""
+    return F.conv(F.substring(seeded_order(seed, key), 1, 8), 16, 10).cast("long") % 10 >= 10 - tenths
 
 
 def fit_choice(df: DataFrame, attributes: Sequence[str], numeric: Sequence[str], label: str = "purchase_flag") -> PipelineModel:
@@ -86,11 +87,11 @@ def choice_coefficients(spark, model: PipelineModel, attributes: Sequence[str],
     return spark.createDataFrame(rows, "attribute string, level string, beta double")
 
 
-def classification_report(scored: DataFrame, label: str = "purchase_flag", prediction: str = "prediction") -> DataFrame:
-    """Confusion counts with accuracy, precision and recall, in one aggregation."""
+def classification_report(scored: DataFrame, label: str = "purchase_flag", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts with accuracy, precision and recall, per group in one aggregation."""
     y, z = F.col(label) == 1, F.col(prediction) == 1
     count = lambda t: F.sum(F.when(t, 1).otherwise(0))
-    out = scored.agg(count(y & z).alias("tp"), count(~y & z).alias("fp"), count(y & ~z).alias("fn"), count(~y & ~z).alias("tn"))
+    out = scored.groupBy(*by).agg(count(y & z).alias("tp"), count(~y & z).alias("fp"), count(y & ~z).alias("fn"), count(~y & ~z).alias("tn"))
     return out.select(
         "*",
         ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("accuracy"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tillmark.operators import models
 from tillmark.plans import star
 from tillmark.plans.prices import monthly
-from tillmark.plans.core import cy
 from tillmark.plans.registry import query
 from tillmark.plans.star import sql
 from tillmark.session import stage
@@ -42,21 +41,62 @@ def _(spark, d):
 ATTRIBUTES = ["department", "category"]
 
 
+# the walks of receipts over numbered combinations, as in the operator
+CHOICE_ROWS = """
+bought AS MATERIALIZED (SELECT transaction_id, department, category, min(business_day) AS business_day, avg(amount / quantity) AS price FROM ps GROUP BY 1, 2, 3),
+combos AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY department, category) AS c FROM (SELECT DISTINCT department, category FROM bought)),
+size AS MATERIALIZED (SELECT (SELECT count(*) FROM bought) AS p, (SELECT count(DISTINCT transaction_id) FROM bought) AS t, (SELECT count(*) FROM combos) AS k),
+par AS MATERIALIZED (SELECT *, least(p, t * k - p) AS wanted, least(k, CAST(ceil(2 * p / t) AS BIGINT)) AS steps, list_filter(range(1, greatest(2, k)), lambda x: gcd(x, k) = 1)[1:64] AS units FROM size),
+heads AS (SELECT transaction_id, min(business_day) AS business_day, CAST('0x' || substr(md5('42|' || transaction_id), 1, 8) AS BIGINT) AS a, CAST('0x' || substr(md5('43|' || transaction_id), 1, 8) AS BIGINT) AS b FROM bought GROUP BY 1),
+walks AS (SELECT transaction_id, business_day, (a + j * units[b % len(units) + 1]) % k + 1 AS c FROM (SELECT heads.*, par.*, unnest(range(0, steps)) AS j FROM heads, par)),
+drawn AS (SELECT transaction_id, department, category, walks.business_day FROM walks JOIN combos USING (c) ANTI JOIN bought USING (transaction_id, department, category)),
+others AS (SELECT transaction_id, department, category, business_day FROM (SELECT *, row_number() OVER (ORDER BY md5('44|' || transaction_id || '|' || department || '|' || category), transaction_id, department, category) AS pos FROM drawn), par WHERE pos <= wanted),
+both_ AS (SELECT transaction_id, department, category, business_day, price, 1 AS purchase_flag FROM bought UNION ALL SELECT *, NULL, 0 FROM others),
+filled AS (SELECT *, coalesce(price, last_value(price IGNORE NULLS) OVER (PARTITION BY department, category ORDER BY business_day DESC, transaction_id DESC ROWS UNBOUNDED PRECEDING),
+  last_value(price IGNORE NULLS) OVER (PARTITION BY department, category ORDER BY business_day, transaction_id ROWS UNBOUNDED PRECEDING)) AS known FROM both_),
+choice_rows AS (SELECT transaction_id, department, category, coalesce((known - min(known) OVER ()) / nullif(max(known) OVER () - min(known) OVER (), 0), 0) AS price, purchase_flag FROM filled)"""
+
+
 def choice_rows(spark, d):
-    df = star.product_sales(spark, d).filter(cy()).withColumn("price", F.col("amount") / F.col("quantity"))
+    df = star.product_sales(spark, d).withColumn("price", F.col("amount") / F.col("quantity"))
     return models.choice_dataset(df, "transaction_id", "business_day", ATTRIBUTES, "price")
 
 
-@query("choice_dataset")
+@query("choice_dataset", sql(f"WITH {CHOICE_ROWS} SELECT transaction_id, department, category, round(price, 9) AS price, purchase_flag FROM choice_rows"))
 def _(spark, d):
-    return choice_rows(spark, d)[0]
+    return choice_rows(spark, d)[0].withColumn("price", F.round("price", 9))
+
+
+def fitted_choice(spark, d):
+    """Model of the 70 % of receipts that are not held out, all rows with their part, and the purchase rates of grid and rows."""
+    rows, rate = choice_rows(spark, d)
+    rows = stage(rows.withColumn("part", F.when(models.held_out("transaction_id"), "test").otherwise("train")))
+    model = models.fit_choice(rows.filter("part = 'train'"), ATTRIBUTES, ["price"])
+    return model, rows, rate, rows.agg(F.avg("purchase_flag")).first()[0]
 
 
 @query("fit_choice")
 def _(spark, d):
-    rows = stage(choice_rows(spark, d)[0])
-    model = models.fit_choice(rows, ATTRIBUTES, ["price"])
-    return models.classification_report(model.transform(rows))
+    model, rows, *_ = fitted_choice(spark, d)
+    return models.classification_report(model.transform(rows), by=["part"])
+
+
+@query("choice_chain")
+def _(spark, d):
+    """From receipts to delisted SKUs: rows, model, intercept at the true rate, utilities, greedy search."""
+    from tillmark.operators import delisting, metrics
+    from tillmark.plans.ranging import choice_base
+
+    model, _, rate, resampled = fitted_choice(spark, d)
+    betas = models.choice_coefficients(spark, model, ATTRIBUTES, ["price"])
+    intercept = betas.filter("attribute = 'intercept'").first()["beta"]
+    intercept = delisting.recalibrated_intercept(intercept, rate, resampled)
+    valued = delisting.choice_value(choice_base(spark, d), ATTRIBUTES, betas, intercept, ["department"])
+    out = metrics.share_of(metrics.share_of(valued, "sales", ["department"], "sales_share"), "gp", ["department"], "gp_share")
+    out = out.withColumn("sku", F.concat_ws(" ", "brand", "category"))
+    marked = delisting.delist_candidates(out, F.col("brand") == "Brand#1", 0.02, 0.02)
+    done = delisting.greedy_delist(marked, "sku", ["department"])
+    return done.select("department", "sku", F.round("utility", 6).alias("utility"), "removed_round", "delist_flag")
 
 
 @query("forest_elasticity")

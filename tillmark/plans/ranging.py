@@ -295,14 +295,19 @@ ch AS (SELECT *, beta_exp / sum(beta_exp) OVER w AS probability, beta_exp / sum(
   sales / sum(sales) OVER w AS sales_share, gp / sum(gp) OVER w AS gp_share FROM u1 WINDOW w AS (PARTITION BY department))"""
 
 
-def choice(spark, d):
-    base = stage(year_sales(spark, d).groupBy("department", "brand", "category").agg(
+def choice_base(spark, d):
+    """Units, price, sales and profit of each brand in a category."""
+    return year_sales(spark, d).groupBy("department", "brand", "category").agg(
         F.sum("quantity").alias("units"),
         safe_div(F.sum("amount"), F.sum("quantity")).alias("price"),
         F.sum("amount").alias("sales"),
         F.sum(F.col("amount") * F.col("gp_percent") / 100).alias("gp"),
         safe_div(F.sum(F.col("amount") * F.col("gp_percent") / 100), F.sum("amount")).alias("margin"),
-    ))
+    )
+
+
+def choice(spark, d):
+    base = stage(choice_base(spark, d))
     total = base.agg(F.sum("units").alias("t"))
     betas = None
     for a, mean in (("brand", 0.04), ("category", 0.125)):

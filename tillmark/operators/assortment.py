@@ -269,14 +269,17 @@ def gross_profit(sales: DataFrame, gp: DataFrame, keys: Sequence[str], percent:
 
 def compress_attribute(df: DataFrame, column: str, metric: str, cut: float = 0.8, other: str = "Others", by: Sequence[str] = ()) -> DataFrame:
     """Values outside the first ``cut`` of cumulative sales become ``other``."""
-    kept = pareto_cut(df, [column], metric, cut, by).select(*by, column, F.lit(1).alias("__kept"))
-    out = join_keys(df, kept, [*by, column])
-    return out.withColumn(column, F.when(F.col("__kept") == 1, F.col(column)).otherwise(F.lit(other))).drop("__kept")
+    return compress_attributes(df, [column], metric, cut, by, other)
 
 
-def compress_attributes(df: DataFrame, columns: Sequence[str], metric: str, cut: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
+def compress_attributes(
+    df: DataFrame, columns: Sequence[str], metric: str, cut: float = 0.8, by: Sequence[str] = (), other: str = "Others"
+) -> DataFrame:
+    """As ``compress_attribute`` for several columns: their values are summed in one pass over the rows."""
+    sums = stage(df.groupBy(*by, *columns).agg(F.sum(metric).alias(metric)))
     for c in columns:
-        df = compress_attribute(df, c, metric, cut, by=by)
+        kept = pareto_cut(sums, [c], metric, cut, by).select(*by, c, F.lit(1).alias("__kept"))
+        df = join_keys(df, kept, [*by, c]).withColumn(c, F.when(F.col("__kept") == 1, F.col(c)).otherwise(F.lit(other))).drop("__kept")
     return df
 
 

@@ -234,7 +234,8 @@ def rolling_retention(
     A purchase month is sent to the windows that contain it and to the one it follows, so all windows
     come from one shuffle of distinct (customer, month) rows. Windows reaching past the data are left out.
     """
-    months = tx.filter(F.col(customer).isNotNull()).select(*by, customer, month_number(day).alias("__m")).distinct()
+    every = tx.groupBy(*by, customer, month_number(day).alias("__m")).agg(F.count(F.lit(1)).alias("__n"))  # read once, for months and span
+    months = every.filter((F.col(customer).isNotNull()) & (F.col("__n") > 0))
     marks = months.select(
         *by,
         customer,
@@ -245,7 +246,7 @@ def rolling_retention(
         F.max((F.col("__m") < F.col("target")).cast("int")).alias("__in"),
         F.max((F.col("__m") == F.col("target")).cast("int")).alias("__back"),
     )
-    span = tx.agg(F.min(month_number(day)).alias("__lo"), F.max(month_number(day)).alias("__hi"))
+    span = every.agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"))
     out = per.filter("__in = 1").groupBy(*by, "target").agg(
         F.count(F.lit(1)).alias("window_customers"), F.sum("__back").alias("returning")
     )
@@ -267,7 +268,8 @@ def lapse_new(tx: DataFrame, next_months: int = 5, customer: str = "customer_id"
 
     Lag and lead over a customer's months answer all three; a month without enough future is left out.
     """
-    months = tx.filter(F.col(customer).isNotNull()).select(customer, month_number(day).alias("__m")).distinct()
+    every = tx.groupBy(customer, month_number(day).alias("__m")).agg(F.count(F.lit(1)).alias("__n"))  # read once, for months and span
+    months = every.filter((F.col(customer).isNotNull()) & (F.col("__n") > 0))
     w = Window.partitionBy(customer).orderBy("__m")
     flags = months.select(
         "__m",
@@ -277,7 +279,7 @@ def lapse_new(tx: DataFrame, next_months: int = 5, customer: str = "customer_id"
     out = flags.groupBy("__m").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("__new").alias("new_customers"), F.sum("__lapsed").alias("lapsed")
     )
-    span = tx.agg(F.min(month_number(day)).alias("__lo"), F.max(month_number(day)).alias("__hi"))
+    span = every.agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"))
     out = out.crossJoin(F.broadcast(span)).filter(
         (F.col("__m") > F.col("__lo")) & (F.col("__m") + next_months <= F.col("__hi"))
     )

@@ -372,10 +372,10 @@ def count_histogram(df: DataFrame, by: Sequence[str], key: str, item: str, top:
 
 def store_deciles(df: DataFrame, store: str, product: str, metric: str = "amount") -> DataFrame:
     """Stores in tenths of cumulative sales share, largest stores first; stores and SKUs per tenth."""
-    ranked = pareto(df, [store], metric)
+    pairs = stage(df.groupBy(store, product).agg(F.sum(metric).alias(metric)))  # the only pass over the rows
+    ranked = pareto(pairs, [store], metric)
     decile = F.least(F.floor(F.col("cum_before") * 10) + 1, F.lit(10)).cast("int")
     tagged = ranked.select(store, F.col(metric).alias("__sales"), decile.alias("decile"))
-    pairs = df.select(store, product).distinct()
     skus = pairs.join(tagged, store).groupBy("decile").agg(F.countDistinct(product).alias("skus"))
     stores = tagged.groupBy("decile").agg(F.count(F.lit(1)).alias("stores"), F.sum("__sales").alias("sales"))
     per_store = pairs.join(tagged, store).groupBy("decile").agg(F.count(F.lit(1)).alias("listings"))

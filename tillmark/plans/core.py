@@ -9,6 +9,7 @@ from tillmark.operators import joins, metrics, ordered, sets
 from tillmark.plans import star
 from tillmark.plans.registry import query
 from tillmark.plans.star import sql
+from tillmark.session import stage
 
 
 def cy():
@@ -204,12 +205,11 @@ SELECT coalesce(a.material_group, b.material_group) AS material_group, coalesce(
   coalesce(a.s, 0) AS cy_sales, coalesce(a.q, 0) AS cy_volume, coalesce(b.s, 0) AS py_sales, coalesce(b.q, 0) AS py_volume
 FROM a FULL JOIN b ON a.material_group = b.material_group AND a.store_id = b.store_id"""))
 def _(spark, d):
-    def year(test):
-        return star.product_sales(spark, d).filter(test).groupBy("material_group", "store_id").agg(
-            F.sum("amount").alias("sales"), F.sum("quantity").alias("volume")
-        )
-
-    return joins.full_compare(year(cy()), year(py()), ["material_group", "store_id"], ["sales", "volume"])
+    both = star.product_sales(spark, d).filter(cy() | py()).groupBy("material_group", "store_id", cy().alias("current")).agg(
+        F.sum("amount").alias("sales"), F.sum("quantity").alias("volume")
+    )
+    both = stage(both)  # sums of both years from one pass
+    return joins.full_compare(both.filter("current"), both.filter("NOT current"), ["material_group", "store_id"], ["sales", "volume"])
 
 
 @query("exclude_lists", sql(f"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillmark.operators.joins import join_keys, override_values
-from tillmark.session import stage
+from tillmark.session import stage, stage_root
 
 
 def save_table(
@@ -65,28 +66,37 @@ def append_if_absent(df: DataFrame, name: str, keys: Sequence[str]) -> int:
     return added
 
 
+def _overwrite(df: DataFrame, name: str, mode: str) -> None:
+    """Rewrite a table, all of it (``static``) or only the partitions with rows (``dynamic``), whatever the session's setting.
+
+    insertInto takes the mode from its session only. The rows go to the shared folder first (they are read off the table
+    they go to) and from there through a session with settings of its own, so queries that run meanwhile see no change.
+    """
+    spark = df.sparkSession
+    path = f"{stage_root(spark).rstrip('/')}/rewrite-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    own.read.schema(df.schema).parquet(path).write.mode("overwrite").insertInto(name)
+    spark.catalog.refreshTable(name)
+
+
 def update_table(name: str, overrides: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> None:
     """UPDATE by rewrite: overridden values replace those of the table."""
     spark = overrides.sparkSession
-    changed = stage(override_values(spark.table(name), overrides, keys, columns))
-    changed.write.mode("overwrite").insertInto(name)
+    changed = override_values(spark.table(name), overrides, keys, columns)
+    _overwrite(changed.select(*spark.table(name).columns), name, "static")
 
 
 def replace_slice(df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions of the table that ``df`` has rows for."""
-    spark, setting = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")  # as a writer option it does not reach insertInto
-    try:
-        df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
-    finally:
-        spark.conf.set(setting, before)
+    _overwrite(df.select(*df.sparkSession.table(name).columns), name, "dynamic")
 
 
 def delete_slice(name: str, spark: SparkSession, condition: str) -> None:
-    """DELETE by rewrite for tables without it."""
-    kept = stage(spark.table(name).filter(~F.coalesce(F.expr(condition), F.lit(False))))
-    kept.write.mode("overwrite").insertInto(name)
+    """DELETE by rewrite for tables without it; partitions left without rows go."""
+    _overwrite(spark.table(name).filter(~F.coalesce(F.expr(condition), F.lit(False))), name, "static")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

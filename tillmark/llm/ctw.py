@@ -23,7 +23,8 @@ from tillmark.llm.texts import LOWER, coded, flat, pieces, strings, token_array,
 
 #: Bytes of text in a chunk, about.
 CHUNK = 24 << 20
-GRAM, WORD = 0, 1
+#: Contexts are dealt to tasks by this many of their latest bytes.
+TOP = 3
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +86,94 @@ def string_counts(texts: DataFrame, depth: int) -> DataFrame:
     return texts.select("text", "learn").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _spread(ordered: DataFrame, schema: str, each) -> DataFrame:
+    """``each`` over blocks of whole groups of equal ``group``; rows are dealt and sorted by it. Blocks have about half a million rows, or one group."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 500_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = table.column("group").to_numpy()
+            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if whole:
+                yield from each(table.slice(0, whole)).to_batches()
+            held, rows = table.slice(whole).to_batches(), len(group) - whole
+        if rows:
+            yield from each(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return ordered.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ``x``."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _np_ln_gamma(x: np.ndarray) -> np.ndarray:
+    shift, z = np.ones_like(x), x + 8
+    for k in range(8):
+        shift = shift * (x + k)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
+
+
+def _np_ln_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return _np_ln_gamma(n0 + 0.5) + _np_ln_gamma(n1 + 0.5) - 1.1447298858494002 - _np_ln_gamma(n0 + n1 + 1.0)
+
+
+def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, list[dict[str, np.ndarray]]]:
+    """For each depth from ``depth`` up to ``top`` the nodes of the eight bits: key, n0, n1, own (ln KT), below and all (ln of the mixture).
+
+    ``grams`` are sorted and hold whole contexts of ``top`` bytes. A key is the context and the bits decided, as one integer.
+    """
+    out, codes = {}, grams
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            codes = codes & ((1 << 8 * (d + 1)) - 1)
+            order = np.argsort(codes, kind="stable")
+            begin = _runs(codes[order])
+            n = np.add.reduceat(n[order], begin) if len(begin) else n
+            codes = codes[order][begin]
+        nodes = []
+        for k in range(8):
+            key = codes >> (8 - k)
+            begin = _runs(key)
+            ones = np.where(codes >> (7 - k) & 1, n, 0)
+            total, n1 = np.add.reduceat(n, begin), np.add.reduceat(ones, begin)
+            node = {"key": key[begin], "n0": total - n1, "n1": n1, "own": _np_ln_kt((total - n1).astype(float), n1.astype(float))}
+            if d == depth:
+                node["below"] = node["all"] = node["own"]
+            else:
+                child = out[d + 1][k]
+                parent = np.searchsorted(node["key"], child["key"] & ((1 << 8 * d + k) - 1))
+                node["below"] = np.bincount(parent, child["all"], len(begin))
+                node["all"] = np.logaddexp(node["own"], node["below"]) - np.log(2.0)
+            nodes.append(node)
+        out[d] = nodes
+    return out
+
+
 def tree(counts: DataFrame, depth: int) -> DataFrame:
     """gram, value: log10 of the probability of the last byte of each string after the bytes before it.
 
     ``counts`` has gram and n. A context without counts has no say: its string is predicted by the deepest context that has some.
+    Contexts that share their ``TOP`` latest bytes form a subtree that a task can work through; the levels above it are aggregated by Spark.
     """
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    split = counts.select("gram", "n", bits)
-    bit = F.expr("cast((shiftright(gram, 7 - k) & 1) as int)")
-    node = F.expr("(shiftright(gram, 8) * 256) | shiftleft(1L, k) | shiftright(gram & 255, 8 - k)")
-    split = split.select("gram", "n", bit.alias("bit"), node.alias("node"))
-    level = split.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    top = min(TOP, depth)
+    grouped = counts.select(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * top) - 1)).alias("group"), "gram", "n")
+
+    def up(table):
+        order = np.argsort(table.column("gram").to_numpy())
+        nodes = _levels(table.column("gram").to_numpy()[order], table.column("n").to_numpy()[order], depth, top)[top]
+        key = np.concatenate([(node["key"] >> k) << 8 | 1 << k | node["key"] & ((1 << k) - 1) for k, node in enumerate(nodes)])
+        return pa.table({"node": key, **{c: np.concatenate([node[c] for node in nodes]) for c in ("n0", "n1", "own", "below", "all")}})
+
     zeros, ones = F.col("n0").cast("double"), F.col("n1").cast("double")
-    levels = [keep(level.withColumn("own", _ln_kt(zeros, ones)).withColumn("below", F.col("own")).withColumn("all", F.col("own")), "tree")]
-    for d in range(depth - 1, -1, -1):
+    levels = [keep(_spread(grouped, "node long, n0 long, n1 long, own double, below double, all double", up), "tree")]
+    for d in range(top - 1, -1, -1):
         mask = (1 << 8 * (d + 1)) - 1
         level = levels[-1].groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("all").alias("below"))
         level = level.withColumn("own", _ln_kt(zeros, ones))
@@ -107,23 +182,77 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
         levels.append(keep(level.withColumn("all", mixed), "tree"))
     levels.reverse()
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    share = 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0)))) if depth else F.lit(1.0)
+    share = 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0))))
+    # one: the estimate of the deepest context with counts; sum: what the mixture has so far; rest: the weight of deeper contexts
     state = levels[0].select("node", one.alias("one"), (share * one).alias("sum"), (1 - share).alias("rest"))
-    for d in range(1, depth + 1):
+    for d in range(1, top + 1):
         above = state.select(F.col("node").alias("up"), F.col("one").alias("up_one"), F.col("sum").alias("up_sum"), "rest")
-        mask = (1 << 8 * d) - 1
-        both = levels[d].join(above, F.col("node").bitwiseAND(F.lit(mask)) == F.col("up"))
+        both = levels[d].join(above, F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1)) == F.col("up"))
         own = F.when(F.col("n0") + F.col("n1") > 0, one).otherwise(F.col("up_one"))
-        part = F.lit(1.0) if d == depth else share
-        state = both.select("node", own.alias("one"), (F.col("up_sum") + F.col("rest") * part * own).alias("sum"), (F.col("rest") * (1 - part)).alias("rest"))
-    last = state.select("node", F.col("sum").alias("p"))
-    said = split.join(last, "node").groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("value"))
-    made = keep(said, "tree")
+        state = both.select("node", own.alias("one"), (F.col("up_sum") + F.col("rest") * share * own).alias("sum"), (F.col("rest") * (1 - share)).alias("rest"))
+    none = F.lit(None)
+    stream = grouped.select("group", "gram", "n", *(none.cast("double").alias(c) for c in ("one", "sum", "rest"))).unionByName(
+        state.select(F.shiftright("node", 8).alias("group"), F.col("node").alias("gram"), none.cast("long").alias("n"), "one", "sum", "rest")
+    )
+
+    def down(table):
+        is_gram = table.column("n").combine_chunks().is_valid()
+        known, table = table.filter(is_gram.cast(pa.int8()).to_numpy(zero_copy_only=False) == 0), table.filter(is_gram)
+        order = np.argsort(table.column("gram").to_numpy())
+        grams, n = table.column("gram").to_numpy()[order], table.column("n").to_numpy()[order]
+        nodes = known.column("gram").to_numpy()
+        order = np.argsort(nodes)
+        nodes = nodes[order]
+        start = [known.column(c).to_numpy()[order] for c in ("one", "sum", "rest")]
+        made = _levels(grams, n, depth, top)
+        value = np.zeros(len(grams))
+        for k in range(8):
+            key = made[top][k]["key"]
+            at = np.searchsorted(nodes, (key >> k) << 8 | 1 << k | key & ((1 << k) - 1))
+            one, sum_, rest = (x[at] for x in start)
+            for d in range(top + 1, depth + 1):
+                node = made[d][k]
+                above = np.searchsorted(key, node["key"] & ((1 << 8 * (d - 1) + k) - 1))
+                key = node["key"]
+                total = node["n0"] + node["n1"]
+                one = np.where(total > 0, (node["n1"] + 0.5) / (total + 1.0), one[above])
+                sum_, rest = sum_[above], rest[above]
+                part = 1.0 if d == depth else 1 / (1 + np.exp(np.minimum(node["below"] - node["own"], 700.0)))
+                sum_, rest = sum_ + rest * part * one, rest * (1 - part)
+            p = sum_ + rest * one if depth == top else sum_
+            p = p[np.searchsorted(key, grams >> (8 - k))]
+            value += np.log10(np.where(grams >> (7 - k) & 1, p, 1 - p))
+        return pa.table({"gram": grams, "value": value})
+
+    made = keep(_spread(stream, "gram long, value double", down), "tree")
     for level in levels:
         drop(level)
     return made
 
 
+def _chunk_grams(batch: pa.Table, depth: int) -> np.ndarray:
+    """The different strings of a chunk's texts, sorted."""
+    found = [np.unique(_grams(*flat(strings(part.column("text"))), depth)[0]) for part in pieces(batch, 4 << 20)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _chunk_words(batch: pa.Table) -> dict[bytes, int]:
+    """The different words of a chunk's texts, and how often training rows have each; the empty one stands for the end of a text."""
+    words: dict[bytes, int] = {b"": 0}
+    for part in pieces(batch, 4 << 20):
+        learn = part.column("learn")
+        learn = (learn.combine_chunks() if isinstance(learn, pa.ChunkedArray) else learn).to_numpy(zero_copy_only=False)
+        words[b""] += int(learn.sum())
+        data, offsets = flat(strings(part.column("text")))
+        data = LOWER[data]
+        starts, ends, first = word_spans(data, offsets)
+        distinct, index = coded(token_array(data, starts, ends))
+        n = np.bincount(index[np.repeat(learn, np.diff(first))], minlength=len(distinct)) if len(index) else np.zeros(len(distinct), np.int64)
+        for w, c in zip(distinct, n.tolist()):
+            words[w] = words.get(w, 0) + c
+    return words
+
+
 def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, learnt, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
 
@@ -142,58 +271,39 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
     # the hash of the whole row, so that no id, however frequent, fills a chunk; equal rows may meet in one
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
 
-    def wanted(batch):
-        """The strings and words of a chunk, with the counts of words in its training rows."""
-        words, grams = {}, []
-        docs_learnt = 0
-        for part in pieces(batch, 4 << 20):
-            texts = strings(part.column("text"))
-            learn = part.column("learn")
-            learn = (learn.combine_chunks() if isinstance(learn, pa.ChunkedArray) else learn).to_numpy(zero_copy_only=False)
-            docs_learnt += int(learn.sum())
-            data, offsets = flat(texts)
-            grams.append(np.unique(_grams(data, offsets, depth)[0]))
-            data = LOWER[data]
-            starts, ends, first = word_spans(data, offsets)
-            distinct, index = coded(token_array(data, starts, ends))
-            n = np.bincount(index[np.repeat(learn, np.diff(first))], minlength=len(distinct)) if len(index) else np.zeros(len(distinct), np.int64)
-            for w, c in zip(distinct, n.tolist()):
-                words[w] = words.get(w, 0) + c
-        grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        chunk = batch.column("chunk")[0].as_py()
-        words[b""] = docs_learnt  # the end of a text: no word is empty
-        return pa.table(
-            {
-                "chunk": pa.array(np.full(len(grams) + len(words), chunk, np.int32)),
-                "gram": pa.concat_arrays([pa.array(grams), pa.nulls(len(words), pa.int64())]),
-                "word": pa.concat_arrays([pa.nulls(len(grams), pa.binary()), pa.array(list(words), pa.binary())]),
-                "n": pa.concat_arrays([pa.array(np.zeros(len(grams), np.int64)), pa.array(list(words.values()), pa.int64())]),
-            }
-        )
-
-    asked = dealt.groupBy("chunk").applyInArrow(wanted, "chunk int, gram long, word binary, n long")
-    grams = asked.where("gram is not null").select("chunk", "gram").join(values, "gram")
-    words = asked.where("gram is null").select("chunk", "word", "n")
+    def strings_of(batch):
+        """The different strings of a chunk, each with its place in their order."""
+        grams = _chunk_grams(batch, depth)
+        return pa.table({"chunk": np.full(len(grams), batch.column("chunk")[0].as_py(), np.int32), "place": np.arange(len(grams), dtype=np.int32), "gram": grams})
+
+    def words_of(batch):
+        """The different words of a chunk, each with its place in their order and its count in the chunk's training rows."""
+        words = _chunk_words(batch)
+        order = sorted(words)
+        return pa.table({"chunk": pa.array(np.full(len(order), batch.column("chunk")[0].as_py(), np.int32)), "place": np.arange(len(order), dtype=np.int32), "word": pa.array(order, pa.binary()), "n": pa.array([words[w] for w in order], pa.int64())})
 
+    grams = dealt.groupBy("chunk").applyInArrow(strings_of, "chunk int, place int, gram long").join(values, "gram")
+    words = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, place int, word binary, n long")
     of_word = Window.partitionBy("word")
-    words = words.select("chunk", "word", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"))
-    answers = grams.select(F.col("chunk").alias("at"), "gram", F.lit(None).cast("binary").alias("word"), "value", F.lit(0).cast("long").alias("n"), F.lit(False).alias("first")).unionByName(
-        words.select(F.col("chunk").alias("at"), F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"), "n", "first")
+    words = words.select("chunk", "place", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"))
+    # places below zero are words', the others strings'; n and the first row of each word give the corpus's totals
+    answers = grams.select(F.col("chunk").alias("at"), "place", "value", F.lit(None).cast("long").alias("n")).unionByName(
+        words.select(F.col("chunk").alias("at"), (-1 - F.col("place")).alias("place"), F.col("c").cast("double").alias("value"), F.when(F.col("first"), -1 - F.col("n")).otherwise(F.col("n")).alias("n"))
     )
 
     def scored(texts, known):
-        is_gram = known.column("gram").combine_chunks().is_valid()
-        table = known.filter(is_gram)
-        grams = table.column("gram").to_numpy()
-        order = np.argsort(grams)
-        grams, log10 = grams[order], table.column("value").to_numpy()[order]
-        table = known.filter(known.column("gram").combine_chunks().is_null())
-        counts = table.column("value").to_numpy()
-        first = table.column("first").combine_chunks().to_numpy(zero_copy_only=False)
-        words = dict(zip(table.column("word").to_pylist(), range(table.num_rows)))
+        place, value = known.column("place").to_numpy(), known.column("value").to_numpy()
+        is_word = place < 0
+        grams = _chunk_grams(texts, depth)
+        log10 = np.empty(len(grams))
+        log10[place[~is_word]] = value[~is_word]
+        counts = np.empty(int(is_word.sum()))
+        counts[-1 - place[is_word]] = value[is_word]
+        words = {w: k for k, w in enumerate(sorted(_chunk_words(texts)))}
         end = counts[words[b""]]
-        new_words = int((first & (counts > 0)).sum())
-        trained = int(table.column("n").to_numpy().sum())
+        n = known.column("n").combine_chunks().drop_null().to_numpy()
+        new_words = int(((n < 0) & (value[is_word] > 0)).sum())
+        trained = int(np.where(n < 0, -1 - n, n).sum())
         out = []
         for part in pieces(texts, 4 << 20):
             column = strings(part.column("text"))

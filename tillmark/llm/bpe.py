@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -88,7 +89,7 @@ class Encoder:
 
     def __init__(self, special: dict[str, int], new_words):
         self.special, self.new_words = special, new_words
-        self.store: dict[bytes, np.ndarray] = {}
+        self.store: dict[bytes, bytes] = {}  # word -> its ids, packed
         self.stored = 0
 
     def _words(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +102,12 @@ class Encoder:
             if self.stored > self.STORE:
                 self.store, self.stored = {}, 0
             for k, made in zip(new, self.new_words([words[k] for k in new])):
-                ids[k] = self.store[words[k]] = made
-                self.stored += len(words[k]) + 150
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                ids[k] = self.store[words[k]] = array("I", made).tobytes()
+                self.stored += 5 * len(words[k]) + 180
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         if not len(index):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        every = np.fromiter((x for made in ids for x in made), dtype=np.uint32, count=int(length.sum()))
+        every = np.frombuffer(b"".join(ids), dtype=np.uint32)
         begin = np.cumsum(length) - length
         return every[ragged(begin[index], length[index])], length[index]
 
@@ -134,9 +135,21 @@ def own_encoder(content: str) -> Encoder:
     return Encoder(vocabulary.special, lambda words: [encode_word(w, vocabulary) for w in words])
 
 
-def encode(docs: DataFrame, vocabulary: str, columns: list[str], text: str = "text") -> DataFrame:
+class Decoder:
+    def __init__(self, known: Vocabulary):
+        self.table = [known.bytes_of.get(i, b"") for i in range(known.size)]
+
+    def text(self, packed: bytes | None) -> str | None:
+        """The text of ids packed as little-endian unsigned 32-bit integers. Bytes that are no UTF-8 become U+FFFD."""
+        return None if packed is None else b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: str, columns: list[str], text: str = "text", decoded: bool = False) -> DataFrame:
     """The given columns, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's whole text.
 
+    With ``decoded`` also the text that decoding these ids gives, made by the same Python worker (a second one for each
+    task would need as much memory again).
+
     ``vocabulary`` is the path of the vocabulary file as the driver sees it; the tasks get its content. Special strings
     inside texts become their special token, no token is added. A null or empty text has no tokens.
     """
@@ -145,34 +158,31 @@ def encode(docs: DataFrame, vocabulary: str, columns: list[str], text: str = "te
 
     def run(batches):
         encoder = own_encoder(content.value)
+        decoder = Decoder(Vocabulary(content.value)) if decoded else None
         for batch in batches:
             for part in pieces(batch):
                 ids, at = encoder.batch(strings(part.column("text")))
                 data = ids.astype("<u4").tobytes()
                 packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k{n}") for n in range(len(columns))), pa.array(np.diff(at)), packed.cast(pa.binary())], [*(f"k{n}" for n in range(len(columns))), "n_tokens", "ids"])
+                more = [pa.array([decoder.text(p) for p in packed.to_pylist()], pa.string())] if decoder else []
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{n}") for n in range(len(columns))), pa.array(np.diff(at)), packed.cast(pa.binary()), *more], [*(f"k{n}" for n in range(len(columns))), "n_tokens", "ids", "decoded"][: len(columns) + 2 + len(more)])
 
     chosen = docs.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(columns)), F.col(text).cast("string").alias("text"))
-    made = chosen.mapInArrow(run, f"{kinds}{', ' * bool(columns)}n_tokens bigint, ids binary")
-    return made.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(columns)), "n_tokens", "ids")
+    made = chosen.mapInArrow(run, f"{kinds}{', ' * bool(columns)}n_tokens bigint, ids binary{', decoded string' * decoded}")
+    return made.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(columns)), "n_tokens", "ids", *["decoded"] * decoded)
 
 
 def decode(tokens: DataFrame, vocabulary: str, columns: list[str], ids: str = "ids") -> DataFrame:
-    """The given columns and decoded: the text of each row's ids (null for null), specials written out.
-
-    Bytes that are no UTF-8 (ids that don't come from a text) become U+FFFD.
-    """
+    """The given columns and decoded: the text of each row's ids (null for null), specials written out."""
     content = tokens.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     kinds = ", ".join(f"k{n} {tokens.schema[c].dataType.simpleString()}" for n, c in enumerate(columns))
 
     def run(batches):
-        known = Vocabulary(content.value)
-        table = [known.bytes_of.get(i, b"") for i in range(known.size)]
+        decoder = Decoder(Vocabulary(content.value))
         for batch in batches:
-            texts = []
-            for packed in batch.column("ids").to_pylist():
-                texts.append(None if packed is None else b"".join(map(table.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"k{n}") for n in range(len(columns))), pa.array(texts, pa.string())], [*(f"k{n}" for n in range(len(columns))), "decoded"])
+            for part in pieces(batch, text="ids"):
+                texts = [decoder.text(p) for p in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{n}") for n in range(len(columns))), pa.array(texts, pa.string())], [*(f"k{n}" for n in range(len(columns))), "decoded"])
 
     made = tokens.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(columns)), F.col(ids).alias("ids")).mapInArrow(run, f"{kinds}{', ' * bool(columns)}decoded string")
     return made.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(columns)), "decoded")

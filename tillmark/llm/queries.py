@@ -52,11 +52,8 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
-    vocabulary = public_tokenizers.path(BYTE_BPE)
-    ids = bpe.encode(table(spark, folder, "documents"), vocabulary, ["doc_id"])
-    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
-    texts = bpe.decode(ids, vocabulary, ["doc_id", "n_tokens", "ids_sha256"])
-    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    made = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), ["doc_id"], decoded=True)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @query

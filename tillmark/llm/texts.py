@@ -33,7 +33,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch, limit: int = 4 << 20, text: str = "text"):
+def pieces(batch, limit: int = 2 << 20, text: str = "text"):
     """Slices of a record batch (or table) of about ``limit`` bytes of text each."""
     n = batch.num_rows
     if not n:

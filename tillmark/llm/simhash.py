@@ -174,10 +174,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     rows = keep(fingerprints(docs, id, text, words_per_shingle), "fingerprints")
     prints = keep(rows.groupBy("fp").agg(F.min(id).alias("least")), "prints")
     found = keep(components(links(prints.select("fp"))), "components")
-    grouped = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.where(F.col("root") != F.col("fp")).select("root").distinct()  # only these classes have several fingerprints
-    several = grouped.join(least, "root", "left_semi")
-    classes = several.groupBy("root").agg(F.min("least").alias("class_least"))
-    of_print = several.join(classes, "root").select("fp", F.col("class_least"))
-    of_print = prints.join(of_print, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
+    # tables on both sides of the joins by class and by fingerprint, so that Spark can split those that hold many rows
+    classes = keep(found.join(prints, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("class_least")), "classes")
+    of_class = found.join(classes, "root").select(F.col("node").alias("fp"), "class_least")
+    of_print = keep(prints.join(of_class, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id")), "classes")
     return rows.join(of_print, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

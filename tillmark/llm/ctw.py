@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +73,15 @@ def string_counts(texts: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 16 << 20):
+            for part in pieces(batch):
                 data, offsets = flat(strings(part.column("text")))
                 codes, first = _grams(data, offsets, depth)
-                learn = part.column("learn").fill_null(False).to_numpy(zero_copy_only=False)
-                weight = np.repeat(learn.astype(np.int64), np.diff(first))
-                order = np.argsort(codes, kind="stable")
-                codes, weight = codes[order], weight[order]
-                begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-                n = np.add.reduceat(weight, begin) if len(begin) else begin
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(codes[begin], -1)), pa.array(np.append(n, len(data)))], ["gram", "n"])
+                learn = np.repeat(part.column("learn").fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
+                counted = pa.array(codes[learn]).value_counts()
+                others = pa.array(codes[~learn]).unique()
+                gram = np.concatenate([counted.field("values").to_numpy(), others.to_numpy(), [-1]]).astype(np.int64)
+                n = np.concatenate([counted.field("counts").to_numpy(), np.zeros(len(others), np.int64), [len(data)]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
     return texts.select("text", "learn").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -230,16 +230,16 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
     return made
 
 
-def _chunk_grams(batch: pa.Table, depth: int) -> np.ndarray:
-    """The different strings of a chunk's texts, sorted."""
-    found = [np.unique(_grams(*flat(strings(part.column("text"))), depth)[0]) for part in pieces(batch, 4 << 20)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def _chunk_grams(batch: pa.Table, depth: int) -> pa.Array:
+    """The different strings of a chunk's texts."""
+    found = [pa.array(_grams(*flat(strings(part.column("text"))), depth)[0]).unique() for part in pieces(batch)]
+    return pa.concat_arrays(found).unique() if found else pa.array([], pa.int64())
 
 
 def _chunk_words(batch: pa.Table) -> dict[bytes, int]:
     """The different words of a chunk's texts, and how often training rows have each; the empty one stands for the end of a text."""
     words: dict[bytes, int] = {b"": 0}
-    for part in pieces(batch, 4 << 20):
+    for part in pieces(batch):
         learn = part.column("learn")
         learn = (learn.combine_chunks() if isinstance(learn, pa.ChunkedArray) else learn).to_numpy(zero_copy_only=False)
         words[b""] += int(learn.sum())
@@ -272,9 +272,9 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
 
     def strings_of(batch):
-        """The different strings of a chunk, each with its place in their order."""
+        """The different strings of a chunk."""
         grams = _chunk_grams(batch, depth)
-        return pa.table({"chunk": np.full(len(grams), batch.column("chunk")[0].as_py(), np.int32), "place": np.arange(len(grams), dtype=np.int32), "gram": grams})
+        return pa.table({"chunk": np.full(len(grams), batch.column("chunk")[0].as_py(), np.int32), "gram": grams})
 
     def words_of(batch):
         """The different words of a chunk, each with its place in their order and its count in the chunk's training rows."""
@@ -282,23 +282,21 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
         order = sorted(words)
         return pa.table({"chunk": pa.array(np.full(len(order), batch.column("chunk")[0].as_py(), np.int32)), "place": np.arange(len(order), dtype=np.int32), "word": pa.array(order, pa.binary()), "n": pa.array([words[w] for w in order], pa.int64())})
 
-    grams = dealt.groupBy("chunk").applyInArrow(strings_of, "chunk int, place int, gram long").join(values, "gram")
+    grams = dealt.groupBy("chunk").applyInArrow(strings_of, "chunk int, gram long").join(values, "gram")
     words = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, place int, word binary, n long")
     of_word = Window.partitionBy("word")
     words = words.select("chunk", "place", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"))
-    # places below zero are words', the others strings'; n and the first row of each word give the corpus's totals
-    answers = grams.select(F.col("chunk").alias("at"), "place", "value", F.lit(None).cast("long").alias("n")).unionByName(
-        words.select(F.col("chunk").alias("at"), (-1 - F.col("place")).alias("place"), F.col("c").cast("double").alias("value"), F.when(F.col("first"), -1 - F.col("n")).otherwise(F.col("n")).alias("n"))
+    # keys below zero are words' places, the others strings; n and the first row of each word give the corpus's totals
+    answers = grams.select(F.col("chunk").alias("at"), F.col("gram").alias("key"), "value", F.lit(None).cast("long").alias("n")).unionByName(
+        words.select(F.col("chunk").alias("at"), (-1 - F.col("place")).cast("long").alias("key"), F.col("c").cast("double").alias("value"), F.when(F.col("first"), -1 - F.col("n")).otherwise(F.col("n")).alias("n"))
     )
 
     def scored(texts, known):
-        place, value = known.column("place").to_numpy(), known.column("value").to_numpy()
-        is_word = place < 0
-        grams = _chunk_grams(texts, depth)
-        log10 = np.empty(len(grams))
-        log10[place[~is_word]] = value[~is_word]
+        key, value = known.column("key").to_numpy(), known.column("value").to_numpy()
+        is_word = key < 0
+        grams, log10 = pa.array(key[~is_word]), value[~is_word]
         counts = np.empty(int(is_word.sum()))
-        counts[-1 - place[is_word]] = value[is_word]
+        counts[-1 - key[is_word]] = value[is_word]
         words = {w: k for k, w in enumerate(sorted(_chunk_words(texts)))}
         end = counts[words[b""]]
         n = known.column("n").combine_chunks().drop_null().to_numpy()
@@ -310,7 +308,7 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
             data, offsets = flat(column)
             codes, at = _grams(data, offsets, depth)
             # the sums of single texts, not differences of long sums, where rounding would add up
-            value = np.add.reduceat(log10[np.searchsorted(grams, codes)], at[:-1]) if len(at) > 1 else np.zeros(0)
+            value = np.add.reduceat(log10[pc.index_in(pa.array(codes), grams).to_numpy()], at[:-1]) if len(at) > 1 else np.zeros(0)
             data = LOWER[data]
             starts, ends, begin = word_spans(data, offsets)
             distinct, index = coded(token_array(data, starts, ends))

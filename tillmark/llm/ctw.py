@@ -46,11 +46,10 @@ def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
     row[body] = LOWER[data]
     code = np.zeros(len(row), dtype=np.uint64)
     for k in range(depth, -1, -1):  # the byte k places before
-        shifted = row[: len(row) - k] if k else row
-        code[k:] = code[k:] << np.uint64(8) | shifted
+        code <<= np.uint64(8)
+        code[k:] |= row[: len(row) - k]
     wanted = body
-    last = np.append(at[1:], len(row) - 1) + 0  # the place after a text's last byte
-    wanted[last] = True
+    wanted[np.append(at[1:], len(row) - 1)] = True  # the place after a text's last byte
     first = offsets + np.arange(many + 1)
     return code[wanted].astype(np.int64), first
 
@@ -303,7 +302,7 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
         new_words = int(((n < 0) & (value[is_word] > 0)).sum())
         trained = int(np.where(n < 0, -1 - n, n).sum())
         out = []
-        for part in pieces(texts, 4 << 20):
+        for part in pieces(texts):
             column = strings(part.column("text"))
             data, offsets = flat(column)
             codes, at = _grams(data, offsets, depth)

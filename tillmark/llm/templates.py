@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders, everything else lower-case words; windows of the canonical tokens are
 hashed and joined between benchmark and documents. Where windows meet, the placeholders' values are compared: a leak that was
-given other numbers or names has to change equal slots equally, in both directions.
+given other numbers or names has to change equal slots equally, in both directions. Each text has three forms, which meet only their own
+kind: in one a capitalised word that opens a sentence is a word, in another a name, and in the third every token is its lower-cased self, so that
+copies are found whatever their case, their numbers and the rest of the alignment.
 
 Documents send only windows that a Bloom filter of the benchmark's windows lets through. The filter has a fixed size; with a very large
 benchmark it lets more through, and the join decides all the same.
@@ -21,7 +23,7 @@ from tillmark.llm.texts import coded, flat, pieces, ragged, strings, token_array
 WINDOW = 8
 #: Tokens in a row, about, that make a leak; a shorter item has to be there whole.
 LEAK_TOKENS = 13
-#: Items of fewer canonical tokens, and windows with fewer plain words, are too common to tell a leak.
+#: Items of fewer canonical tokens, and windows with fewer plain words, are too common to tell a leak by their template; they count in their own words only.
 LEAST_TOKENS, LEAST_WORDS = 5, 3
 BLOOM_BITS = 23
 
@@ -36,6 +38,7 @@ _SENTENCE_END = np.zeros(256, dtype=bool)
 _SENTENCE_END[[ord(c) for c in ".!?:\n\""]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD, NUMBER, NAME, UNIT = range(4)
+OPENERS_PLAIN, OPENERS_NAMED, LITERAL = range(3)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,10 +63,11 @@ def _token_facts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return value, named, unit
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind and value of each canonical token of all texts, and where each text's start.
+def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each form the kind and value of each token of all texts, and where each text's start.
 
-    A capitalised word is a name unless a sentence starts with it; names in a row are one. A unit is a unit word right after a number.
+    A capitalised word is a name, unless a sentence starts with it and the form has openers plain; names in a row are one. A unit is a
+    unit word right after a number. The literal form has plain words only.
     """
     n = len(data)
     kind = _KIND[data]
@@ -80,7 +84,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.searchsorted(starts, offsets)
     m = len(starts)
     if not m:
-        return np.zeros(0, np.uint8), np.zeros(0, np.uint64), first
+        return [(np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)] * 2
     words, index = coded(token_array(data, starts, ends))
     value, named, unit = (x[index] for x in _token_facts(words))
     stops = np.append(0, np.cumsum(_SENTENCE_END[data]))
@@ -90,80 +94,95 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     number = kind[starts] == _DIGIT
     after_number = np.zeros(m, dtype=bool)
     after_number[1:] = number[:-1] & ~opens[1:]
-    name = named & ~opens & ~number
-    what = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(name, NAME, WORD))).astype(np.uint8)
-    again = np.zeros(m, dtype=bool)
-    again[1:] = (what[1:] == NAME) & (what[:-1] == NAME)
-    keep_ = np.flatnonzero(~again)
-    value = np.add.reduceat(_mixed(value + np.where(again, np.uint64(1), np.uint64(0))), keep_)  # names in a row: the value of all
-    return what[keep_], value, np.searchsorted(keep_, first)
-
-
-def windows(what: np.ndarray, value: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start (token number) and hash of each window of ``length`` tokens that lies in one text and has enough plain words."""
+    made = []
+    for name in (named & ~opens & ~number, named & ~number):
+        what = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(name, NAME, WORD))).astype(np.uint8)
+        again = np.zeros(m, dtype=bool)
+        again[1:] = (what[1:] == NAME) & (what[:-1] == NAME) & ~opens[1:]
+        keep_ = np.flatnonzero(~again)
+        whole = np.add.reduceat(_mixed(value + np.where(again, np.uint64(1), np.uint64(0))), keep_)  # names in a row: the value of all
+        made.append((what[keep_], whole, np.searchsorted(keep_, first)))
+    return made
+
+
+def windows(form: int, what: np.ndarray, value: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (token number) and hash of each window of ``length`` tokens that lies in one text and, but in the literal form, has enough plain words."""
     n = len(what)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     code = np.where(what == WORD, value, what.astype(np.uint64) + np.uint64(1))
     count = n - length + 1
-    h = np.full(count, length, dtype=np.uint64)
+    h = np.full(count, length + (form << 8), dtype=np.uint64)
     for k in range(length):
         h = h * _MIX + code[k : k + count]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    plain = np.append(0, np.cumsum(what == WORD))
-    ok = (text[:count] == text[length - 1 :]) & (plain[length:] - plain[:count] >= LEAST_WORDS)
+    ok = text[:count] == text[length - 1 :]
+    if form != LITERAL:
+        plain = np.append(0, np.cumsum(what == WORD))
+        ok &= plain[length:] - plain[:count] >= LEAST_WORDS
     at = np.flatnonzero(ok)
     return at, _mixed(h[at])
 
 
-def _out(ids, what, value, first, at, h, length, widths) -> pa.RecordBatch:
-    text = np.searchsorted(first, at, side="right") - 1
+def _out(ids, form, what, value, first, at, h, length, text, made) -> pa.RecordBatch:
     slot = np.append(0, np.cumsum(what != WORD))
     slots_at = np.flatnonzero(what != WORD)
     begin, many = slot[at], slot[at + length] - slot[at]
     values = (value[slots_at[ragged(begin, many)]]).view(np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(values))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((at - first[text]).astype(np.int64)), lists, pa.array(widths[text].astype(np.int64))], ["id", "h", "at", "slots", "tokens"])
+    width = np.diff(first)[text]
+    columns = [ids.take(pa.array(text)), pa.array(np.full(len(at), form)), pa.array(h.view(np.int64)), pa.array((at - first[text]).astype(np.int64)), lists, pa.array(width.astype(np.int64)), pa.array(made[text].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "form", "h", "at", "slots", "tokens", "made"])
 
 
 def _windows_of(rows: DataFrame, lengths_for, passes=None) -> DataFrame:
-    """id, h, at, slots, tokens of the windows of each row's text. ``lengths_for``: token counts -> {length: which texts}."""
+    """id, form, h, at, slots, tokens and made (how many there are of the text, form and length) of the windows of each row's text.
+
+    ``lengths_for``: form and token counts -> {length: which texts}.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         test = passes() if passes else None
         for batch in batches:
             for part in pieces(batch):
-                what, value, first = canonical(*flat(strings(part.column("text"))))
-                widths = np.diff(first)
-                for length, chosen in lengths_for(widths).items():
-                    at, h = windows(what, value, first, length)
-                    ok = chosen[np.searchsorted(first, at, side="right") - 1]
-                    ok &= test(h) if test else True
-                    at, h = at[ok], h[ok]
-                    for lo in range(0, len(at), 1 << 16):
-                        yield _out(part.column("id"), what, value, first, at[lo : lo + (1 << 16)], h[lo : lo + (1 << 16)], length, widths)
+                for form, (what, value, first) in enumerate(canonical(*flat(strings(part.column("text"))))):
+                    for length, chosen in lengths_for(form, np.diff(first)).items():
+                        at, h = windows(form, what, value, first, length)
+                        text = np.searchsorted(first, at, side="right") - 1
+                        made = np.bincount(text, minlength=len(first) - 1)
+                        ok = chosen[text]
+                        ok &= test(h) if test else True
+                        at, h, text = at[ok], h[ok], text[ok]
+                        for lo in range(0, len(at), 1 << 16):
+                            some = slice(lo, lo + (1 << 16))
+                            yield _out(part.column("id"), form, what, value, first, at[some], h[some], length, text[some], made)
 
-    return rows.mapInArrow(run, f"id {kind}, h long, at long, slots array<long>, tokens long")
+    return rows.mapInArrow(run, f"id {kind}, form long, h long, at long, slots array<long>, tokens long, made long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id``, ``item``, windows, item_windows and coverage for each document and benchmark item it leaks.
 
     An item leaks when windows that make up about ``LEAK_TOKENS`` tokens of it (all, if it is shorter) occur in the document
-    with consistent slots. Null and empty texts match nothing, items under ``LEAST_TOKENS`` canonical tokens neither. Rows with one id count as one document
+    with consistent slots, or in a row in the item's own words, in whatever case. Windows are counted in the form that covers the item best.
+    Null and empty texts match nothing. Items under ``LEAST_TOKENS`` canonical tokens, and those without windows of ``LEAST_WORDS``
+    plain words, are found in their own words only. Rows with one id count as one document
     or item; null ids are an id of their own. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    sizes = range(LEAST_TOKENS, WINDOW + 1)
+
+    def of_item(form, n):
+        return {k: (n >= k) if k == WINDOW else n == k for k in range(1 if form == LITERAL else LEAST_TOKENS, WINDOW + 1)}
+
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).cast("string").alias("text"))
-    wanted = keep(_windows_of(items, lambda n: {k: (n >= k) if k == WINDOW else n == k for k in sizes}), "windows")
+    wanted = keep(_windows_of(items, of_item), "windows")
     bit = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
     filled = wanted.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BLOOM_BITS}) & 31 as int))")).alias("bits"))
     bloom = np.zeros(1 << BLOOM_BITS - 5, dtype=np.uint32)
     for row in filled.collect():  # 2 ** 18 rows at most
         bloom[row["word"]] = row["bits"]
-    lengths = sorted({r[0] for r in wanted.select(F.least("tokens", F.lit(WINDOW)).alias("n")).distinct().collect()})  # of 4 possible ones
+    lengths = sorted(tuple(r) for r in wanted.select("form", F.least("tokens", F.lit(WINDOW)).alias("n")).distinct().collect())  # of 16 possible ones
     shared = spark.sparkContext.broadcast(bloom.tobytes())  # a megabyte, whatever the input
 
     def passes():
@@ -177,17 +196,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         return test
 
     texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    found = _windows_of(texts, lambda n: {k: n >= k for k in lengths}, passes)
-    left = found.select(F.col("id").alias("doc"), "h", F.col("at").alias("p"), F.col("slots").alias("said"))
-    right = wanted.select(F.col("id").alias("item"), "h", F.col("at").alias("q"), F.col("slots").alias("asked"), "tokens")
-    met = left.join(right, "h").withColumn("pairs", F.arrays_zip("asked", "said"))
+    found = _windows_of(texts, lambda form, n: {k: n >= k for f, k in lengths if f == form}, passes)
+    left = found.select(F.col("id").alias("doc"), "form", "h", F.col("at").alias("p"), F.col("slots").alias("said"))
+    right = wanted.select(F.col("id").alias("item"), "form", "h", F.col("at").alias("q"), F.col("slots").alias("asked"), "tokens", "made")
+    met = left.join(right, ["form", "h"]).withColumn("pairs", F.arrays_zip("asked", "said"))
     consistent = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.asked"))) & (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.said")))
     met = met.where(consistent).withColumn("line", F.col("p") - F.col("q"))
     # the slots of all windows of one alignment together; an item's tokens bound them
-    runs = met.groupBy("doc", "item", "line").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("q").alias("qs"), F.max("tokens").alias("tokens")).where(consistent)
-    item_windows = F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1)
-    pairs = runs.groupBy("doc", "item").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.max("tokens").alias("tokens"))
-    # the first word of a passage may look like a name where no sentence ends before it, so one window may be missing
-    need = F.least(F.lit(LEAK_TOKENS - WINDOW + 1), F.greatest(F.lit(1), F.col("item_windows") - 1))
-    pairs = pairs.select("doc", "item", F.size("qs").cast("long").alias("windows"), item_windows.alias("item_windows"))
-    return pairs.where(F.col("windows") >= need).select(F.col("doc").alias(id), F.col("item").alias(item), "windows", "item_windows", F.least(F.lit(1.0), F.col("windows") / F.col("item_windows")).alias("coverage"))
+    facts = [F.max("tokens").alias("tokens"), F.max("made").alias("made")]
+    runs = met.groupBy("doc", "item", "form", "line").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("q").alias("qs"), *facts).where(consistent)
+    literal = F.col("form") == LITERAL
+    pairs = runs.groupBy("doc", "item", "form").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("all"), *facts)
+    # the first word of a passage may look like a name where no sentence ends before it, so one template window of a whole set may be missing
+    need = F.least(F.lit(LEAK_TOKENS - WINDOW + 1), F.greatest(F.lit(1), F.col("tokens") - WINDOW))
+    many = F.size("all").cast("long")
+    pairs = pairs.select("doc", "item", "form", "tokens", "made", many.alias("windows")).where(F.col("windows") >= need)
+    best = F.struct(F.least(F.lit(1.0), F.col("windows") / F.col("made")).alias("coverage"), "windows", F.col("made").alias("item_windows"))
+    pairs = pairs.groupBy("doc", "item").agg(F.max(best).alias("best"))
+    return pairs.select(F.col("doc").alias(id), F.col("item").alias(item), "best.windows", "best.item_windows", "best.coverage")

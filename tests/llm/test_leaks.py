@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from test_models import leaks_of
 
+from tillmark.llm import templates
+
 TOM = "Tom has 5 apples. Tom gives 2 to Ann. How many are left with Tom now?"
+SUM = "Compute the sum of 12, 15, 18, 21, 24 and 27 now."
+DIGITS = "What is 12 + 7 - 3 * 5 + 18 - 4 + 9 + 31?"
 
 
 def test_names_that_open_sentences(spark):
@@ -15,3 +20,15 @@ def test_names_that_open_sentences(spark):
         TOM,
     ]
     assert {d for d, _ in leaks_of(spark, texts, [TOM])} == {0, 1, 3}
+
+
+def test_items_of_few_words(spark):
+    short, verb = "Is 2 prime?", "Name the largest planet."
+    texts = [f"Before. {SUM}", f"They wrote {DIGITS} and left.", SUM.replace("12", "13").replace("27", "30"), f"He said {short}", f"He said {verb}", "What is 12 + 7 - 3 * 5 + 18 - 4 + 9 + 32?", "Is 3 prime?", "Compute the sum of it all now."]
+    assert leaks_of(spark, texts, [SUM, DIGITS, short, verb]) == {(0, 0), (1, 1), (2, 0), (3, 2), (4, 3)}
+
+
+def test_coverage_counts_the_windows_there_are(spark):
+    docs = spark.createDataFrame([(0, SUM)], "doc_id long, text string")
+    row = templates.leaks(docs, spark.createDataFrame([(0, SUM)], "item_id long, text string")).first()
+    assert row["coverage"] == pytest.approx(1.0) and row["windows"] == row["item_windows"]

@@ -84,7 +84,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
     first = np.searchsorted(starts, offsets)
     m = len(starts)
     if not m:
-        return [(np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)] * 2
+        return [(np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)] * 3
     words, index = coded(token_array(data, starts, ends))
     value, named, unit = (x[index] for x in _token_facts(words))
     stops = np.append(0, np.cumsum(_SENTENCE_END[data]))
@@ -102,7 +102,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
         keep_ = np.flatnonzero(~again)
         whole = np.add.reduceat(_mixed(value + np.where(again, np.uint64(1), np.uint64(0))), keep_)  # names in a row: the value of all
         made.append((what[keep_], whole, np.searchsorted(keep_, first)))
-    return made
+    return [*made, (np.zeros(m, np.uint8), value, first)]
 
 
 def windows(form: int, what: np.ndarray, value: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     literal = F.col("form") == LITERAL
     pairs = runs.groupBy("doc", "item", "form").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("all"), *facts)
     # the first word of a passage may look like a name where no sentence ends before it, so one template window of a whole set may be missing
-    need = F.least(F.lit(LEAK_TOKENS - WINDOW + 1), F.greatest(F.lit(1), F.col("tokens") - WINDOW))
+    whole = F.col("made") >= F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1)
+    need = F.least(F.lit(LEAK_TOKENS - WINDOW + 1), F.when(~literal & whole, F.greatest(F.lit(1), F.col("made") - 1)).otherwise(F.col("made")))
     many = F.size("all").cast("long")
     pairs = pairs.select("doc", "item", "form", "tokens", "made", many.alias("windows")).where(F.col("windows") >= need)
     best = F.struct(F.least(F.lit(1.0), F.col("windows") / F.col("made")).alias("coverage"), "windows", F.col("made").alias("item_windows"))

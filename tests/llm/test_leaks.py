@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pytest
-from test_models import leaks_of
+from test_models import ITEM, leaks_of
 
 from tillmark.llm import templates
 
 TOM = "Tom has 5 apples. Tom gives 2 to Ann. How many are left with Tom now?"
 SUM = "Compute the sum of 12, 15, 18, 21, 24 and 27 now."
 DIGITS = "What is 12 + 7 - 3 * 5 + 18 - 4 + 9 + 31?"
+TWICE = "The shop sells 12 pens to the first class in the morning and again 12 pens to the other class, so how many pens are sold by the shop before it closes?"
 
 
 def test_names_that_open_sentences(spark):
@@ -32,3 +33,9 @@ def test_coverage_counts_the_windows_there_are(spark):
     docs = spark.createDataFrame([(0, SUM)], "doc_id long, text string")
     row = templates.leaks(docs, spark.createDataFrame([(0, SUM)], "item_id long, text string")).first()
     assert row["coverage"] == pytest.approx(1.0) and row["windows"] == row["item_windows"]
+
+
+def test_copies_with_one_value_or_the_case_changed(spark):
+    changed = TWICE.replace("again 12", "again 13")
+    assert leaks_of(spark, [changed, TWICE.lower(), TWICE.upper()], [TWICE]) == {(0, 0), (1, 0), (2, 0)}
+    assert leaks_of(spark, [f"so {ITEM.upper()}", ITEM.lower(), " ".join(ITEM.split()[:11])], [ITEM]) == {(0, 0), (1, 0)}

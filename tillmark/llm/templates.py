@@ -30,6 +30,12 @@ BLOOM_BITS = 23
 #: Unit words that follow a number. Fixed values.
 UNITS = set("m km cm mm mi ft in yd g kg mg lb lbs oz t l ml s sec h hr hrs min ms kmh mph w kw v a hz ghz mb gb meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split())
 
+#: The longest stretch of consecutive numbers in ``qs``.
+LONGEST = """aggregate(array_sort(qs), named_struct('now', cast(array() as array<bigint>), 'best', cast(array() as array<bigint>)),
+(s, q) -> named_struct('now', if(size(s.now) > 0 and element_at(s.now, -1) = q - 1, concat(s.now, array(q)), array(q)),
+  'best', if(size(s.best) > if(size(s.now) > 0 and element_at(s.now, -1) = q - 1, size(s.now) + 1, 1), s.best, if(size(s.now) > 0 and element_at(s.now, -1) = q - 1, concat(s.now, array(q)), array(q)))),
+s -> s.best)"""
+
 _LETTER, _DIGIT, _END = 1, 2, 3
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
@@ -205,12 +211,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     # the slots of all windows of one alignment together; an item's tokens bound them
     facts = [F.max("tokens").alias("tokens"), F.max("made").alias("made")]
     runs = met.groupBy("doc", "item", "form", "line").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("q").alias("qs"), *facts).where(consistent)
+    # own words count in a row: the positions of an alignment's longest stretch
     literal = F.col("form") == LITERAL
-    pairs = runs.groupBy("doc", "item", "form").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("all"), *facts)
+    runs = runs.withColumn("qs", F.when(literal, F.expr(LONGEST)).otherwise(F.col("qs")))
+    pairs = runs.groupBy("doc", "item", "form").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("all"), F.max(F.size("qs")).alias("longest"), *facts)
     # the first word of a passage may look like a name where no sentence ends before it, so one template window of a whole set may be missing
     whole = F.col("made") >= F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1)
     need = F.least(F.lit(LEAK_TOKENS - WINDOW + 1), F.when(~literal & whole, F.greatest(F.lit(1), F.col("made") - 1)).otherwise(F.col("made")))
-    many = F.size("all").cast("long")
+    many = F.when(literal, F.col("longest")).otherwise(F.size("all")).cast("long")
     pairs = pairs.select("doc", "item", "form", "tokens", "made", many.alias("windows")).where(F.col("windows") >= need)
     best = F.struct(F.least(F.lit(1.0), F.col("windows") / F.col("made")).alias("coverage"), "windows", F.col("made").alias("item_windows"))
     pairs = pairs.groupBy("doc", "item").agg(F.max(best).alias("best"))

@@ -3,8 +3,8 @@
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share
 six positional bytes at least: that is the guaranteed minimum of the count filter. A posting list of a single (position, byte) would
 hold a 256th of all fingerprints or more, and tallying its pairs grows with the square of the input. The index is therefore
-kept over the 28 ways to choose the six positions that are shared: fingerprints of one posting agree in its six bytes and have only two bytes free. Within a posting the shared bytes of a pair are tallied, pairs
-under six are left out, the others verified by their bits. A posting holds at most 65,536 different
+kept over the 28 ways to choose the six positions that are shared: fingerprints of one posting agree in its six bytes and have only two bytes free. The key so takes the
+place of the tally: any pair of a posting shares six bytes, the count filter leaves none out, and pairs are verified by their bits. A posting holds at most 65,536 different
 fingerprints whatever the input, equal fingerprints having been merged before, and only a
 spanning set of its links leaves it, so a large group of near copies costs its size and not its square.
 """

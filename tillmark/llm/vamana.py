@@ -168,7 +168,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id",
     id. Vectors that are null, zero, empty or hold null or non-finite components take no part, as query or candidate. Vectors of different
     length are never near each other. Rows of the same vector enter the graph once: only the ``k`` + 1 smallest ids of a
     vector can be among the answers, so they stand for all, and nothing else is left out. A repeated id counts as
-    one row of each of its vectors. Shards hold about ``shard_rows`` vectors, so their number grows with the table and a shard's memory does not.
+    one row of each of its vectors. Shards hold about ``shard_rows`` vectors, so their number grows with the table and a graph's memory does not. Every shard's
+    task holds all queries of its vector length at once, though: 8 bytes a component for each ``every``-th row, which grows with the table.
     """
     rows = valid_vectors(vectors, id, vector).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).withColumn("width", F.size("v"))
     smallest = Window.partitionBy("v").orderBy("id")

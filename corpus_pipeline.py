@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, langid, quality, shingles, templates
+from tillmark.llm import bpe, langid, quality, simhash, templates
 from tillmark.llm.queries import BYTE_BPE, LANGUAGE_TEXTS, TRAINING_ROWS, remainder
 from tillmark.llm.store import keep
 
@@ -38,7 +38,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents more likely of label 0 than of label 1."""
+    """Rejects documents more likely of label 0 than of label 1.
+
+    A null text is scored like an empty one, a long one as a whole; equal texts have equal scores. Without
+    labelled rows every score is 0.5 and all stay. An empty table gives no rows.
+    """
     rows = quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True), most=TRAINING_ROWS)
     plain, name, back = _aside(docs)
     return back(quality.score(plain, quality.train(rows), plain.columns, text=name["text"]).where("quality_score >= 0.5"))
@@ -47,18 +51,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: that of the smallest doc_id (a null one comes last).
 
-    Near duplicates share 0.8 or more of their five-word shingles (Jaccard), directly or over others.
-    Rows that are equal in doc_id and text are one document.
+    Near duplicates have SimHash fingerprints of three-word shingles at most two bits apart, directly or over others.
+    Texts that are null or have no words have fingerprint zero and are one class. Rows that are equal in doc_id and text are one document.
+    An empty table gives no rows.
     """
     plain, name, back = _aside(docs)
     doc, text = F.coalesce(name["doc_id"], F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(name["text"]).alias("text")
-    classes = shingles.near_duplicates(plain.select(F.struct(doc, text).alias("key"), name["text"]), id="key", text=name["text"])
+    classes = simhash.near_duplicates(plain.select(F.struct(doc, text).alias("key"), name["text"]), id="key", text=name["text"])
     kept = classes.where("key = component_id").select("key.doc", "key.text").distinct()
     return back(plain.withColumns({"doc": doc, "text": text}).join(kept, ["doc", "text"]).dropDuplicates(["doc", "text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item, in its words or re-parameterised."""
+    """Rejects documents that hold a benchmark item, in its words or re-parameterised.
+
+    Null and empty texts hold none and stay; long ones are searched as a whole. Rows equal in doc_id and text go or stay together. Without
+    benchmark items all stay. An empty table gives no rows.
+    """
     plain, name, back = _aside(docs)
     keyed = plain.withColumn("key", F.xxhash64(name["doc_id"], name["text"]))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -67,7 +76,10 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again.
+
+    One row per row, whole texts. A null text has the tokens of an empty one: none. An empty table gives no rows.
+    """
     columns = ["doc_id", "lang", "source"]
     rows = docs.select(*columns, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     made = bpe.encode(rows, public_tokenizers.path(BYTE_BPE), [*columns, "sha"], decoded=True)

@@ -144,12 +144,58 @@ def test_language_cases(spark):
     got = {(r["doc_id"], r["lang_pred"], r["lang_score"] > 0) for r in langid.predict(documents(spark), model, ["doc_id", "n_tokens", "fp"]).collect()}
     assert {(0, "und", False), (1, "und", False), (2, "und", False), (8, "und", False)} <= got and len(got) >= 12
     assert langid.predict(empty(spark), model, ["doc_id"]).collect() == []
+    clash = documents(spark).withColumn("lang_pred", F.lit("x"))
+    assert langid.predict(clash, model, ["doc_id", "lang_pred"]).columns == ["doc_id", "lang_pred", "lang_score"]
     none = langid.train(langid.training_texts(empty(spark), F.lit(True), 5))
     assert {r["lang_pred"] for r in langid.predict(documents(spark), none, ["doc_id"]).collect()} == {"und"}
     langs, share = model.predict(["the dog and the cat und der hund und die katze und der hund"])
     assert langs == ["de"] and 0.5 < share[0] < 1
 
 
+def test_numerals_are_no_letters(spark):
+    model = langid.train([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)
+    df = spark.createDataFrame([(1, "\u00b2 \u00bd \u2460"), (2, "the \u00b2 dog")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model, ["doc_id"]).collect()} == {1: "und", 2: "en"}
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    rows = [(1, "the cat", "en")] * 50 + [(k, f"the dog {k}", "en") for k in range(2, 6)] + [(9, "rare", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(langid.training_texts(df, F.lit(True), 3)) == sorted(set(langid.training_texts(df, F.lit(True), 3))) and len(langid.training_texts(df, F.lit(True), 10)) == 6
+    assert {lang for _, lang in langid.training_texts(df, F.lit(True), 3, languages=1)} == {"en"}
+
+
+def test_spans_of_a_switched_text(spark):
+    en, de = "the cat and the dog are in the house", "der hund und die katze sind in dem haus"
+    model = langid.train([(en, "en"), (de, "de")] * 5)
+    df = spark.createDataFrame([(1, f"{en}. {de}!"), (2, None), (3, "1 2")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_spans"] for r in langid.spans(df, model, ["doc_id"]).collect()}
+    assert [s["lang"] for s in got[1]] == ["en", "de"] and got[2] == got[3] == []
+    assert abs(got[1][0]["words"] - 9) <= 1 and got[1][0]["start"] == 0 and got[1][1]["stop"] == len(en) + 2 + len(de)
+
+
+def test_gradient_of_the_field_by_finite_differences():
+    """d log p(labels) / d emission is (label - marginal), for each word and label."""
+    rng = np.random.default_rng(1)
+    e, moves, begin, y = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), [0, 2, 1, 1]
+
+    def log_p(e):
+        path = begin[y[0]] + sum(e[k, y[k]] for k in range(4)) + sum(moves[y[k], y[k + 1]] for k in range(3))
+        a = begin + e[0]
+        for k in range(1, 4):
+            a = np.logaddexp.reduce(a[:, None] + moves, axis=0) + e[k]
+        return path - np.logaddexp.reduce(a)
+
+    out = []
+    langid.forward_backward(e, np.array([0, 4]), moves, begin, lambda t, m, *_: out.append(m[:, 0]))
+    for k in range(4):
+        for j in range(3):
+            step = np.zeros_like(e)
+            step[k, j] = 1e-5
+            assert abs((log_p(e + step) - log_p(e - step)) / 2e-5 - ((y[k] == j) - out[0][k, j])) < 1e-6
+
+
+
 # --- quality
 
 

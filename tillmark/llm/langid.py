@@ -8,16 +8,15 @@ the one with the most expected letters.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.llm.texts import coded, pieces, ragged, strings
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 _P = np.uint64(0x100000001B3)
 BITS = 18
 LONGEST = 4  # bytes of affixes and n-grams
@@ -122,38 +121,49 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, begin: np.ndarray):
         self.labels, self.weights, self.moves, self.begin = labels, weights, moves, begin
 
-    def predict(self, texts: list[str], shares: dict[bytes, np.ndarray] | None = None) -> tuple[list[str], np.ndarray]:
-        """Language and score (the language's share of the expected letters) of each text."""
+    def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest language of each word, where each text's words start, and each text's expected letters of each language."""
         words, at = words_of(texts)
         distinct, index = coded(words)
         e = sums(self.weights, *word_features(distinct))
         letters = np.fromiter(map(len, distinct), dtype=np.float64, count=len(distinct))[index] if len(index) else np.zeros(0)
+        of_word = np.zeros(len(index), dtype=np.int64)
         held = np.zeros((len(texts), len(self.labels)))
 
         def each(chosen, m, live, *_):
             place = np.where(live, at[chosen][None, :] + np.arange(len(m))[:, None], 0)
+            of_word[place[live]] = m.argmax(axis=2)[live]
             held[chosen] = (m * (letters[place] * live)[:, :, None]).sum(axis=0)
 
-        if len(index):
+        if len(index) and self.labels:
             forward_backward(e[index], at, self.moves, self.begin, each)
+        return of_word, at, held
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score (the language's share of the expected letters) of each text."""
+        _, _, held = self.label(texts)
         total = held.sum(axis=1)
         best = held.argmax(axis=1) if self.labels else np.zeros(len(texts), np.int64)
         score = np.divide(held.max(axis=1, initial=0), total, out=np.zeros(len(texts)), where=total > 0)
         return [self.labels[k] if n > 0 else UNKNOWN for k, n in zip(best, total)], np.minimum(score, 1.0)
 
 
-def training_texts(docs: DataFrame, learn: Column, most: int, label: str = "lang", text: str = "text", id: str = "doc_id") -> list[tuple[str, str]]:
-    """Whole texts with their language, up to ``most`` of each, those first in the order of a hash of (id, text)."""
+def training_texts(docs: DataFrame, learn: Column, most: int, label: str = "lang", text: str = "text", id: str = "doc_id", languages: int = 64) -> list[tuple[str, str]]:
+    """Whole texts with their language, up to ``most`` of each of the ``languages`` most frequent, those first in the order of a hash of (id, text).
+
+    Repeated rows count once. Null texts and rows without a language are left out.
+    """
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("order"))
-    # the hashes first, so that texts of the chosen rows only leave their tasks
-    first = F.row_number().over(Window.partitionBy("label").orderBy("order"))
-    chosen = rows.select("label", "order").withColumn("n", first).where(F.col("n") <= most).select("label", "order").collect()
-    if not chosen:
+    frequent = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
+    if not frequent:
         return []
-    found = sorted((r["label"], r["order"], r["text"]) for r in rows.where(F.col("order").isin(sorted({r["order"] for r in chosen}))).collect())
+    rows = rows.where(F.col("label").isin(frequent))
+    # the hashes first, so that texts of the chosen rows only leave their tasks; repeats go before they are ranked and before they are collected
+    first = F.row_number().over(Window.partitionBy("label").orderBy("order"))
+    chosen = rows.select("label", "order").distinct().withColumn("n", first).where(F.col("n") <= most).select("label", "order").collect()
     wanted = {(r["label"], r["order"]) for r in chosen}
-    out: dict[tuple, tuple[str, str]] = {(lang, order): (text, lang) for lang, order, text in found if (lang, order) in wanted}  # equal rows count once
-    return [out[key] for key in sorted(out)]
+    found = rows.where(F.col("order").isin(sorted({r["order"] for r in chosen}))).dropDuplicates(["label", "order"]).collect()
+    return [(text, lang) for lang, _, text in sorted((r["label"], r["order"], r["text"]) for r in found if (r["label"], r["order"]) in wanted)]
 
 
 def train(rows: list[tuple[str, str]], rounds: int = 12, rate: float = 0.3) -> Model:
@@ -213,17 +223,54 @@ def train(rows: list[tuple[str, str]], rounds: int = 12, rate: float = 0.3) -> M
     return Model(labels, weights.astype(np.float32), moves, begin)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """The given columns, lang_pred and lang_score of each row's whole text; ``und`` and 0 for texts that are null or have no letter."""
+def _each_text(docs: DataFrame, model: Model, columns: list[str], text: str, result: str, kind: str, made) -> DataFrame:
+    """The given columns and those of ``result``, which ``made(model, texts)`` gives as Arrow arrays for a list of texts."""
+    columns = [c for c in columns if c not in result.split()]
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.moves, model.begin))  # 2 ** BITS weights a language
-    kinds = "".join(f"k{n} {docs.schema[c].dataType.simpleString()}, " for n, c in enumerate(columns))
+    own, names = [f"k{n}" for n in range(len(columns))], result.split()
 
     def run(batches):
         known = Model(*shared.value)
         for batch in batches:
             for part in pieces(batch):
-                langs, score = known.predict(strings(part.column("text")).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k{n}") for n in range(len(columns))), pa.array(langs, pa.string()), pa.array(score)], [*(f"k{n}" for n in range(len(columns))), "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *made(known, strings(part.column("text")).to_pylist())], [*own, *names])
+
+    schema = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in zip(own, columns)) + kind
+    rows = docs.select(*(F.col(c).alias(k) for k, c in zip(own, columns)), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.select(*(F.col(k).alias(c) for k, c in zip(own, columns)), *names)
+
+
+def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
+    """The given columns, lang_pred and lang_score of each row's whole text; ``und`` and 0 for texts that are null or have no letter.
+
+    One row per row, repeated rows included; an empty table gives none. A given column named like a result gives way to it.
+    """
+
+    def made(known, texts):
+        langs, score = known.predict(texts)
+        return pa.array(langs, pa.string()), pa.array(score)
+
+    return _each_text(docs, model, columns, text, "lang_pred lang_score", "lang_pred string, lang_score double", made)
+
+
+def spans(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
+    """The given columns and lang_spans: the runs of words of one language in each whole text, in order.
+
+    A span has lang, start and stop (places in the text lower-cased, stop behind its last letter) and words. The labels are the likeliest ones of
+    forward-backward, whose expected letters also give ``predict`` its answer. Texts that are null or have no letter have no spans.
+    """
 
-    made = docs.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(columns)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}lang_pred string, lang_score double")
-    return made.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(columns)), "lang_pred", "lang_score")
+    def made(known, texts):
+        of_word, at, _ = known.label(texts)
+        out = []
+        for k, t in enumerate(texts):
+            found: list[dict] = []
+            for y, m in zip(of_word[at[k] : at[k + 1]] if known.labels else (), _WORD.finditer(t.lower())):
+                if found and found[-1]["lang"] == known.labels[y]:
+                    found[-1]["stop"], found[-1]["words"] = m.end(), found[-1]["words"] + 1
+                else:
+                    found.append({"lang": known.labels[y], "start": m.start(), "stop": m.end(), "words": 1})
+            out.append(found)
+        return (pa.array(out, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))),)
+
+    return _each_text(docs, model, columns, text, "lang_spans", "lang_spans array<struct<lang: string, start: long, stop: long, words: long>>", made)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, ctw, flatfiles, langid, pages, quality, simhash, templates, transducer, vamana
+from tillmark.llm import bpe, codebooks, ctw, flatfiles, langid, manifest, pages, quality, simhash, templates, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -109,3 +109,21 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
 def op8_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, word for word or with other numbers, names or units."""
     return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle manifest of all documents, and every document's proof held against it, half of them without their line feeds."""
+    docs = table(spark, folder, "documents")
+    digest = manifest.leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+    shorter = manifest.leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = (remainder("doc_id", 2) == 0) & F.contains("text", F.lit("\n"))
+    return manifest.prove(docs, digest, F.when(tampered, shorter).otherwise(digest))
+
+
+@query
+def op12_codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector as four bytes, its squared error, and the errors summed by label."""
+    coded, books = codebooks.compress(table(spark, folder, "embeddings"))
+    made = codebooks.with_group_errors(coded).withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+    return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, codebooks, ctw, flatfiles, langid, manifest, pages, quality, simhash, templates, transducer, vamana
+from tillmark.llm import bpe, codebooks, ctw, flatfiles, langid, manifest, minhash, pages, quality, simhash, templates, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -127,3 +127,9 @@ def op12_codebooks(spark: SparkSession, folder: str) -> DataFrame:
     coded, books = codebooks.compress(table(spark, folder, "embeddings"))
     made = codebooks.with_group_errors(coded).withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
     return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents by the similarity of their 4-word shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))

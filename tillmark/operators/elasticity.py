@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,80 @@ def fit_elasticity(df: DataFrame, by: Sequence[str], price: str, quantity: str,
     return join_keys(fit, rows.groupBy(*by).agg(F.avg(marginal).alias("elasticity")), by)
 
 
+def held_out_fit(df: DataFrame, by: Sequence[str], price: str, quantity: str, test: Column, form: str = "linear", min_rows: int = 3) -> DataFrame:
+    """One-predictor regression on the rows that ``test`` leaves, with R2 on those and on the rows it holds out.
+
+    The moments of both parts come from one aggregation. The held-out R2 follows from the test part's moments and the
+    training part's coefficients, so no row is scored or joined back. It is NULL where the held-out quantities do not vary.
+    """
+    used = df.filter((F.col(price) > 0) & (F.col(quantity) > 0))
+    x, y = (F.ln(price), F.ln(quantity)) if form == "loglog" else (F.col(price), F.col(quantity))
+    used = used.withColumn("__t", F.coalesce(test, F.lit(False))).withColumn("__x", x).withColumn("__y", y)
+    part = lambda c, held: F.when(F.col("__t") == F.lit(held), F.col(c))
+    tx, ty = part("__x", True), part("__y", True)
+    m = used.groupBy(*by).agg(
+        F.count(part("__x", False)).alias("n_train"),
+        F.count(tx).alias("n_test"),
+        F.regr_slope(part("__y", False), part("__x", False)).alias("slope"),
+        F.regr_intercept(part("__y", False), part("__x", False)).alias("intercept"),
+        F.regr_r2(part("__y", False), part("__x", False)).alias("r2_train"),
+        F.avg(tx).alias("__mx"), F.avg(ty).alias("__my"), F.var_pop(tx).alias("__vx"), F.var_pop(ty).alias("__vy"), F.covar_pop(tx, ty).alias("__c"),
+    ).filter((F.col("n_train") >= min_rows) & F.col("slope").isNotNull())
+    b, bias = F.col("slope"), F.col("__my") - F.col("intercept") - F.col("slope") * F.col("__mx")
+    mse = F.greatest(F.col("__vy") + b * b * F.col("__vx") - 2 * b * F.col("__c") + bias * bias, F.lit(0.0))
+    return m.select(
+        *by, "n_train", "n_test", "slope", "intercept", "r2_train", (1 - safe_div(mse, "__vy")).alias("r2_test"), F.sqrt(mse).alias("rmse_test")
+    )
+
+
+def fit_price_promo(df: DataFrame, by: Sequence[str], price: str, discount: str, quantity: str, min_rows: int = 4) -> DataFrame:
+    """Quantity on price and discount share per group: n, intercept, price_beta, promo_beta and r2, from covariances.
+
+    Groups whose price and discount do not vary apart from one another have no such model and no row.
+    """
+    used = df.filter((F.col(price) > 0) & (F.col(quantity) > 0) & F.col(discount).isNotNull())
+    m = used.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(price).alias("__mp"), F.avg(discount).alias("__md"), F.avg(quantity).alias("__mq"),
+        F.var_pop(price).alias("__pp"), F.var_pop(discount).alias("__dd"), F.var_pop(quantity).alias("__qq"),
+        F.covar_pop(price, discount).alias("__pd"), F.covar_pop(quantity, price).alias("__qp"), F.covar_pop(quantity, discount).alias("__qd"),
+    )
+    c = F.col
+    own = c("__pp") * c("__dd")
+    m = m.filter((c("n") >= min_rows) & (own - c("__pd") * c("__pd") > F.lit(1e-9) * own))
+    det = own - c("__pd") * c("__pd")
+    m = m.withColumn("price_beta", (c("__qp") * c("__dd") - c("__qd") * c("__pd")) / det).withColumn("promo_beta", (c("__qd") * c("__pp") - c("__qp") * c("__pd")) / det)
+    explained = c("price_beta") * c("__qp") + c("promo_beta") * c("__qd")
+    return m.select(
+        *by, "n", (c("__mq") - c("price_beta") * c("__mp") - c("promo_beta") * c("__md")).alias("intercept"), "price_beta", "promo_beta", safe_div(explained, "__qq").alias("r2")
+    )
+
+
+def response_elasticity(rows: DataFrame, fit: DataFrame, by: Sequence[str], x: str, other: str, betas: tuple[str, str], name: str, min_values: int = 1) -> DataFrame:
+    """Mean point elasticity along the fitted response to ``x``, at each of its different values in a group's rows.
+
+    ``betas`` are the columns of ``fit`` with the effects of ``x`` and of ``other``, which stays at its mean over the rows. Groups with fewer
+    than ``min_values`` different values have no row.
+    """
+    values = rows.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(other).alias("__s"), F.count(other).alias("__n"))
+    values = with_group(values, by, [(F.sum("__s") / F.sum("__n")).alias("__m"), F.count(F.lit(1)).alias("__u")]).filter(F.col("__u") >= min_values)
+    both = join_keys(values.select(*by, x, "__m"), fit.select(*by, "intercept", *betas), by, "inner")
+    response = F.col("intercept") + F.col(betas[0]) * F.col(x) + F.col(betas[1]) * F.col("__m")
+    return both.groupBy(*by).agg(F.avg(safe_div(F.col(betas[0]) * F.col(x), response)).alias(name))
+
+
+def promo_elasticity(panel: DataFrame, fit: DataFrame, by: Sequence[str], period: str, price: str, discount: str, min_values: int = 5) -> DataFrame:
+    """Elasticity of quantity to the discount share, on discounted periods only.
+
+    Of periods in a row with the same discount share the first counts; ``min_values`` different shares at least. ``fit`` is that of
+    :func:`fit_price_promo`. ``panel`` has one row per group and period, so a window holds a group's periods and no more.
+    """
+    before = F.lag(discount).over(Window.partitionBy(*by).orderBy(period))
+    shown = panel.filter(F.col(discount) != 0).withColumn("__before", before)
+    shown = shown.filter(F.col("__before").isNull() | (F.col("__before") != F.col(discount)))
+    return response_elasticity(shown, fit, by, discount, price, ("promo_beta", "price_beta"), "promo_elasticity", min_values)
+
+
 def fit_ols(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str, min_rows: int | None = None) -> DataFrame:
     """Least squares with several predictors per group, from the cross-products of the columns.
 
@@ -184,11 +258,14 @@ def _distances(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray
 
 
 def impute_elasticity(
-    skus: DataFrame, by: Sequence[str], sku: str, block: int = 500, nearest: int = 3
+    skus: DataFrame, by: Sequence[str], sku: str, block: int = 500, nearest: int = 3, flag: str = "acceptable", value: str = "elasticity", share: str = "acceptable"
 ) -> DataFrame:
     """Elasticity of SKUs without an acceptable model, from the most similar SKUs that have one.
 
-    ``skus`` has acceptable (0/1), elasticity, content_ordinal, price_ordinal, series (quantity per period,
+    ``flag`` says which SKUs have one (0/1), ``value`` is the elasticity handed on, and ``share`` the flag whose mean over
+    the group decides the case: promo elasticities go by a flag of their own, their case by the price flag.
+
+    ``skus`` has the flags, the value, content_ordinal, price_ordinal, series (quantity per period,
     NULL where unsold) and attributes (array of text). Three distances are min-max scaled over the group
     and averaged; the nearest SKU gives one estimate and the mean of the nearest three the other.
 
@@ -198,13 +275,14 @@ def impute_elasticity(
     """
     cols = [*by, sku, "content_ordinal", "price_ordinal", "series", "attributes"]
     coded = F.transform("attributes", lambda x: F.xxhash64(x))  # whole numbers compare faster than text
-    base = stage(skus.select(*cols, "acceptable", "elasticity").withColumn("attributes", coded))
+    flags = [F.col(flag).alias("acceptable"), F.col(value).alias("elasticity"), F.col(share).cast("double").alias("__in_share")]
+    base = stage(skus.select(*cols, *flags).withColumn("attributes", coded))
     sizes = base.groupBy(*by).agg(
         F.ceil(F.sum(F.col("acceptable")) / block).cast("int").alias("__nm"),
         F.ceil(F.sum(1 - F.col("acceptable")) / block).cast("int").alias("__nu"),
-        F.avg("acceptable").alias("__share"),
+        F.avg("__in_share").alias("__share"),
     )
-    sized = join_keys(base, sizes, by).filter((F.col("__nm") > 0) & (F.col("__nu") > 0))
+    sized = join_keys(base.drop("__in_share"), sizes, by).filter((F.col("__nm") > 0) & (F.col("__nu") > 0))
     numbered = lambda n: F.pmod(F.xxhash64(sku), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.filter("acceptable = 0").withColumn("__ub", numbered("__nu")).withColumn("__mb", others("__nm"))
@@ -273,7 +351,22 @@ def impute_elasticity(
     )
 
 
-def final_elasticity(price: DataFrame, promo: DataFrame, keys: Sequence[str], group: Sequence[str], value: str = "promo_elasticity") -> DataFrame:
-    """Price elasticities with their promo elasticity; where there is none, the average of the group."""
-    joined = join_keys(price, promo.select(*keys, value), keys)
-    return with_group(joined, group, [F.avg(value).alias("__avg")]).withColumn(value, F.coalesce(value, "__avg")).drop("__avg")
+def accepted_and_imputed(skus: DataFrame, imputed: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:
+    """Own elasticities where the flag accepts them, imputed ones elsewhere: criteria, top_1 (own or nearest) and top_3 (own or mean of three)."""
+    own = skus.filter(F.col(flag) == 1).select(*keys, F.lit("accepted set").alias("criteria"), F.col(value).alias("top_1"), F.col(value).alias("top_3"))
+    other = imputed.filter(F.col("elasticity_top3").isNotNull()).select(
+        *keys, F.concat(F.lit("imputed: "), F.col("case")).alias("criteria"), F.col("elasticity_nearest").alias("top_1"), F.col("elasticity_top3").alias("top_3")
+    )
+    return own.unionByName(other)
+
+
+def final_elasticity(price: DataFrame, promo: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Price elasticities with their promo elasticities; where there is none, the averages of the group.
+
+    Both come from :func:`accepted_and_imputed`; ``price`` has the columns of ``group`` as well. A group average is that over its rows with a promo elasticity.
+    """
+    renamed = lambda df, kind: df.withColumnsRenamed({f"top_{n}": f"{kind}_elasticity_top_{n}" for n in (1, 3)})
+    out = join_keys(renamed(price, "price"), renamed(promo, "promo").drop("criteria"), keys)
+    values = [f"promo_elasticity_top_{n}" for n in (1, 3)]
+    out = with_group(out, group, [F.avg(c).alias(f"__{c}") for c in values])
+    return out.withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop(*(f"__{c}" for c in values))

@@ -59,9 +59,9 @@ def choice_dataset(
     return out.withColumn(price, scaled).select(receipt, *attributes, price, "purchase_flag"), p / cells
 
 
-def held_out(key: str, tenths: int = 3, seed: int = 7) -> Column:
+def held_out(*keys: str, tenths: int = 3, seed: int = 7) -> Column:
     """True for about ``tenths`` of ten keys: the test part of a split that any engine repeats."""
-    return F.conv(F.substring(seeded_order(seed, key), 1, 8), 16, 10).cast("long") % 10 >= 10 - tenths
+    return F.conv(F.substring(seeded_order(seed, *keys), 1, 8), 16, 10).cast("long") % 10 >= 10 - tenths
 
 
 def fit_choice(df: DataFrame, attributes: Sequence[str], numeric: Sequence[str], label: str = "purchase_flag") -> PipelineModel:
@@ -138,9 +138,9 @@ def marginal_elasticity(model: PipelineModel, df: DataFrame, column: str) -> Dat
     return moved.agg(F.avg(e).alias("elasticity"))
 
 
-def curve_elasticity(curve: DataFrame, column: str) -> DataFrame:
-    """Mean of the point elasticities along a curve of few points (differences as in a numeric gradient)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(column)
+def curve_elasticity(curve: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the point elasticities along a curve of few points (differences as in a numeric gradient), per group."""
+    w = Window.partitionBy(*by or [F.lit(0)]).orderBy(column)
 
     def slope(c: str):
         ahead, behind = F.lead(c).over(w), F.lag(c).over(w)
@@ -148,9 +148,55 @@ def curve_elasticity(curve: DataFrame, column: str) -> DataFrame:
             F.when(behind.isNull(), ahead - F.col(c)).when(ahead.isNull(), F.col(c) - behind).otherwise((ahead - behind) / 2)
         )
 
-    points = curve.select(column, "predicted", slope(column).alias("__dx"), slope("predicted").alias("__dy"))
+    points = curve.select(*by, column, "predicted", slope(column).alias("__dx"), slope("predicted").alias("__dy"))
     e = F.coalesce(safe_div(safe_div("__dy", "predicted"), safe_div("__dx", column)), F.lit(0.0))
-    return points.agg(F.avg(e).alias("elasticity"))
+    return points.groupBy(*by).agg(F.avg(e).alias("elasticity"))
+
+
+def tree_elasticities(
+    panel: DataFrame, by: Sequence[str], price: str, quantity: str, test: Column, features: Sequence[str] = (), kind: str = "rf", points: int = 20, min_rows: int = 5, seed: int = 42
+) -> DataFrame:
+    """Price elasticity of every key (SKU and region, say) from one tree model over all of them, with R2 on training and held-out rows.
+
+    A model per key would be a loop on the driver. One model learns the quantity relative to the key's mean from the price relative to the key's mean, the
+    other ``features``, and what tells keys apart: for each column of ``by`` the training means of quantity and price of its value, and the key's
+    own slope of log quantity on log price, which lets trees bend the response key by key. Values of ``by`` enter by such means and not as categories, so their
+    number is not bounded by the trees' bins. All of these come from the rows that ``test`` leaves.
+
+    Each key's response is then read from the model on the key's own price grid: its different prices, or ``points`` steps from its 5th to its
+    95th percentile where there are more; other features stay at their means. The elasticity is the mean of the point elasticities along the
+    curve. Keys with fewer than ``min_rows`` training rows, or one price, have no row.
+    """
+    keys, extra = list(by), list(features)
+    used = panel.filter((F.col(price) > 0) & (F.col(quantity) > 0)).dropna(subset=extra) if extra else panel.filter((F.col(price) > 0) & (F.col(quantity) > 0))
+    rows = stage(used.select(*keys, F.col(price).cast("double").alias("__p"), F.col(quantity).cast("double").alias("__q"), *extra, F.coalesce(test, F.lit(False)).alias("__test")))
+    train = rows.filter(~F.col("__test"))
+    shape = train.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_train"), F.avg("__p").alias("__mp"), F.avg("__q").alias("__mq"), F.regr_slope(F.ln("__q"), F.ln("__p")).alias("__slope"),
+        F.countDistinct("__p").alias("__u"), F.percentile("__p", F.array(F.lit(0.05), F.lit(0.95))).alias("__ends"), *[F.avg(c).alias(f"__m_{c}") for c in extra],
+    ).filter((F.col("n_train") >= min_rows) & F.col("__slope").isNotNull())
+    coded = []
+    for i, c in enumerate(keys):
+        level = train.groupBy(c).agg(F.avg(F.ln("__q")).alias(f"__lq{i}"), F.avg(F.ln("__p")).alias(f"__lp{i}"))
+        shape = join_keys(shape, level, [c])
+        coded += [f"__lq{i}", f"__lp{i}"]
+    shape = stage(shape)
+    inputs = ["__x", "__slope", *coded, *extra]
+    known = join_keys(rows, shape, keys, "inner").withColumn("__x", F.col("__p") / F.col("__mp")).withColumn("__y", F.col("__q") / F.col("__mq"))
+    learner = RandomForestRegressor(featuresCol="features", labelCol="__y", seed=seed, numTrees=60, maxDepth=9, featureSubsetStrategy="all", subsamplingRate=0.7) if kind == "rf" else GBTRegressor(featuresCol="features", labelCol="__y", seed=seed, maxIter=60, maxDepth=5, stepSize=0.15)
+    model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), learner]).fit(known.filter(~F.col("__test")).select(*inputs, "__y"))
+    scored = model.transform(known.select(*keys, *inputs, "__y", "__q", "__mq", "__test")).withColumn("prediction", F.col("prediction") * F.col("__mq"))
+    report = regression_report(scored, "__q", [*keys, "__test"])
+    report = report.groupBy(*keys).agg(*[F.max(F.when(F.col("__test") == F.lit(t), F.col("r2"))).alias(n) for n, t in (("r2_train", False), ("r2_test", True))])
+    low, high = F.col("__ends")[0], F.col("__ends")[1]
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + (high - low) * i / (points - 1))
+    even = shape.filter(F.col("__u") > points).select(*keys, F.explode(F.array_distinct(steps)).alias("__g"))
+    own = join_keys(train.select(*keys, F.col("__p").alias("__g")).distinct(), shape.filter(F.col("__u") <= points).select(*keys), keys, "left_semi")
+    grid = join_keys(even.unionByName(own), shape, keys, "inner").withColumn("__x", F.col("__g") / F.col("__mp")).withColumns({c: F.col(f"__m_{c}") for c in extra})
+    curve = model.transform(grid.select(*keys, "__g", *inputs)).withColumnRenamed("prediction", "predicted")
+    found = curve_elasticity(curve.select(*keys, "__g", "predicted"), "__g", keys)
+    out = join_keys(join_keys(found, shape.filter("__u > 1").select(*keys, "n_train"), keys, "inner"), report, keys)
+    return out.select(*keys, "n_train", "r2_train", "r2_test", "elasticity")
 
 
 def spearman(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,27 +91,32 @@ def base_price_discounts(
     return out.withColumn("discount_perc", percent).withColumn("discount_band", band)
 
 
-def monthly_sales(tx: DataFrame, keys: Sequence[str], day: str = "business_day", store: str = "store_id") -> DataFrame:
+def monthly_sales(
+    tx: DataFrame, keys: Sequence[str], day: str = "business_day", store: str = "store_id", discount: str | None = None, gross: str | None = None
+) -> DataFrame:
+    """Sales, quantity, stores and average price per month; with ``discount`` and ``gross`` also the share of the undiscounted value given away."""
+    given = [F.sum(discount).alias("__d"), F.sum(gross).alias("__g")] if discount else []
     out = tx.groupBy(*keys, month_label(day).alias("month")).agg(
         F.sum("amount").alias("sales"),
         F.sum("quantity").alias("quantity"),
         F.countDistinct(store).alias("stores"),
+        *given,
     )
-    return out.withColumn("avg_unit_price", safe_div("sales", "quantity"))
+    out = out.withColumn("avg_unit_price", safe_div("sales", "quantity"))
+    return out.withColumn("discount_share", safe_div("__d", "__g", 0)).drop("__d", "__g") if discount else out
 
 
-def price_ratios(df: DataFrame, sku: str, period: str, by: Sequence[str], references: Mapping, price: str = "avg_unit_price") -> DataFrame:
-    """Price of each row over the price of each listed SKU in the same period and group, one column each.
+def price_ratios(df: DataFrame, sku: str, period: str, by: Sequence[str], price: str = "avg_unit_price") -> DataFrame:
+    """Price of each row over that of every SKU of its group in the same period: one row per SKU and reference SKU, itself included.
 
-    Reference prices become columns of one row per (group, period), joined once; no pairs of rows arise.
-    ``references`` maps SKU ids to column suffixes.
+    ``by`` names the groups whose members are compared (demand group and region, say). The references are the SKUs that the
+    data has, met over an equi-join on group and period, so a group of n SKUs gives n rows to each of its SKUs and no list is kept.
     """
-    wide = df.groupBy(*by, period).agg(
-        *[F.max(F.when(F.col(sku) == F.lit(i), F.col(price))).alias(f"__ref_{name}") for i, name in references.items()]
+    keys = [*by, period]
+    other = df.select(*keys, F.col(sku).alias("reference"), F.col(price).alias("__reference_price"))
+    return join_keys(df.select(*keys, sku, price), other, keys, "inner").select(
+        *keys, sku, "reference", safe_div(price, "__reference_price").alias("price_ratio")
     )
-    out = join_keys(df, wide, [*by, period])
-    ratios = [safe_div(price, f"__ref_{name}").alias(f"price_ratio_{name}") for name in references.values()]
-    return out.select(*df.columns, *ratios)
 
 
 def complement_price(df: DataFrame, period: str, by: Sequence[str], sales: str = "sales", quantity: str = "quantity") -> DataFrame:
@@ -163,10 +168,16 @@ def event_index(days: DataFrame, theme: str = "event_theme", day: str = "event_d
     return out.select("month", *measures, F.round(index, 3).alias("event_presence_idx"))
 
 
-def event_features(days: DataFrame, themes: Sequence[str], theme: str = "event_theme", day: str = "event_date") -> DataFrame:
-    """Days per theme and month, one column per theme."""
-    return days.groupBy(month_label(day).alias("month")).agg(
-        *[F.countDistinct(F.when(F.col(theme) == t, F.col(day))).alias(f"ev_{t}") for t in themes]
+def event_features(days: DataFrame, themes: Sequence[str] | None = None, theme: str = "event_theme", day: str = "event_date", most: int = 1000) -> DataFrame:
+    """Days per theme and month, one column per theme; without ``themes`` those of the data, up to ``most`` columns."""
+    per = days.groupBy(month_label(day).alias("month"), theme).agg(F.countDistinct(day).alias("__n"))
+    if themes is None:
+        found = [r[0] for r in per.select(theme).where(F.col(theme).isNotNull()).distinct().orderBy(theme).limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"more than {most} themes: keep the long form")
+        themes = found
+    return per.groupBy("month").agg(
+        *[F.coalesce(F.max(F.when(F.col(theme) == t, F.col("__n"))), F.lit(0)).alias(f"ev_{t}") for t in themes]
     )
 
 
@@ -203,6 +214,11 @@ def jitter_constant(df: DataFrame, by: Sequence[str], price: str, order: Sequenc
     return out.withColumn(price, F.when(hit, F.col(price) + amount).otherwise(F.col(price))).select(*df.columns)
 
 
+def without_model(panel: DataFrame, accepted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a panel whose SKU has no accepted model, be it a poor one or none at all."""
+    return join_keys(panel, accepted.select(*keys), keys, "left_anti")
+
+
 def pool_skus(df: DataFrame, period: str, by: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
     """SKUs without a usable model of their own become one pseudo SKU per group and period, with lags and ratios."""
     from tillmark.operators.series import lag_features, moving_average

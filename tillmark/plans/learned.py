@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillmark.operators import models
+from tillmark.operators import models, pricing
 from tillmark.plans import star
 from tillmark.plans.prices import monthly
 from tillmark.plans.registry import query
@@ -145,3 +145,19 @@ def _(spark, d):
     rows = stage(monthly(spark, d).select("avg_unit_price", F.col("stores").cast("double").alias("stores"), "quantity"))
     model = models.fit_trees(rows, ["avg_unit_price", "stores"], "quantity", "gbt")
     return models.marginal_elasticity(model, rows, "avg_unit_price")
+
+
+def _trees_by_sku(spark, d, kind):
+    panel = pricing.monthly_sales(star.sales(spark, d), ["region", "brand"], discount="discount_amount", gross="gross_amount")
+    test = models.held_out("region", "brand", "month", tenths=2, seed=42)
+    return models.tree_elasticities(panel, ["region", "brand"], "avg_unit_price", "quantity", test, ["discount_share"], kind)
+
+
+@query("forest_elasticity_by_sku")
+def _(spark, d):
+    return _trees_by_sku(spark, d, "rf")
+
+
+@query("boosted_elasticity_by_sku")
+def _(spark, d):
+    return _trees_by_sku(spark, d, "gbt")

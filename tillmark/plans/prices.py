@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillmark.functions import dates
 from tillmark.functions.exprs import safe_div
 from tillmark.operators import elasticity, joins, metrics, pricing
+from tillmark.operators.models import held_out
 from tillmark.plans import star
 from tillmark.plans.registry import query
 from tillmark.plans.star import sql
@@ -18,6 +19,11 @@ mo AS (SELECT region, brand, {MONTH} AS month, sum(amount) AS sales, sum(quantit
   FROM sales GROUP BY ALL)"""
 
 
+def demand_group():
+    """A brand's demand group in the test tables."""
+    return F.substring("brand", 1, 7)
+
+
 def monthly(spark, d):
     return pricing.monthly_sales(star.sales(spark, d), ["region", "brand"])
 
@@ -46,15 +52,12 @@ def _(spark, d):
     return out.withColumn("discount_amount", F.round("discount_amount", 2))
 
 
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-
-
 @query("price_ratios", sql(f"""
-WITH {MONTHLY} SELECT a.*, {', '.join(f"avg_unit_price / b{i} AS price_ratio_b{i}" for i in range(1, 26))}
-FROM mo a JOIN (SELECT region, month, {', '.join(f"max(CASE WHEN brand = 'Brand#{i}' THEN avg_unit_price END) AS b{i}" for i in range(1, 26))} FROM mo GROUP BY 1, 2) r USING (region, month)"""))
+WITH {MONTHLY}, g AS (SELECT substr(brand, 1, 7) AS demand_group, * FROM mo)
+SELECT demand_group, region, month, a.brand, b.brand AS reference, a.avg_unit_price / b.avg_unit_price AS price_ratio FROM g a JOIN g b USING (demand_group, region, month)"""))
 def _(spark, d):
-    refs = {b: f"b{i}" for i, b in enumerate(BRANDS, 1)}
-    return pricing.price_ratios(monthly(spark, d), "brand", "month", ["region"], refs)
+    rows = monthly(spark, d).withColumn("demand_group", demand_group())
+    return pricing.price_ratios(rows, "brand", "month", ["demand_group", "region"])
 
 
 @query("complement_price", sql(f"""
@@ -101,10 +104,11 @@ def _(spark, d):
 THEMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+# columns need names in SQL; the query takes the themes from the events
 @query("event_features", sql(f"""
 WITH {EVENT_CTE} SELECT {EVENT_MONTH} AS month, {', '.join(f'''count(DISTINCT CASE WHEN event_theme = '{t}' THEN event_date END) AS "ev_{t}"''' for t in THEMES)} FROM ed GROUP BY 1"""))
 def _(spark, d):
-    return pricing.event_features(events(spark, d), THEMES)
+    return pricing.event_features(events(spark, d))
 
 
 WEATHER = """
@@ -132,18 +136,6 @@ def _(spark, d):
     return pricing.l12_metrics(df.withColumn("week", F.date_trunc("week", "business_day")), ["region", "brand"], "week")
 
 
-@query("pool_skus", sql(f"""
-WITH {MONTHLY}, p AS (SELECT region, month, sum(quantity) AS quantity, sum(sales) AS sales, round(sum(sales) / sum(quantity), 2) AS avg_unit_price FROM mo WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2),
-l AS (SELECT *, lag(quantity, 1) OVER w a, lag(quantity, 2) OVER w b, CASE WHEN count(*) OVER w2 = 2 THEN avg(avg_unit_price) OVER w2 END m2, CASE WHEN count(*) OVER w4 = 4 THEN avg(avg_unit_price) OVER w4 END m4 FROM p
-  WINDOW w AS (PARTITION BY region ORDER BY month), w2 AS (PARTITION BY region ORDER BY month ROWS 1 PRECEDING), w4 AS (PARTITION BY region ORDER BY month ROWS 3 PRECEDING))
-SELECT region, month, quantity, sales, avg_unit_price, round(coalesce(a, avg(a) OVER r), 6) AS quantity_lag1, round(coalesce(b, avg(b) OVER r), 6) AS quantity_lag2,
-  coalesce(round(avg_unit_price / m2, 2), 1.0) AS price_ratio_ma2, coalesce(round(avg_unit_price / m4, 2), 1.0) AS price_ratio_ma4 FROM l WINDOW r AS (PARTITION BY region)"""))
-def _(spark, d):
-    weak = monthly(spark, d).filter(F.col("brand").isin("Brand#1", "Brand#2", "Brand#3"))
-    out = pricing.pool_skus(weak, "month", ["region"])
-    return out.withColumn("quantity_lag1", F.round("quantity_lag1", 6)).withColumn("quantity_lag2", F.round("quantity_lag2", 6))
-
-
 @query("quartile_ordinal", sql("""
 WITH p AS (SELECT category, product_id, round(sum(amount) / sum(quantity)) AS price, max(content) AS content FROM ps GROUP BY 1, 2),
 s AS (SELECT category, count(DISTINCT price) u, min(price) lo, quantile_cont(price, 0.25) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.75) c FROM p GROUP BY 1)
@@ -205,6 +197,18 @@ def _(spark, d):
     return fitted(spark, d, "linear").select("region", "brand", "n", F.round("r2", 6).alias("r2"), F.round("elasticity", 5).alias("elasticity"))
 
 
+@query("linear_held_out", sql(f"""
+WITH {MONTHLY}, s AS (SELECT *, CAST('0x' || substr(md5('42|' || region || '|' || brand || '|' || month), 1, 8) AS BIGINT) % 10 >= 8 AS test FROM mo),
+f AS (SELECT region, brand, count(*) FILTER (NOT test) AS n_train, regr_slope(quantity, avg_unit_price) FILTER (NOT test) AS b, regr_intercept(quantity, avg_unit_price) FILTER (NOT test) AS a,
+  regr_r2(quantity, avg_unit_price) FILTER (NOT test) AS r2 FROM s GROUP BY 1, 2 HAVING count(*) FILTER (NOT test) >= 3),
+t AS (SELECT region, brand, count(*) AS n_test, sum((quantity - a - b * avg_unit_price) ** 2) AS sse, var_pop(quantity) * count(*) AS sst FROM s JOIN f USING (region, brand) WHERE test GROUP BY 1, 2)
+SELECT region, brand, n_train, coalesce(n_test, 0) AS n_test, round(r2, 6) AS r2_train, round(1 - sse / nullif(sst, 0), 5) AS r2_test, round(sqrt(sse / n_test), 4) AS rmse_test FROM f LEFT JOIN t USING (region, brand) WHERE b IS NOT NULL"""))
+def _(spark, d):
+    test = held_out("region", "brand", "month", tenths=2, seed=42)
+    out = elasticity.held_out_fit(monthly(spark, d), ["region", "brand"], "avg_unit_price", "quantity", test)
+    return out.select("region", "brand", "n_train", "n_test", F.round("r2_train", 6).alias("r2_train"), F.round("r2_test", 5).alias("r2_test"), F.round("rmse_test", 4).alias("rmse_test"))
+
+
 @query("fit_several_predictors", sql(f"""
 WITH {MONTHLY}, c AS (SELECT region, count(*) n, avg(ln(quantity)) my, avg(ln(avg_unit_price)) mx, avg(stores) mz, covar_pop(ln(avg_unit_price), ln(avg_unit_price)) xx, covar_pop(stores, stores) zz,
   covar_pop(ln(avg_unit_price), stores) xz, covar_pop(ln(quantity), ln(avg_unit_price)) xy, covar_pop(ln(quantity), stores) zy, var_pop(ln(quantity)) yy FROM mo GROUP BY 1),
@@ -256,6 +260,40 @@ def _(spark, d):
     return elasticity.quality_matrix(models(spark, d).filter("model = 'loglog'"), ["demand_group", "region"], "brand", 0.1)
 
 
+#: The pooled SKU of a demand group and region: its SKUs without an acceptable model.
+POOLED = f"""{MONTHLY}, ok AS (SELECT region, brand FROM mo GROUP BY 1, 2 HAVING round(regr_r2(ln(quantity), ln(avg_unit_price)), 9) >= 0.1 AND round(regr_slope(ln(quantity), ln(avg_unit_price)), 9) < 0),
+po AS (SELECT region, substr(brand, 1, 7) AS demand_group, month, sum(quantity) AS quantity, sum(sales) AS sales, avg(stores) AS stores, round(sum(sales) / sum(quantity), 2) AS avg_unit_price FROM mo ANTI JOIN ok USING (region, brand) GROUP BY ALL)"""
+
+
+def pooled(spark, d):
+    from tillmark.session import stage
+
+    panel = stage(monthly(spark, d))
+    fit = elasticity.fit_elasticity(panel, ["region", "brand"], "avg_unit_price", "quantity", min_rows=1)
+    fit = fit.withColumn("r2", F.round("r2", 9)).withColumn("elasticity", F.round("elasticity", 9))
+    weak = pricing.without_model(panel, fit.filter(elasticity.acceptable(0.1) == 1), ["region", "brand"])
+    return pricing.pool_skus(weak.withColumn("demand_group", demand_group()), "month", ["region", "demand_group"], ["stores"])
+
+
+@query("pool_skus", sql(f"""
+WITH {POOLED},
+l AS (SELECT *, lag(quantity, 1) OVER w a, lag(quantity, 2) OVER w b, CASE WHEN count(*) OVER w2 = 2 THEN avg(avg_unit_price) OVER w2 END m2, CASE WHEN count(*) OVER w4 = 4 THEN avg(avg_unit_price) OVER w4 END m4 FROM po
+  WINDOW w AS (PARTITION BY region, demand_group ORDER BY month), w2 AS (PARTITION BY region, demand_group ORDER BY month ROWS 1 PRECEDING), w4 AS (PARTITION BY region, demand_group ORDER BY month ROWS 3 PRECEDING))
+SELECT region, demand_group, month, quantity, sales, stores, avg_unit_price, round(coalesce(a, avg(a) OVER r), 6) AS quantity_lag1, round(coalesce(b, avg(b) OVER r), 6) AS quantity_lag2,
+  coalesce(round(avg_unit_price / m2, 2), 1.0) AS price_ratio_ma2, coalesce(round(avg_unit_price / m4, 2), 1.0) AS price_ratio_ma4 FROM l WINDOW r AS (PARTITION BY region, demand_group)"""))
+def _(spark, d):
+    out = pooled(spark, d)
+    return out.withColumn("quantity_lag1", F.round("quantity_lag1", 6)).withColumn("quantity_lag2", F.round("quantity_lag2", 6))
+
+
+@query("pooled_elasticity", sql(f"""
+WITH {POOLED} SELECT region, demand_group, count(*) AS n, round(regr_slope(ln(quantity), ln(avg_unit_price)), 6) AS elasticity, round(regr_r2(ln(quantity), ln(avg_unit_price)), 6) AS r2
+FROM po GROUP BY 1, 2 HAVING count(*) >= 3 AND regr_slope(ln(quantity), ln(avg_unit_price)) IS NOT NULL"""))
+def _(spark, d):
+    out = elasticity.fit_elasticity(pooled(spark, d), ["region", "demand_group"], "avg_unit_price", "quantity")
+    return out.select("region", "demand_group", "n", F.round("elasticity", 6).alias("elasticity"), F.round("r2", 6).alias("r2"))
+
+
 IMPUTE = f"""{MONTHLY},
 fe AS (SELECT region, brand, round(regr_slope(ln(quantity), ln(avg_unit_price)), 9) AS elasticity, sum(sales) / sum(quantity) AS price FROM mo GROUP BY 1, 2 HAVING count(DISTINCT avg_unit_price) > 1),
 qt AS (SELECT region, quantile_cont(price, 0.25) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.75) c FROM fe GROUP BY 1),
@@ -281,8 +319,14 @@ def _(spark, d):
 
     mo = stage(monthly(spark, d))
     fit = elasticity.fit_elasticity(mo, ["region", "brand"], "avg_unit_price", "quantity", min_rows=1).select("region", "brand", F.round("elasticity", 9).alias("elasticity"))
+    skus = described(spark, d, mo, fit).withColumn("acceptable", (F.split("brand", "#")[1].cast("int") % 3 > 0).cast("int"))
+    out = elasticity.impute_elasticity(skus, ["region"], "brand")
+    return out.withColumn("elasticity_top3", F.round("elasticity_top3", 6))
+
+
+def described(spark, d, mo, fit):
+    """The SKUs of ``fit`` with what makes them alike: ordinals of price and content, attributes, and quantities by month."""
     price = mo.groupBy("region", "brand").agg(safe_div(F.sum("sales"), F.sum("quantity")).alias("price"))
-    number = F.split("brand", "#")[1].cast("int")
     attrs = star.products(spark, d).groupBy("brand").agg(
         (F.max("content").cast("long") % 7).alias("content"),
         F.array(F.length("brand").cast("string"), (F.count(F.lit(1)) % 3).cast("string")).alias("attributes"),
@@ -295,21 +339,86 @@ def _(spark, d):
     cells = cells.crossJoin(F.broadcast(span))
     skus = joins.join_keys(price, fit, ["region", "brand"], "inner").join(attrs, "brand")
     skus = joins.join_keys(skus, cells.select("region", "brand", series.alias("series")), ["region", "brand"])
-    skus = pricing.dense_ordinal(pricing.quartile_ordinal(skus, "price", ["region"]), "content", ["region"])
-    skus = skus.withColumn("acceptable", (number % 3 > 0).cast("int"))
-    out = elasticity.impute_elasticity(skus, ["region"], "brand")
-    return out.withColumn("elasticity_top3", F.round("elasticity_top3", 6))
+    return pricing.dense_ordinal(pricing.quartile_ordinal(skus, "price", ["region"]), "content", ["region"])
+
+
+PROMO = f"""
+mo AS (SELECT region, brand, {MONTH} AS month, sum(amount) AS sales, sum(quantity) AS quantity, sum(amount) / sum(quantity) AS avg_unit_price, sum(discount_amount) / sum(gross_amount) AS discount_share
+  FROM sales GROUP BY ALL),
+cm AS (SELECT region, brand, count(*) n, avg(avg_unit_price) mp, avg(discount_share) md, avg(quantity) mq, var_pop(avg_unit_price) pp, var_pop(discount_share) dd, var_pop(quantity) qq,
+  covar_pop(avg_unit_price, discount_share) pd, covar_pop(quantity, avg_unit_price) qp, covar_pop(quantity, discount_share) qd FROM mo GROUP BY 1, 2),
+cb AS (SELECT *, (qp * dd - qd * pd) / (pp * dd - pd * pd) AS bp, (qd * pp - qp * pd) / (pp * dd - pd * pd) AS bd FROM cm WHERE n >= 4 AND pp * dd - pd * pd > 1e-9 * pp * dd),
+fi AS (SELECT region, brand, n, mq - bp * mp - bd * md AS b0, bp, bd, round((bp * qp + bd * qd) / nullif(qq, 0), 6) AS r2 FROM cb),
+ra AS (SELECT *, lag(discount_share) OVER (PARTITION BY region, brand ORDER BY month) AS was FROM mo WHERE discount_share <> 0),
+ro AS (SELECT * FROM ra WHERE was IS NULL OR was <> discount_share),
+me AS (SELECT region, brand, avg(avg_unit_price) AS m, count(DISTINCT discount_share) AS u FROM ro GROUP BY 1, 2),
+pe AS (SELECT region, brand, round(avg(bd * x / nullif(b0 + bd * x + bp * m, 0)), 3) AS promo_elasticity FROM (SELECT DISTINCT region, brand, discount_share AS x FROM ro) JOIN me USING (region, brand) JOIN fi USING (region, brand) WHERE u >= 5 GROUP BY 1, 2),
+mf AS (SELECT region, brand, avg(discount_share) AS m FROM mo GROUP BY 1, 2),
+pf AS (SELECT region, brand, round(avg(bp * x / nullif(b0 + bp * x + bd * m, 0)), 3) AS price_elasticity FROM (SELECT DISTINCT region, brand, avg_unit_price AS x FROM mo) JOIN mf USING (region, brand) JOIN fi USING (region, brand) GROUP BY 1, 2),
+el AS (SELECT region, brand, n, r2, price_elasticity, promo_elasticity FROM fi JOIN pf USING (region, brand) LEFT JOIN pe USING (region, brand))"""
+
+
+def price_and_promo(spark, d):
+    """The monthly panel with discount shares, and per (region, brand) the two-predictor model with both elasticities."""
+    from tillmark.session import stage
+
+    keys = ["region", "brand"]
+    panel = stage(pricing.monthly_sales(star.sales(spark, d), keys, discount="discount_amount", gross="gross_amount"))
+    fit = stage(elasticity.fit_price_promo(panel, keys, "avg_unit_price", "discount_share", "quantity"))
+    price = elasticity.response_elasticity(panel, fit, keys, "avg_unit_price", "discount_share", ("price_beta", "promo_beta"), "price_elasticity")
+    promo = elasticity.promo_elasticity(panel, fit, keys, "month", "avg_unit_price", "discount_share")
+    out = joins.join_keys(joins.join_keys(fit, price, keys, "inner"), promo, keys)
+    return panel, out.select(*keys, "n", F.round("r2", 6).alias("r2"), F.round("price_elasticity", 3).alias("price_elasticity"), F.round("promo_elasticity", 3).alias("promo_elasticity"))
+
+
+@query("promo_elasticity", sql(f"WITH {PROMO} SELECT * FROM el"))
+def _(spark, d):
+    return price_and_promo(spark, d)[1]
+
+
+def _nearest(p: str, flag: str, value: str) -> str:
+    """CTE ``{p}i``: per SKU whose ``flag`` is 0 the value of the nearest SKU whose flag is 1, and the mean of the nearest three."""
+    scaled = ", ".join(f"(d{k} - min(d{k}) OVER w) / nullif(max(d{k}) OVER w - min(d{k}) OVER w, 0) n{k}" for k in (1, 2, 3))
+    return f"""
+{p}c AS (SELECT x.region, x.brand AS b0, y.brand AS b1, CASE WHEN count(DISTINCT x.quantity) >= 2 AND count(DISTINCT y.quantity) >= 2 THEN 1 - corr(x.quantity, y.quantity) END AS d2
+  FROM mo x JOIN mo y USING (region, month) JOIN sk u ON u.region = x.region AND u.brand = x.brand AND u.{flag} = 0 JOIN sk m ON m.region = y.region AND m.brand = y.brand AND m.{flag} = 1 GROUP BY 1, 2, 3),
+{p}p AS (SELECT u.region, u.brand AS b0, m.brand AS b1, m.{value} AS e, 0.2 * abs(u.co - m.co) + 0.8 * abs(u.po - m.po) AS d1, d2, 1 - ((u.at1 = m.at1)::INT + (u.at2 = m.at2)::INT) / 2 AS d3
+  FROM sk u JOIN sk m ON u.region = m.region AND u.{flag} = 0 AND m.{flag} = 1 LEFT JOIN {p}c c ON c.region = u.region AND c.b0 = u.brand AND c.b1 = m.brand),
+{p}n AS (SELECT region, b0, b1, e, {scaled} FROM {p}p WINDOW w AS (PARTITION BY region)),
+{p}a AS (SELECT *, round((coalesce(n1, 0) + coalesce(n2, 0) + coalesce(n3, 0)) / nullif((n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (n3 IS NOT NULL)::INT, 0), 9) AS dist FROM {p}n),
+{p}r AS (SELECT *, row_number() OVER (PARTITION BY region, b0 ORDER BY dist, b1) k FROM {p}a WHERE dist IS NOT NULL),
+{p}i AS (SELECT region, b0 AS brand, max(CASE WHEN k = 1 THEN e END) AS top_1, avg(e) AS top_3 FROM {p}r WHERE k <= 3 GROUP BY 1, 2)"""
 
 
 @query("final_elasticity", sql(f"""
-WITH {LOGLOG}, p AS (SELECT region, brand, substr(brand, 1, 7) AS demand_group, round(slope, 9) AS price_elasticity FROM el), q AS (SELECT region, brand, round(r2, 9) AS promo_elasticity FROM el WHERE slope < 0)
-SELECT p.*, round(coalesce(promo_elasticity, avg(promo_elasticity) OVER (PARTITION BY demand_group)), 6) AS promo_elasticity FROM p LEFT JOIN q USING (region, brand)"""))
+WITH {PROMO},
+fe AS (SELECT region, brand, sum(sales) / sum(quantity) AS price FROM mo JOIN el USING (region, brand) GROUP BY 1, 2),
+qt AS (SELECT region, quantile_cont(price, 0.25) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.75) c FROM fe GROUP BY 1),
+br AS (SELECT brand, CAST(max(content) AS BIGINT) % 7 AS ct, length(brand) AS at1, count(*) % 3 AS at2 FROM product GROUP BY brand),
+sk AS (SELECT el.*, CAST(r2 >= 0.1 AND price_elasticity < 0 AS INTEGER) AS accepted, CAST(coalesce(r2 >= 0.1 AND price_elasticity < 0 AND promo_elasticity > 0, false) AS INTEGER) AS accepted_promo,
+  1 + (price > a)::INT + (price > b)::INT + (price > c)::INT AS po, dense_rank() OVER (PARTITION BY region ORDER BY ct) AS co, at1, at2 FROM el JOIN fe USING (region, brand) JOIN qt USING (region) JOIN br USING (brand)),
+cs_ AS (SELECT region, 'imputed: case ' || CASE WHEN avg(accepted) >= 0.77 THEN 1 WHEN avg(accepted) >= 0.36 THEN 2 ELSE 3 END AS criteria FROM sk GROUP BY 1),
+{_nearest("x", "accepted", "price_elasticity")}, {_nearest("y", "accepted_promo", "promo_elasticity")},
+fp AS (SELECT region, brand, 'accepted set' AS criteria, price_elasticity AS top_1, price_elasticity AS top_3 FROM sk WHERE accepted = 1 UNION ALL SELECT region, brand, criteria, top_1, top_3 FROM xi JOIN cs_ USING (region)),
+fq AS (SELECT region, brand, promo_elasticity AS top_1, promo_elasticity AS top_3 FROM sk WHERE accepted_promo = 1 UNION ALL SELECT * FROM yi),
+fj AS (SELECT fp.*, substr(brand, 1, 7) AS demand_group, fq.top_1 AS q1, fq.top_3 AS q3 FROM fp LEFT JOIN fq USING (region, brand))
+SELECT region, brand, demand_group, criteria, round(top_1, 6) AS price_elasticity_top_1, round(top_3, 6) AS price_elasticity_top_3, round(coalesce(q1, avg(q1) OVER g), 6) AS promo_elasticity_top_1,
+  round(coalesce(q3, avg(q3) OVER g), 6) AS promo_elasticity_top_3 FROM fj WINDOW g AS (PARTITION BY demand_group)"""))
 def _(spark, d):
-    fit = fitted(spark, d)
-    price = fit.select("region", "brand", F.substring("brand", 1, 7).alias("demand_group"), F.round("slope", 9).alias("price_elasticity"))
-    promo = fit.filter("slope < 0").select("region", "brand", F.round("r2", 9).alias("promo_elasticity"))
-    out = elasticity.final_elasticity(price, promo, ["region", "brand"], ["demand_group"])
-    return out.withColumn("promo_elasticity", F.round("promo_elasticity", 6))
+    from tillmark.session import stage
+
+    keys = ["region", "brand"]
+    panel, fit = price_and_promo(spark, d)
+    good = (F.col("r2") >= 0.1) & (F.col("price_elasticity") < 0)
+    flags = {"accepted": good, "accepted_promo": good & (F.col("promo_elasticity") > 0)}
+    fit = fit.withColumns({c: F.coalesce(test, F.lit(False)).cast("int") for c, test in flags.items()})
+    skus = stage(described(spark, d, panel, fit))
+    both = []
+    for flag, value in (("accepted", "price_elasticity"), ("accepted_promo", "promo_elasticity")):
+        imputed = elasticity.impute_elasticity(skus, ["region"], "brand", flag=flag, value=value, share="accepted")
+        both.append(elasticity.accepted_and_imputed(skus, imputed, keys, flag, value))
+    out = elasticity.final_elasticity(both[0].withColumn("demand_group", demand_group()), both[1], keys, ["demand_group"])
+    return out.select(*keys, "demand_group", "criteria", *[F.round(f"{kind}_elasticity_top_{n}", 6).alias(f"{kind}_elasticity_top_{n}") for kind in ("price", "promo") for n in (1, 3)])
 
 
 WEIGHTED = f"""{LOGLOG}, sl AS (SELECT region, brand, sum(sales) AS sales FROM mo GROUP BY 1, 2),

@@ -10,39 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
+_ln_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz evaluation), for all elements at a time."""
+    away = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1.0 / away(1.0 - (a + b) * x / (a + 1))
+    h, open_ = d.copy(), np.ones(len(x), dtype=bool)
     for m in range(1, 500):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / (c if abs(c) > tiny else tiny)
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
+            d = 1.0 / away(1.0 + step * d)
+            c = away(1.0 + step / c)
+            h = np.where(open_, h * d * c, h)
+        open_ &= np.abs(d * c - 1.0) >= 1e-14
+        if not open_.any():
             break
     return h
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = (x >= 1).astype(float)
+    inside = (x > 0) & (x < 1)
+    a, b, x = a[inside], b[inside], x[inside]
+    front = np.exp(_ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b) + a * np.log(x) + b * np.log1p(-x)) if len(x) else x
+    low = x < (a + 1) / (a + b + 2)  # elsewhere the fraction of the complement converges faster
+    fraction = _beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x))
+    part = front * fraction / np.where(low, a, b)
+    out[inside] = np.where(low, part, 1.0 - part)
+    return out
 
 
-def t_two_sided(t: float, df: float) -> float:
-    if t is None or df is None or np.isnan(t) or np.isnan(df) or df <= 0:
-        return float("nan")
-    return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
+def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p-values; NaN where t or the degrees of freedom are missing or not positive."""
+    t, df = np.atleast_1d(np.asarray(t, dtype=float)), np.atleast_1d(np.asarray(df, dtype=float))
+    out = np.full(len(t), np.nan)
+    known = ~np.isnan(t) & ~np.isnan(df) & (df > 0)
+    t, df = t[known], df[known]
+    out[known] = _incomplete_beta(df / 2, np.full(len(df), 0.5), df / (df + t * t))
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value; the value of F(1, df) at t squared is the same."""
-    return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)])
+    return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))

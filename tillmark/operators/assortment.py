@@ -283,12 +283,32 @@ def compress_attributes(
     return df
 
 
-def stratified_sample(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
-    """A share of each stratum, at least one row, chosen by a seeded hash so that reruns agree."""
-    order = [seeded_order(seed, *key), *[F.col(k) for k in key]]
-    ranked = running(df.withColumn("__one", F.lit(1)), order, by, position="__rn", totals={"__n": "__one"})
-    chosen = F.col("__rn") <= F.greatest(F.lit(1), F.round(F.col("__n") * fraction))
-    return ranked.filter(chosen).select(*df.columns)
+def stratified_sample(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction: float, seed: int = 42, margin: float = 0.25) -> DataFrame:
+    """A share of each stratum, at least one row, chosen by a seeded hash so that reruns agree.
+
+    The rows of a stratum with the smallest hashes are taken, and most rows need not move to find them: those with a hash under a threshold a
+    ``margin`` above the share are kept where they are read. A stratum that has as many of them as it is to give is settled, since its smallest
+    hashes are then all among them. The others (mostly small ones, which give one row) are looked at again under a threshold eight times as
+    high, up to all rows. Rows with the same key have the same hash and place.
+    """
+    hashed = df.withColumn("__h", seeded_order(seed, *key))
+    wanted = stage(hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("__all")).select(*by, F.greatest(F.lit(1), F.round(F.col("__all") * fraction)).cast("long").alias("__k")))
+    out, open_, share = None, None, fraction * (1 + margin)
+    while True:
+        low = hashed if share >= 1 else hashed.filter(F.substring("__h", 1, 8) < F.lit(f"{int(share * 2**32):08x}"))
+        if open_ is not None:
+            low = join_keys(low, open_, by, "left_semi")
+        low = stage(low)
+        got = join_keys(wanted if open_ is None else open_, low.groupBy(*by).agg(F.count(F.lit(1)).alias("__got")), by)
+        settled = F.lit(True) if share >= 1 else F.coalesce(F.col("__got") >= F.col("__k"), F.lit(False))
+        got = stage(got.withColumn("__settled", settled))
+        ranked = running(join_keys(low, got.filter("__settled").select(*by, "__k"), by, "inner"), [F.col("__h"), *[F.col(k) for k in key]], by, position="__rn")
+        part = ranked.filter(F.col("__rn") <= F.col("__k")).select(*df.columns)
+        out = part if out is None else out.unionByName(part)
+        open_ = got.filter("NOT __settled").select(*by, "__k")
+        if share >= 1 or open_.isEmpty():
+            return out
+        share = min(1.0, share * 8)
 
 
 def delist_impact(skus: DataFrame, by: Sequence[str], sales: str = "sales") -> DataFrame:

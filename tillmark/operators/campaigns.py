@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,25 +103,18 @@ def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds
     if size < 2 or n - size < 2:
         raise ValueError("too few customers for a split")
     maps = _permutations(n, seeds)
-    grid = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, a, b in maps])
-    centred = placed.withColumn("__z", F.col("__x") - F.lit(mean))
-    spread = centred.select("__p", "__z", F.explode(grid).alias("__g")).select("__p", "__z", "__g.*")
-    in_test = (F.col("a") * F.col("__p") + F.col("b")) % F.lit(n) < size
-    part = F.when(in_test, F.lit("test")).otherwise(F.lit("control"))
-    moments = spread.groupBy("seed").agg(*[
-        f for name, test in (("t", in_test), ("c", ~in_test)) for f in (
-            F.sum(F.when(test, F.lit(1)).otherwise(0)).alias(f"n_{name}"),
-            F.sum(F.when(test, F.col("__z")).otherwise(0.0)).alias(f"s_{name}"),
-            F.sum(F.when(test, F.col("__z") * F.col("__z")).otherwise(0.0)).alias(f"q_{name}"),
-        )
-    ])
+    centred = placed.select("__p", (F.col("__x") - F.lit(mean)).alias("__z"))
+    moments = _seed_moments(centred, maps, n, size)
     tests = stage(_t_tests(moments))
     bar = tests.agg(F.max(F.least("p_welch", "p_pooled"))).first()[0]
     if bar is None or bar != bar:
         raise ValueError("the metric does not vary")
     finalists = tests.filter(F.greatest("p_welch", "p_pooled") >= bar)
-    chosen = spread.join(finalists.select("seed"), "seed", "left_semi").withColumn("part", part)
-    chosen = stage(chosen.select("seed", "part", "__z"))
+    last = {r["seed"] for r in finalists.select("seed").collect()}  # ``seeds`` rows at most
+    grid = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, a, b in maps if s in last])
+    spread = centred.select("__p", "__z", F.explode(grid).alias("__g")).select("__p", "__z", "__g.*")
+    in_test = (F.col("a") * F.col("__p") + F.col("b")) % F.lit(n) < size
+    chosen = stage(spread.select("seed", F.when(in_test, F.lit("test")).otherwise(F.lit("control")).alias("part"), "__z"))
     report = join_keys(finalists, _levene(chosen), ["seed"]).withColumn(
         "p_value", F.when(F.col("p_levene") < level, F.col("p_welch")).otherwise(F.col("p_pooled"))
     ).withColumn("t_value", F.when(F.col("p_levene") < level, F.col("t_welch")).otherwise(F.col("t_pooled")))
@@ -134,18 +129,44 @@ def validated_split(df: DataFrame, key: str, metric: str, fraction: float, seeds
 
 
 def _permutations(n: int, seeds: int) -> list[tuple[int, int, int]]:
-    """Multiplier prime to ``n`` and offset, per seed; the product with a position stays within a long."""
-    top = min(n, 10**9)
+    """Multiplier prime to ``n`` and offset, per seed, from the MD5 of the seed; the product with a position stays within a long."""
+    number = lambda salt, s: int(md5(f"{salt}|{s}".encode()).hexdigest()[:8], 16)
     out = []
     for s in range(seeds):
-        rng = random.Random(s)
-        a = rng.randrange(1, top)
+        a = number("a", s) % min(n, 10**9) + 1
         while gcd(a, n) != 1:
-            a = rng.randrange(1, top)
-        out.append((s, a, rng.randrange(n)))
+            a += 1
+        out.append((s, a, number("b", s) % n))
     return out
 
 
+def _seed_moments(rows: DataFrame, maps: Sequence[tuple[int, int, int]], n: int, size: int) -> DataFrame:
+    """Per seed the rows, sum and sum of squares of ``__z`` in the test part and in the control part.
+
+    A block of rows against all seeds is a 0/1 matrix, and its product with (1, z, z squared) gives the test part's sums. A task
+    returns one row per seed, whatever it has read.
+    """
+    seed, mul, add = (np.array(x, dtype=np.int64) for x in zip(*maps))
+
+    def run(batches):
+        test, every = np.zeros((len(seed), 3)), np.zeros(3)
+        for batch in batches:
+            p, z = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            for at in range(0, len(p), 2048):
+                own = z[at : at + 2048]
+                inside = (p[at : at + 2048, None] * mul + add) % n < size
+                powers = np.stack([np.ones_like(own), own, own * own], axis=1)
+                test += inside.T.astype(np.float64) @ powers
+                every += powers.sum(axis=0)
+        rest = every - test
+        yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), *(pa.array(x[:, k]) for x in (test, rest) for k in range(3))], ["seed", "n_t", "s_t", "q_t", "n_c", "s_c", "q_c"])
+
+    names = [f"{k}_{part}" for part in "tc" for k in "nsq"]
+    made = rows.mapInArrow(run, "seed int, " + ", ".join(f"{c} double" for c in names))
+    sums = made.groupBy("seed").agg(*[F.sum(c).alias(c) for c in names])
+    return sums.withColumns({c: F.round(c).cast("long") for c in ("n_t", "n_c")})
+
+
 def _t_tests(moments: DataFrame) -> DataFrame:
     out = moments
     for name in ("t", "c"):

@@ -164,13 +164,20 @@ def store_loyalists(df: DataFrame, threshold: float = 0.7, customer: str = "cust
 
 
 def loyalty_share(df: DataFrame, by: Sequence[str], member: Column, customer: str = "customer_id", transaction: str = "transaction_id") -> DataFrame:
-    """Receipts, customers and frequency of loyalty members and of everyone."""
-    out = df.groupBy(*by).agg(
-        F.countDistinct(transaction).alias("receipts"),
-        F.countDistinct(F.when(member, F.col(transaction))).alias("member_receipts"),
-        F.countDistinct(customer).alias("customers"),
-        F.countDistinct(F.when(member, F.col(customer))).alias("member_customers"),
-    )
+    """Receipts, customers and frequency of loyalty members and of everyone.
+
+    Lines are reduced to one row per receipt and customer; a receipt or customer is a member's if any of its rows is.
+    """
+    own = stage(df.groupBy(*by, transaction, customer).agg(F.max(F.coalesce(member, F.lit(False)).cast("int")).alias("__m")))
+    parts = []
+    for key, name in ((transaction, "receipts"), (customer, "customers")):
+        per = own.filter(F.col(key).isNotNull()).groupBy(*by, key).agg(F.max("__m").alias("__m"))
+        parts.append(per.groupBy(*by).agg(F.count(F.lit(1)).alias(name), F.sum("__m").alias(f"member_{name}")))
+    out = own.select(*by).distinct() if by else own.sparkSession.range(1).select()
+    for part in parts:
+        out = join_keys(out, part, by) if by else out.crossJoin(F.broadcast(part))
+    counts = ["receipts", "member_receipts", "customers", "member_customers"]
+    out = out.select(*by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
     return out.select(
         "*",
         safe_div("member_receipts", "receipts", 0).alias("member_receipt_share"),

@@ -98,15 +98,19 @@ def full_compare(
 def compare_sets(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Counts of distinct keys found in both frames or in one only, per group."""
     cols = [*by, *[k for k in keys if k not in by]]
-    sides = left.select(*cols, F.lit(1).alias("in_left"), F.lit(0).alias("in_right")).unionByName(
-        right.select(*cols, F.lit(0).alias("in_left"), F.lit(1).alias("in_right"))
-    )
-    presence = sides.groupBy(*cols).agg(F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right"))
-    return presence.groupBy(*by).agg(
-        F.sum(F.expr("CASE WHEN in_left = 1 AND in_right = 1 THEN 1 ELSE 0 END")).alias("both"),
-        F.sum(F.expr("CASE WHEN in_left = 1 AND in_right = 0 THEN 1 ELSE 0 END")).alias("left_only"),
-        F.sum(F.expr("CASE WHEN in_left = 0 AND in_right = 1 THEN 1 ELSE 0 END")).alias("right_only"),
-    )
+    side = lambda df, is_left: df.select(*cols, F.lit(is_left).alias("__l"), F.lit(not is_left).alias("__r"))
+    return compare_parts(side(left, True).unionByName(side(right, False)), F.col("__l"), F.col("__r"), keys, by)
+
+
+def compare_parts(df: DataFrame, left: Column, right: Column, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """:func:`compare_sets` of two parts of one frame, told apart by conditions, in one pass over it."""
+    cols = [*by, *[k for k in keys if k not in by]]
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    used = df.filter(flag(left) | flag(right))
+    present = used.groupBy(*cols).agg(F.max(flag(left)).alias("__a"), F.max(flag(right)).alias("__b"))
+    count = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    a, b = F.col("__a"), F.col("__b")
+    return present.groupBy(*by).agg(count(a & b).alias("both"), count(a & ~b).alias("left_only"), count(b & ~a).alias("right_only"))
 
 
 def range_join(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import bucketize, safe_div
 from tillmark.operators.joins import join_keys, with_group
-from tillmark.operators.ordered import pareto, percentiles
+from tillmark.operators.ordered import column_counts, pareto, percentiles, percentiles_of_counts
 from tillmark.session import stage
 
 SALE_TYPES = ("SALE", "SELL_MEDIA")
@@ -38,15 +38,21 @@ def kpi_summary(
     transaction: str = "transaction_id",
     product: str = "product_id",
 ) -> DataFrame:
-    """Sales, volume, receipts, customers, products, discount, weighted price, ATV and RPC per group."""
-    out = df.groupBy(*by).agg(
-        F.sum("amount").alias("sales"),
-        F.sum("quantity").alias("volume"),
-        F.sum("discount_amount").alias("discount"),
-        F.countDistinct(transaction).alias("transactions"),
-        F.countDistinct(customer).alias("customers"),
-        F.countDistinct(product).alias("products"),
-    )
+    """Sales, volume, receipts, customers, products, discount, weighted price, ATV and RPC per group.
+
+    Lines are reduced to receipts in one pass, each with its sums and its few different products. Receipts, customers and
+    products are then counted as rows of one key each, and the counts meet per group, so no line is multiplied for the sake of a distinct count.
+    """
+    receipts = stage(df.groupBy(*by, transaction, customer).agg(
+        F.sum("amount").alias("__s"), F.sum("quantity").alias("__q"), F.sum("discount_amount").alias("__d"), F.collect_set(product).alias("__products"),
+    ))
+    sums = receipts.groupBy(*by).agg(F.sum("__s").alias("sales"), F.sum("__q").alias("volume"), F.sum("__d").alias("discount"))
+    items = receipts.select(*by, F.explode("__products").alias("__product"))
+    out = _with_counts(sums, by, {
+        "transactions": receipts.select(*by, transaction),
+        "customers": receipts.select(*by, customer),
+        "products": items,
+    })
     return out.select(
         "*",
         safe_div("sales", "volume").alias("avg_price"),
@@ -55,6 +61,37 @@ def kpi_summary(
     )
 
 
+def _with_counts(sums: DataFrame, by: Sequence[str], keys: Mapping[str, DataFrame]) -> DataFrame:
+    """Add to each group the number of different values of the last column of each frame; NULL is none."""
+    for name, rows in keys.items():
+        per = rows.dropna(subset=[rows.columns[-1]]).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+        sums = join_keys(sums, per, by) if by else sums.crossJoin(F.broadcast(per))  # one row each
+    return sums.na.fill(0, subset=list(keys))
+
+
+def rollup_distinct(df: DataFrame, levels: Sequence[str], sums: Mapping[str, str], distinct: Mapping[str, str], overall: str = "overall") -> DataFrame:
+    """Sums and distinct counts at every level of a hierarchy; collapsed levels read ``overall``.
+
+    Each key's presence per finest group is found once; a level's keys are those of the level below it, so that each level works on
+    what the one before has left, and the rows of ``df`` are read once and multiplied by nothing.
+    """
+    keys = list(distinct.values())
+    cells = stage(df.groupBy(*levels, *keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()]))
+    totals = cells.groupBy(*levels).agg(*[F.sum(name).alias(name) for name in sums])
+    present = {name: cells.select(*levels, key).dropna(subset=[key]).distinct() for name, key in distinct.items()}
+    out = None
+    for depth in range(len(levels), -1, -1):
+        by = list(levels[:depth])
+        if depth < len(levels):
+            totals = totals.groupBy(*by).agg(*[F.sum(name).alias(name) for name in sums])
+            present = {name: rows.select(*by, distinct[name]).distinct() for name, rows in present.items()}
+        level = _with_counts(totals, by, present)
+        shown = [F.col(c).cast("string").alias(c) if c in by else F.lit(overall).alias(c) for c in levels]
+        level = level.select(*shown, *sums, *distinct)
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
 def rollup_levels(
     df: DataFrame, levels: Sequence[str], aggs: Sequence[Column], overall: str = "overall"
 ) -> DataFrame:
@@ -192,19 +229,24 @@ def rate_by(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles, one row per column."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("__e")).select("__e.*")
-    long = stage(long)
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev("value").alias("std"),
+    """Count, mean, deviation, extremes and exact quartiles, one row per column.
+
+    Everything follows from the rows per (column, value), which are counted before the shuffle.
+    """
+    counts = stage(column_counts(df, columns))
+    basic = counts.groupBy("column").agg(
+        F.sum("__n").alias("n"),
+        (F.sum(F.col("value") * F.col("__n")) / F.sum("__n")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return join_keys(basic, percentiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"]), ["column"])
+    gaps = join_keys(counts, basic.select("column", "mean"), ["column"]).groupBy("column").agg(
+        F.sqrt(safe_div(F.sum(F.col("__n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))), F.sum("__n") - 1)).alias("std")
+    )
+    quartiles = percentiles_of_counts(counts, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"])
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # a column without values has a row as well
+    out = join_keys(join_keys(join_keys(named, basic, ["column"]), gaps, ["column"]), quartiles, ["column"])
+    return out.select("column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:

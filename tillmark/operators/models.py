@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillmark.functions.exprs import safe_div, seeded_order
 from tillmark.operators.joins import join_keys, with_group
-from tillmark.operators.ordered import avg_rank, running
+from tillmark.operators.ordered import column_counts, running
 from tillmark.session import stage
 
 
@@ -199,13 +199,19 @@ def tree_elasticities(
     return out.select(*keys, "n_train", "r2_train", "r2_test", "elasticity")
 
 
-def spearman(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Rank correlation of every two columns, long form."""
-    ranked = df.select(key, *columns)
+def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rank correlation of every two columns, long form; ties share their average rank, NULLs have none.
+
+    The values of all columns are counted together and ranked in one running pass; rows then look their ranks up, column by column.
+    """
+    counts = running(column_counts(df, columns), [F.col("value")], ["column"], sums={"__c": "__n"})
+    ranks = stage(counts.select("column", "value", (F.col("__c") - (F.col("__n") - 1) / 2).alias("__rank")))
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
-        ranked = avg_rank(ranked, c, f"__r_{c}", ascending=True)
+        own = ranks.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("__rank").alias(f"__r_{c}"))
+        ranked = ranked.join(own, F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
     pairs = list(combinations(columns, 2))
-    row = stage(ranked).agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*cells)).alias("__c")).select("__c.*")
 

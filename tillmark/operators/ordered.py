@@ -106,9 +106,15 @@ def percentiles(
     Equal values are counted before the shuffle and positions come from a running count, so no task
     holds the values of a whole group.
     """
-    ranked = running(
-        value_counts(df, column, by), [F.col(column).asc()], by, sums={"__c": "__n"}, totals={"__t": "__n"}, tasks=tasks
-    )
+    return percentiles_of_counts(value_counts(df, column, by), column, points, by, tasks)
+
+
+def percentiles_of_counts(
+    counts: DataFrame, column: str, points: Mapping[str, float], by: Sequence[str] = (), tasks: int | None = None
+) -> DataFrame:
+    """:func:`percentiles` of values whose rows per group have been counted by :func:`value_counts`."""
+    ranked = running(counts, [F.col(column).asc()], by, sums={"__c": "__n"}, totals={"__t": "__n"}, tasks=tasks)
+
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("__c") > index, F.col(column)))
 
@@ -125,6 +131,12 @@ def percentiles(
     return picked.select(*by, *out)
 
 
+def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per (column, value) of several numeric columns, NULL values left out: one pass, counted before the shuffle."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    return value_counts(df.select(F.explode(F.array(*cells)).alias("__e")).select("__e.*"), "value", ["column"])
+
+
 def upper_median(df: DataFrame, column: str, name: str, by: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """The element at 0-based position n // 2 of the sorted values."""
     ranked = running(

@@ -231,8 +231,7 @@ j AS (SELECT coalesce(a.department, b.department) AS department, a.product_id x,
 SELECT department, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS both,
   count(*) FILTER (WHERE y IS NULL) AS left_only, count(*) FILTER (WHERE x IS NULL) AS right_only FROM j GROUP BY 1"""))
 def _(spark, d):
-    df = star.product_sales(spark, d)
-    return joins.compare_sets(df.filter(cy()), df.filter(py()), ["product_id"], ["department"])
+    return joins.compare_parts(star.product_sales(spark, d), cy(), py(), ["product_id"], ["department"])
 
 
 @query("range_join", sql("""
@@ -333,11 +332,7 @@ SELECT CASE WHEN grouping(department) = 1 THEN 'overall' ELSE department END AS
   CASE WHEN grouping(category) = 1 THEN 'overall' ELSE category END AS category,
   sum(amount) AS sales, count(DISTINCT transaction_id) AS transactions FROM ps GROUP BY ROLLUP (department, category)"""))
 def _(spark, d):
-    return metrics.rollup_levels(
-        star.product_sales(spark, d),
-        ["department", "category"],
-        [F.sum("amount").alias("sales"), F.countDistinct("transaction_id").alias("transactions")],
-    )
+    return metrics.rollup_distinct(star.product_sales(spark, d), ["department", "category"], {"sales": "amount"}, {"transactions": "transaction_id"})
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

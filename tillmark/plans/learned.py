@@ -22,7 +22,7 @@ def _(spark, d):
     per = star.transactions(spark, d).groupBy("customer_id").agg(
         F.countDistinct("transaction_id").alias("orders"), F.sum("amount").alias("spend"), F.countDistinct("store_id").alias("stores")
     )
-    return models.spearman(stage(per), ["orders", "spend", "stores"], "customer_id").withColumn("rho", F.round("rho", 8))
+    return models.spearman(stage(per), ["orders", "spend", "stores"]).withColumn("rho", F.round("rho", 8))
 
 
 def _cramer(a: str, b: str) -> str:

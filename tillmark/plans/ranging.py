@@ -269,7 +269,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY store_id, year ORDER BY md5('42|
 SELECT store_id, year, transaction_id FROM r WHERE i <= greatest(1, round(n * 0.05))"""))
 def _(spark, d):
     t = star.transactions(spark, d).select("store_id", F.year("business_day").alias("year"), "transaction_id").distinct()
-    return assortment.stratified_sample(t, ["store_id", "year"], ["transaction_id"], 0.05)
+    return assortment.stratified_sample(stage(t), ["store_id", "year"], ["transaction_id"], 0.05)
 
 
 @query("delist_impact", sql(f"""

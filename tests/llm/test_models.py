@@ -95,6 +95,15 @@ def test_context_tree(spark):
         assert sorted(map(str, got[depth])) == sorted(map(str, want))
 
 
+def test_context_tree_in_many_chunks(spark):
+    """Chunks so small that words and strings are asked for many times give the same scores."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["the", "then", "Other", "of", "é"]) for _ in range(rng.randint(0, 25)))) for k in range(200)] + [(5, "of of")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, many = (sorted((r["doc_id"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in ctw.score(df, remainder("doc_id", 7) != 2, chunk_bytes=b).collect()) for b in (1 << 20, 500))
+    assert one == many and len(one) == 209
+
+
 def test_context_tree_of_nothing(spark):
     assert ctw.score(empty(spark), F.lit(True)).collect() == []
     alone = ctw.score(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), F.lit(False)).first()

@@ -8,7 +8,7 @@ counts support it.
 
 Nothing is gathered in one place. Counts of (depth + 1)-byte strings are summed by Spark; each level of the tree is an aggregation of the
 level below and the weights come down by joins. For scoring, texts are dealt to chunks of bounded size; a
-chunk asks for the values of the strings and words that occur in it, and these meet its texts in a cogroup.
+chunk asks for the values of the strings and words that occur in it, and its task reads these before the chunk's texts, which stream past.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm.store import drop, keep
-from tillmark.llm.texts import LOWER, coded, flat, pieces, strings, token_array, word_spans
+from tillmark.llm.texts import LOWER, flat, pieces, strings, token_array, word_spans
 
 #: Bytes of text in a chunk, about.
 CHUNK = 24 << 20
@@ -229,112 +229,140 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
     return made
 
 
-def _chunk_grams(batch: pa.Table, depth: int) -> pa.Array:
-    """The different strings of a chunk's texts."""
-    found = [pa.array(_grams(*flat(strings(part.column("text"))), depth)[0]).unique() for part in pieces(batch)]
-    return pa.concat_arrays(found).unique() if found else pa.array([], pa.int64())
+def _chunk_runs(batches, *keys: str):
+    """Slices of sorted batches in which the given integer columns do not change, with their values."""
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[:1] = True
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            yield tuple(int(x[a]) for x in columns), batch.slice(a, b - a)
 
 
-def _chunk_words(batch: pa.Table) -> dict[bytes, int]:
-    """The different words of a chunk's texts, and how often training rows have each; the empty one stands for the end of a text."""
-    words: dict[bytes, int] = {b"": 0}
-    for part in pieces(batch):
-        learn = part.column("learn")
-        learn = (learn.combine_chunks() if isinstance(learn, pa.ChunkedArray) else learn).to_numpy(zero_copy_only=False)
-        words[b""] += int(learn.sum())
-        data, offsets = flat(strings(part.column("text")))
-        data = LOWER[data]
-        starts, ends, first = word_spans(data, offsets)
-        distinct, index = coded(token_array(data, starts, ends))
-        n = np.bincount(index[np.repeat(learn, np.diff(first))], minlength=len(distinct)) if len(index) else np.zeros(len(distinct), np.int64)
-        for w, c in zip(distinct, n.tolist()):
-            words[w] = words.get(w, 0) + c
-    return words
+def _asks(dealt: DataFrame, depth: int) -> DataFrame:
+    """What each chunk of texts needs to know: its different strings (key), and its different words with their count in its training rows (n).
+
+    The empty word stands for the end of a text.
+    """
 
+    def out(chunk, grams, words):
+        key = pa.concat_arrays(grams).unique()
+        counted = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+        many, few = len(key), counted.num_rows
+        word = counted.column("word").combine_chunks().cast(pa.binary())
+        return pa.table({
+            "at": np.full(many + few, chunk, np.int32),
+            "key": pa.chunked_array([key, pa.nulls(few, pa.int64())]),
+            "word": pa.chunked_array([pa.nulls(many, pa.binary()), word]),
+            "n": pa.chunked_array([pa.nulls(many, pa.int64()), counted.column("n_sum").combine_chunks()]),
+        }).to_batches(max_chunksize=1 << 20)
 
-def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches):
+        now, grams, words = None, [], []
+        for (chunk,), rows in _chunk_runs(batches, "chunk"):
+            if chunk != now and now is not None:
+                yield from out(now, grams, words)
+                grams, words = [], []
+            now = chunk
+            for part in pieces(rows):
+                data, offsets = flat(strings(part.column("text")))
+                grams.append(pa.array(_grams(data, offsets, depth)[0]).unique())
+                learn = part.column("learn").to_numpy(zero_copy_only=False)
+                data = LOWER[data]
+                starts, ends, first = word_spans(data, offsets)
+                tokens = token_array(data, starts, ends).dictionary_encode()
+                index = tokens.indices.to_numpy(zero_copy_only=False)
+                n = np.bincount(index[np.repeat(learn, np.diff(first))], minlength=len(tokens.dictionary)) if len(index) else np.zeros(0, np.int64)
+                own = pa.concat_arrays([tokens.dictionary, pa.array([b""], pa.large_binary())])
+                words.append(pa.table({"word": own, "n": np.append(n, int(learn.sum())).astype(np.int64)}))
+        if now is not None:
+            yield from out(now, grams, words)
+
+    placed = dealt.select("chunk", "text", "learn").repartition("chunk").sortWithinPartitions("chunk")
+    return placed.mapInArrow(run, "at int, key long, word binary, n long")
+
+
+def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """``id``, learnt, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
 
     Rows for which ``learn`` holds (null: not) teach the model, all are scored. A-Z are lower-cased. Tokens are the words between
     ASCII white space and one end for each text; base_score is the add-one unigram log10 probability of a text's tokens. score is the context tree's
     log10 probability of the text's bytes and its end. A null text is an empty one: its end is all that is scored. Without
-    any training row every decision has probability one half. An empty table gives no rows.
+    any training row every decision has probability one half. Repeated rows are scored each. An empty table gives no rows.
+
+    A task of the last pass holds the values of the strings and words of one chunk of about ``chunk_bytes`` of texts, and one piece of its texts at a time.
     """
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = keep(string_counts(rows, depth), "strings")
     size = counts.where("gram = -1").select("n").first()
-    chunks = 1 + (size[0] if size else 0) // CHUNK
+    chunks = 1 + (size[0] if size else 0) // chunk_bytes
     values = tree(counts.where("gram <> -1"), depth)
     drop(counts)
     # the hash of the whole row, so that no id, however frequent, fills a chunk; equal rows may meet in one
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    asks = keep(_asks(dealt, depth), "asks")
+    words = keep(asks.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()  # two numbers
+    trained, vocabulary = total["n"], total["v"]
 
-    def strings_of(batch):
-        """The different strings of a chunk."""
-        grams = _chunk_grams(batch, depth)
-        return pa.table({"chunk": np.full(len(grams), batch.column("chunk")[0].as_py(), np.int32), "gram": grams})
-
-    def words_of(batch):
-        """The different words of a chunk, each with its place in their order and its count in the chunk's training rows."""
-        words = _chunk_words(batch)
-        order = sorted(words)
-        return pa.table({"chunk": pa.array(np.full(len(order), batch.column("chunk")[0].as_py(), np.int32)), "place": np.arange(len(order), dtype=np.int32), "word": pa.array(order, pa.binary()), "n": pa.array([words[w] for w in order], pa.int64())})
-
-    grams = dealt.groupBy("chunk").applyInArrow(strings_of, "chunk int, gram long").join(values, "gram")
-    words = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, place int, word binary, n long")
-    of_word = Window.partitionBy("word")
-    words = words.select("chunk", "place", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"))
-    # keys below zero are words' places, the others strings; n and the first row of each word give the corpus's totals
-    answers = grams.select(F.col("chunk").alias("at"), F.col("gram").alias("key"), "value", F.lit(None).cast("long").alias("n")).unionByName(
-        words.select(F.col("chunk").alias("at"), (-1 - F.col("place")).cast("long").alias("key"), F.col("c").cast("double").alias("value"), F.when(F.col("first"), -1 - F.col("n")).otherwise(F.col("n")).alias("n"))
-    )
+    empty = {"key": "long", "value": "double", "word": "binary", "id": kind, "text": "string", "learn": "boolean"}
 
-    def scored(texts, known):
-        key, value = known.column("key").to_numpy(), known.column("value").to_numpy()
-        is_word = key < 0
-        grams, log10 = pa.array(key[~is_word]), value[~is_word]
-        counts = np.empty(int(is_word.sum()))
-        counts[-1 - key[is_word]] = value[is_word]
-        words = {w: k for k, w in enumerate(sorted(_chunk_words(texts)))}
-        end = counts[words[b""]]
-        n = known.column("n").combine_chunks().drop_null().to_numpy()
-        new_words = int(((n < 0) & (value[is_word] > 0)).sum())
-        trained = int(np.where(n < 0, -1 - n, n).sum())
-        out = []
-        for part in pieces(texts):
-            column = strings(part.column("text"))
-            data, offsets = flat(column)
-            codes, at = _grams(data, offsets, depth)
-            # the sums of single texts, not differences of long sums, where rounding would add up
-            value = np.add.reduceat(log10[pc.index_in(pa.array(codes), grams).to_numpy()], at[:-1]) if len(at) > 1 else np.zeros(0)
-            data = LOWER[data]
-            starts, ends, begin = word_spans(data, offsets)
-            distinct, index = coded(token_array(data, starts, ends))
-            c = counts[np.fromiter(map(words.__getitem__, distinct), dtype=np.int64, count=len(distinct))]
-            of_token = c[index] if len(index) else np.zeros(0)
-            size = np.diff(begin)
-            sums = np.zeros(len(size))
-            seen = np.zeros(len(size), dtype=np.int64)
-            full = size > 0
-            if full.any():
-                sums[full] = np.add.reduceat(np.log10(of_token + 1), begin[:-1][full])
-                seen[full] = np.add.reduceat((of_token > 0).astype(np.int64), begin[:-1][full])
-            column = part.column("id")
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            learnt = part.column("learn")
-            learnt = learnt.combine_chunks() if isinstance(learnt, pa.ChunkedArray) else learnt
-            n = len(size)
-            out.append(pa.table({"id": column, "learnt": learnt, "n_tokens": size + 1, "n_known": seen + int(end > 0), "logs": sums + np.log10(end + 1), "score": value, "n_bytes": np.diff(offsets), "vocabulary": pa.nulls(n, pa.int64()), "trained": pa.nulls(n, pa.int64())}))
-        made = pa.concat_tables(out)
-        total = {c: pa.nulls(1, made.schema.field(c).type) for c in made.column_names} | {"vocabulary": pa.array([new_words]), "trained": pa.array([trained])}
-        return pa.concat_tables([made, pa.table(total, schema=made.schema)])
-
-    schema = f"id {kind}, learnt boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, vocabulary long, trained long"
-    made = keep(dealt.groupBy("chunk").cogroup(answers.groupBy("at")).applyInArrow(scored, schema), "scores")
-    totals = made.where("vocabulary is not null").agg(F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v"), F.coalesce(F.sum("trained"), F.lit(0)).alias("train_tokens"))
-    return (
-        made.where("vocabulary is null")
-        .crossJoin(F.broadcast(totals))  # one row
-        .select(F.col("id").alias(id), "learnt", "n_tokens", "n_known", "train_tokens", (F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("v") + 1)).alias("base_score"), "score", "n_bytes")
-    )
+    def streamed(df, place, has):
+        return df.select("at", F.lit(place).cast("byte").alias("place"), *(F.col(c) if c in has else F.lit(None).cast(k).alias(c) for c, k in empty.items()))
+
+    # a chunk's strings come first, then its words, then its texts
+    of_strings = asks.where("word is null").select("at", F.col("key").alias("gram")).join(values, "gram").select("at", F.col("gram").alias("key"), "value")
+    of_words = asks.where("word is not null").select("at", "word").join(words, "word").select("at", "word", F.col("n").cast("double").alias("value"))
+    stream = streamed(of_strings, 0, ("key", "value")).unionByName(streamed(of_words, 1, ("word", "value")))
+    stream = stream.unionByName(streamed(dealt.withColumnRenamed("chunk", "at"), 2, ("id", "text", "learn")))
+
+    def scored(part, grams, log10, words, counts, end):
+        data, offsets = flat(strings(part.column("text")))
+        codes, at = _grams(data, offsets, depth)
+        codes = pa.array(codes).dictionary_encode()
+        of_code = log10[np.searchsorted(grams, codes.dictionary.to_numpy())]
+        # the sums of single texts, not differences of long sums, where rounding would add up
+        value = np.add.reduceat(of_code[codes.indices.to_numpy()], at[:-1])
+        data = LOWER[data]
+        starts, ends, begin = word_spans(data, offsets)
+        tokens = token_array(data, starts, ends).dictionary_encode()
+        c = counts[pc.index_in(tokens.dictionary.cast(pa.binary()), words).to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0)
+        of_token = c[tokens.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0)
+        many = np.diff(begin)
+        sums, seen, full = np.zeros(len(many)), np.zeros(len(many), dtype=np.int64), many > 0
+        if full.any():
+            sums[full] = np.add.reduceat(np.log10(of_token + 1), begin[:-1][full])
+            seen[full] = np.add.reduceat((of_token > 0).astype(np.int64), begin[:-1][full])
+        columns = [part.column("id"), part.column("learn"), many + 1, seen + int(end > 0), sums + np.log10(end + 1), value, np.diff(offsets)]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    names = ["id", "learnt", "n_tokens", "n_known", "logs", "score", "n_bytes"]
+
+    def run(batches):
+        now, known = None, None
+        for (chunk, place), rows in _chunk_runs(batches, "at", "place"):
+            if chunk != now:
+                now, held, known = chunk, ([], [], [], []), None
+            if place < 2:
+                held[2 * place].append(rows.column("word" if place else "key"))
+                held[2 * place + 1].append(rows.column("value").to_numpy())
+                continue
+            if known is None:
+                grams = np.concatenate([x.to_numpy() for x in held[0]])
+                order = np.argsort(grams)
+                words, counts = pa.concat_arrays(held[2]), np.concatenate(held[3])
+                known = grams[order], np.concatenate(held[1])[order], words, counts, counts[pc.index(words, pa.scalar(b"", pa.binary())).as_py()]
+                held = ([], [], [], [])
+            for part in pieces(rows):
+                yield scored(part, *known)
+
+    schema = f"id {kind}, learnt boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+    made = keep(stream.repartition("at").sortWithinPartitions("at", "place").mapInArrow(run, schema), "scores")
+    for table in (values, asks, words):
+        drop(table)
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(trained + vocabulary + 1)))
+    return made.select(F.col("id").alias(id), "learnt", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")

@@ -483,7 +483,28 @@ def _(spark, d):
     return out.withColumn("beta", F.round("beta", 6))
 
 
-@query("beta_by_sku_boxcox")
+def _box(v: str, g: str) -> str:
+    return f"CASE WHEN abs({g}) < 1e-12 THEN ln({v}) ELSE ({v} ** ({g}) - 1) / ({g}) END"
+
+
+# rounds of a likelihood grid of 17 exponents, as in the operator: the grid moves on and doubles while its best point is an end, then narrows
+_GRID = "(l.low + i * (l.high - l.low) / 16)"
+BOXCOX = f"""{BETA},
+bx AS MATERIALIZED (SELECT 'x' AS c, stores - min(stores) OVER () + 1e-10 AS v FROM sw UNION ALL SELECT 'y', ssw - min(ssw) OVER () + 1e-10 FROM sw),
+vc AS MATERIALIZED (SELECT c, v, count(*) AS w FROM bx GROUP BY 1, 2),
+lam AS (SELECT c, -2.0::DOUBLE AS low, 2.0::DOUBLE AS high, NULL::DOUBLE AS best, false AS done FROM (VALUES ('x'), ('y')) t(c) UNION ALL
+  SELECT c, CASE WHEN falls THEN best - 2 * (high - low) ELSE best - step END, CASE WHEN falls THEN best + step WHEN rises THEN best + 2 * (high - low) ELSE best + step END, best, NOT falls AND NOT rises AND step < 1e-4
+  FROM (SELECT *, top = 0 AND best > -64 AND s0 > s1 AS falls, top = 16 AND best < 64 AND s16 > s15 AS rises
+    FROM (SELECT c, low, high, (high - low) / 16 AS step, arg_max(g, (score, -i)) AS best, arg_max(i, (score, -i)) AS top,
+        max(score) FILTER (i = 0) AS s0, max(score) FILTER (i = 1) AS s1, max(score) FILTER (i = 16) AS s16, max(score) FILTER (i = 15) AS s15
+      FROM (SELECT c, low, high, i, g, CASE WHEN vr > 0 AND vr < 'Infinity'::DOUBLE THEN -n / 2 * ln(vr) + (g - 1) * s ELSE '-Infinity'::DOUBLE END AS score
+        FROM (SELECT c, low, high, i, g, sum(w) AS n, sum(w * ln(v)) AS s, sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2 AS vr
+          FROM (SELECT l.c, l.low, l.high, i, {_GRID} AS g, v, w, {_box("v", _GRID)} AS b FROM lam l JOIN vc ON l.c = vc.c, range(0, 17) r(i) WHERE NOT done) GROUP BY ALL)) GROUP BY ALL))),
+px AS (SELECT best FROM lam WHERE done AND c = 'x'), py AS (SELECT best FROM lam WHERE done AND c = 'y'),
+bc AS (SELECT material_group, {_box("(stores - min(stores) OVER () + 1e-10)", "px.best")} AS x, {_box("(ssw - min(ssw) OVER () + 1e-10)", "py.best")} AS y FROM sw, px, py)"""
+
+
+@query("beta_by_sku_boxcox", sql(f"WITH RECURSIVE {BOXCOX} SELECT material_group, count(*) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 6) AS beta FROM bc GROUP BY 1"))
 def _(spark, d):
     from tillmark.session import stage
 

@@ -6,8 +6,8 @@ contexts one byte longer say are mixed half and half, from the deepest contexts
 estimate has in its mixture, after all counts are in, weighs it in the prediction; so every depth has a say where the
 counts support it.
 
-Nothing is gathered in one place. Counts of (depth + 1)-byte strings are summed by Spark; each level of the tree is an aggregation of the
-level below and the weights come down by joins. For scoring, texts are dealt to chunks of bounded size; a
+Nothing is gathered in one place. Texts are dealt to chunks of bounded size, each of which counts its (depth + 1)-byte strings and words; Spark sums these
+counts, each level of the tree is an aggregation of the level below and the weights come down by joins. For scoring, a
 chunk asks for the values of the strings and words that occur in it, and its task reads these before the chunk's texts, which stream past.
 """
 
@@ -24,6 +24,8 @@ from tillmark.llm.texts import LOWER, flat, pieces, strings, token_array, word_s
 
 #: Bytes of text in a chunk, about.
 CHUNK = 24 << 20
+#: Bytes of text that are worked through at a time; their strings and codes take some fifty times as much.
+PIECE = 512 << 10
 #: Contexts are dealt to tasks by this many of their latest bytes.
 TOP = 3
 
@@ -67,24 +69,6 @@ def _ln_kt(zeros: Column, ones: Column) -> Column:
     return _ln_gamma(zeros + 0.5) + _ln_gamma(ones + 0.5) - 1.1447298858494002 - _ln_gamma(zeros + ones + 1.0)
 
 
-def string_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """gram, n: how often each (depth + 1)-byte string occurs in rows whose ``learn`` is true; others count 0. gram -1 has the bytes of all texts."""
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch):
-                data, offsets = flat(strings(part.column("text")))
-                codes, first = _grams(data, offsets, depth)
-                learn = np.repeat(part.column("learn").fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
-                counted = pa.array(codes[learn]).value_counts()
-                others = pa.array(codes[~learn]).unique()
-                gram = np.concatenate([counted.field("values").to_numpy(), others.to_numpy(), [-1]]).astype(np.int64)
-                n = np.concatenate([counted.field("counts").to_numpy(), np.zeros(len(others), np.int64), [len(data)]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
-
-    return texts.select("text", "learn").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _spread(ordered: DataFrame, schema: str, each) -> DataFrame:
     """``each`` over blocks of whole groups of equal ``group``; rows are dealt and sorted by it. Blocks have about half a million rows, or one group."""
 
@@ -242,42 +226,62 @@ def _chunk_runs(batches, *keys: str):
             yield tuple(int(x[a]) for x in columns), batch.slice(a, b - a)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different keys of several lists, with their counts added up."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    key = key[order]
+    begin = _runs(key)
+    return key[begin], np.add.reduceat(n[order], begin)
+
+
+def _strings_of(codes: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings of a piece, ascending, and how often training rows have each."""
+    both = np.sort(codes << 1 | learn)
+    begin = _runs(both >> 1)
+    return both[begin] >> 1, np.add.reduceat(both & 1, begin)
+
+
 def _asks(dealt: DataFrame, depth: int) -> DataFrame:
-    """What each chunk of texts needs to know: its different strings (key), and its different words with their count in its training rows (n).
+    """What each chunk of texts has and asks for: its different strings (key) and words, with their counts in its training rows (n).
 
     The empty word stands for the end of a text.
     """
 
     def out(chunk, grams, words):
-        key = pa.concat_arrays(grams).unique()
-        counted = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
-        many, few = len(key), counted.num_rows
+        key, count = _merged(grams)
+        counted = pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        for at in range(0, len(key), 1 << 18):
+            part = key[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int32)), pa.array(part), pa.nulls(len(part), pa.binary()), pa.array(count[at : at + (1 << 18)])], names)
+        few = counted.num_rows
         word = counted.column("word").combine_chunks().cast(pa.binary())
-        return pa.table({
-            "at": np.full(many + few, chunk, np.int32),
-            "key": pa.chunked_array([key, pa.nulls(few, pa.int64())]),
-            "word": pa.chunked_array([pa.nulls(many, pa.binary()), word]),
-            "n": pa.chunked_array([pa.nulls(many, pa.int64()), counted.column("n_sum").combine_chunks()]),
-        }).to_batches(max_chunksize=1 << 20)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(few, chunk, np.int32)), pa.nulls(few, pa.int64()), word, counted.column("n_sum").combine_chunks()], names)
+
+    names = ["at", "key", "word", "n"]
 
     def run(batches):
-        now, grams, words = None, [], []
+        now, grams, words, held = None, [], [], 0
         for (chunk,), rows in _chunk_runs(batches, "chunk"):
             if chunk != now and now is not None:
                 yield from out(now, grams, words)
-                grams, words = [], []
+                grams, words, held = [], [], 0
             now = chunk
-            for part in pieces(rows):
+            for part in pieces(rows, PIECE):
                 data, offsets = flat(strings(part.column("text")))
-                grams.append(pa.array(_grams(data, offsets, depth)[0]).unique())
-                learn = part.column("learn").to_numpy(zero_copy_only=False)
+                codes, first = _grams(data, offsets, depth)
+                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
+                grams.append(_strings_of(codes, np.repeat(learn, np.diff(first))))
+                held += len(grams[-1][0])
+                if held > 4_000_000:
+                    grams = [_merged(grams)]
+                    held = 0
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets)
                 tokens = token_array(data, starts, ends).dictionary_encode()
                 index = tokens.indices.to_numpy(zero_copy_only=False)
-                n = np.bincount(index[np.repeat(learn, np.diff(first))], minlength=len(tokens.dictionary)) if len(index) else np.zeros(0, np.int64)
-                own = pa.concat_arrays([tokens.dictionary, pa.array([b""], pa.large_binary())])
-                words.append(pa.table({"word": own, "n": np.append(n, int(learn.sum())).astype(np.int64)}))
+                n = np.bincount(index, np.repeat(learn, np.diff(first)), len(tokens.dictionary)).astype(np.int64) if len(index) else np.zeros(0, np.int64)
+                words.append(pa.table({"word": pa.concat_arrays([tokens.dictionary, pa.array([b""], pa.large_binary())]), "n": np.append(n, learn.sum())}))
         if now is not None:
             yield from out(now, grams, words)
 
@@ -285,6 +289,42 @@ def _asks(dealt: DataFrame, depth: int) -> DataFrame:
     return placed.mapInArrow(run, "at int, key long, word binary, n long")
 
 
+def _packed(answers: DataFrame) -> DataFrame:
+    """at and blob: the (key, value) of each chunk, many in one row, as they are read; a blob is the keys' differences by byte planes and the values."""
+
+    def blob(key, value):
+        order = np.argsort(key)
+        step = np.diff(key[order], prepend=np.int64(0)).astype("<i8")
+        return step.view(np.uint8).reshape(-1, 8).T.tobytes() + value[order].astype("<f8").tobytes()
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("at", "key", "value")])
+            rows += batch.num_rows
+            if rows >= 1 << 18:
+                yield out(held)
+                held, rows = [], 0
+        if rows:
+            yield out(held)
+
+    def out(held):
+        at, key, value = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(at, kind="stable")
+        at, key, value = at[order], key[order], value[order]
+        begin = _runs(at)
+        blobs = [blob(key[a:b], value[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
+        return pa.RecordBatch.from_arrays([pa.array(at[begin]), pa.array(blobs, pa.binary())], ["at", "blob"])
+
+    return answers.select("at", "key", "value").mapInArrow(run, "at int, blob binary")
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 16
+    planes = np.frombuffer(blob, dtype=np.uint8, count=8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel()), np.frombuffer(blob, dtype="<f8", offset=8 * n)
+
+
 def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """``id``, learnt, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
 
@@ -293,40 +333,42 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
     log10 probability of the text's bytes and its end. A null text is an empty one: its end is all that is scored. Without
     any training row every decision has probability one half. Repeated rows are scored each. An empty table gives no rows.
 
-    A task of the last pass holds the values of the strings and words of one chunk of about ``chunk_bytes`` of texts, and one piece of its texts at a time.
+    A task of the first and last pass holds the strings and words of one chunk of about ``chunk_bytes`` of texts, and one piece of its texts at a time.
     """
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = keep(string_counts(rows, depth), "strings")
-    size = counts.where("gram = -1").select("n").first()
-    chunks = 1 + (size[0] if size else 0) // chunk_bytes
-    values = tree(counts.where("gram <> -1"), depth)
-    drop(counts)
+    chunks = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes
     # the hash of the whole row, so that no id, however frequent, fills a chunk; equal rows may meet in one
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
     asks = keep(_asks(dealt, depth), "asks")
+    counts = keep(asks.where("key is not null").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "strings")
+    values = tree(counts, depth)
+    drop(counts)
     words = keep(asks.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()  # two numbers
     trained, vocabulary = total["n"], total["v"]
 
-    empty = {"key": "long", "value": "double", "word": "binary", "id": kind, "text": "string", "learn": "boolean"}
+    empty = {"blob": "binary", "word": "binary", "value": "double", "id": kind, "text": "string", "learn": "boolean"}
 
     def streamed(df, place, has):
         return df.select("at", F.lit(place).cast("byte").alias("place"), *(F.col(c) if c in has else F.lit(None).cast(k).alias(c) for c, k in empty.items()))
 
     # a chunk's strings come first, then its words, then its texts
-    of_strings = asks.where("word is null").select("at", F.col("key").alias("gram")).join(values, "gram").select("at", F.col("gram").alias("key"), "value")
+    of_strings = asks.where("key is not null").select("at", F.col("key").alias("gram")).join(values, "gram").select("at", F.col("gram").alias("key"), "value")
     of_words = asks.where("word is not null").select("at", "word").join(words, "word").select("at", "word", F.col("n").cast("double").alias("value"))
-    stream = streamed(of_strings, 0, ("key", "value")).unionByName(streamed(of_words, 1, ("word", "value")))
+    stream = streamed(_packed(of_strings), 0, ("blob",)).unionByName(streamed(of_words, 1, ("word", "value")))
     stream = stream.unionByName(streamed(dealt.withColumnRenamed("chunk", "at"), 2, ("id", "text", "learn")))
 
     def scored(part, grams, log10, words, counts, end):
         data, offsets = flat(strings(part.column("text")))
         codes, at = _grams(data, offsets, depth)
-        codes = pa.array(codes).dictionary_encode()
-        of_code = log10[np.searchsorted(grams, codes.dictionary.to_numpy())]
+        order = np.argsort(codes)
+        codes = codes[order]
+        begin = _runs(codes)
+        of_code = np.empty(len(codes))
+        of_code[order] = np.repeat(log10[np.searchsorted(grams, codes[begin])], np.diff(np.append(begin, len(codes))))
         # the sums of single texts, not differences of long sums, where rounding would add up
-        value = np.add.reduceat(of_code[codes.indices.to_numpy()], at[:-1])
+        value = np.add.reduceat(of_code, at[:-1])
         data = LOWER[data]
         starts, ends, begin = word_spans(data, offsets)
         tokens = token_array(data, starts, ends).dictionary_encode()
@@ -346,19 +388,22 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
         now, known = None, None
         for (chunk, place), rows in _chunk_runs(batches, "at", "place"):
             if chunk != now:
-                now, held, known = chunk, ([], [], [], []), None
-            if place < 2:
-                held[2 * place].append(rows.column("word" if place else "key"))
-                held[2 * place + 1].append(rows.column("value").to_numpy())
-                continue
-            if known is None:
-                grams = np.concatenate([x.to_numpy() for x in held[0]])
-                order = np.argsort(grams)
-                words, counts = pa.concat_arrays(held[2]), np.concatenate(held[3])
-                known = grams[order], np.concatenate(held[1])[order], words, counts, counts[pc.index(words, pa.scalar(b"", pa.binary())).as_py()]
-                held = ([], [], [], [])
-            for part in pieces(rows):
-                yield scored(part, *known)
+                now, blobs, texts, totals, known = chunk, [], [], [], None
+            if place == 0:
+                blobs += [_unpacked(b) for b in rows.column("blob").to_pylist()]
+            elif place == 1:  # a copy, so that no batch is held for one of its columns
+                texts.append(pa.concat_arrays([rows.column("word")]))
+                totals.append(rows.column("value").to_numpy().copy())
+            else:
+                if known is None:
+                    grams, log10 = (np.concatenate(x) for x in zip(*blobs))
+                    blobs = []
+                    order = np.argsort(grams)
+                    words, counts = pa.concat_arrays(texts), np.concatenate(totals)
+                    known = grams[order], log10[order], words, counts, counts[pc.index(words, pa.scalar(b"", pa.binary())).as_py()]
+                    grams = log10 = order = None
+                for part in pieces(rows, PIECE):
+                    yield scored(part, *known)
 
     schema = f"id {kind}, learnt boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
     made = keep(stream.repartition("at").sortWithinPartitions("at", "place").mapInArrow(run, schema), "scores")

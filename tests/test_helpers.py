@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,12 @@ def test_writers_under_either_overwrite_mode(spark, mode):
         assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def test_staged_tables_can_be_released(spark):
+    from tillmark.session import release_stages, stage
+
+    release_stages(spark)
+    frame = stage(spark.range(3))
+    path = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(path) and release_stages(spark) == 1 and not os.path.exists(path) and release_stages(spark) == 0

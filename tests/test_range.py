@@ -52,6 +52,14 @@ def test_greedy_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_half_a_sku_is_rounded_to_the_even_number(spark):
+    """A quarter of 10 SKUs are 2 and of 14 are 4: halves go to the even number."""
+    for n, want in ((10, 2), (14, 4), (6, 2), (2, 0)):
+        data = [("g", f"s{k:02d}", 1.0 + k, 0.1, 0.01, 0.0 if k < 8 else 500.0, int(k < 8)) for k in range(n)]
+        got = delisting.greedy_delist(spark.createDataFrame(data, COLUMNS), "sku", ["g"]).filter("delist_flag = 1").count()
+        assert got == want
+
+
 def test_closed_form_of_leaving_one_out(spark):
     data = [s for s in skus(9, 5) if s[0] == "g1"]
     out = delisting.leave_one_out(spark.createDataFrame(data, COLUMNS), F.col("sku") == "s03", ["g"]).collect()

@@ -90,7 +90,7 @@ def delist_candidates(
 def greedy_delist(skus: DataFrame, key: str, by: Sequence[str], limit_share: float = 0.25) -> DataFrame:
     """Remove SKUs one at a time, each time the candidate whose removal leaves the highest value.
 
-    A group ends at its limit (a share of its SKUs, halves rounded up), without candidates, or when the best removal lowers its value. ``skus``
+    A group ends at its limit (a share of its SKUs, halves rounded to the even number), without candidates, or when the best removal lowers its value. ``skus``
     has price, margin, beta_exp, prob_units and candidate. The SKUs of a group (a demand group of one region, one row
     for each SKU) meet in a task after one shuffle, where a round is a handful of array operations.
     """
@@ -100,7 +100,7 @@ def greedy_delist(skus: DataFrame, key: str, by: Sequence[str], limit_share: flo
 
     def rounds(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key, ignore_index=True)
-        order = _removals(*(group[c].to_numpy(dtype=float) for c in needed), int(np.floor(len(group) * limit_share + 0.5)))
+        order = _removals(*(group[c].to_numpy(dtype=float) for c in needed), round(len(group) * limit_share))
         return group.loc[order, keys].assign(removed_round=np.arange(1, len(order) + 1, dtype=np.int32))
 
     gone = skus.select(*keys, *needed).groupBy(*by).applyInPandas(rounds, f"{fields}, removed_round int")

@@ -351,7 +351,7 @@ def _(spark, d):
 GREEDY = f"""{CHOICE},
 k0 AS MATERIALIZED (SELECT department, brand || ' ' || category AS sku, price * margin * beta_exp AS w, beta_exp AS be, price * margin * prob_units AS v, prob_units AS pu,
   brand <> 'Brand#1' AND sales_share <= 0.02 AND gp_share <= 0.02 AS cand FROM ch),
-lim AS MATERIALIZED (SELECT department, CAST(floor(count(*) * 0.25 + 0.5) AS INTEGER) AS lim, sum(v) AS pv FROM k0 GROUP BY 1),
+lim AS MATERIALIZED (SELECT department, CAST(round_even(count(*) * 0.25, 0) AS INTEGER) AS lim, sum(v) AS pv FROM k0 GROUP BY 1),
 rounds AS (
   SELECT department, 0 AS rnd, pv, CAST([] AS VARCHAR[]) AS gone FROM lim
   UNION ALL

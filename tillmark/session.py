@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by each application, by its id.
+_staged: dict[str, list[str]] = {}
+
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -49,6 +52,20 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._staged = True  # a second call for the same frame writes nothing
     return written
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete what :func:`stage` has written in this application so far; frames that still read it are to be used up before.
+
+    A query's result is lazy and reads staged tables until it is written, so only the caller knows when they may go: after a report, or between
+    queries of a long session. Returns the number of tables deleted.
+    """
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -16,9 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillmark.llm.grouped import runs_of_keys
 from tillmark.llm.store import drop, keep
 from tillmark.llm.texts import LOWER, flat, pieces, strings, token_array, word_spans
 
@@ -213,19 +215,6 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
     return made
 
 
-def _chunk_runs(batches, *keys: str):
-    """Slices of sorted batches in which the given integer columns do not change, with their values."""
-    for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in keys]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        new[:1] = True
-        for x in columns:
-            new[1:] |= x[1:] != x[:-1]
-        starts = np.flatnonzero(new)
-        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
-            yield tuple(int(x[a]) for x in columns), batch.slice(a, b - a)
-
-
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Ascending different keys of several lists, with their counts added up."""
     key, n = (np.concatenate(x) for x in zip(*parts))
@@ -262,7 +251,7 @@ def _asks(dealt: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         now, grams, words, held = None, [], [], 0
-        for (chunk,), rows in _chunk_runs(batches, "chunk"):
+        for (chunk,), rows in runs_of_keys(batches, "chunk"):
             if chunk != now and now is not None:
                 yield from out(now, grams, words)
                 grams, words, held = [], [], 0
@@ -289,18 +278,13 @@ def _asks(dealt: DataFrame, depth: int) -> DataFrame:
     return placed.mapInArrow(run, "at int, key long, word binary, n long")
 
 
-def _packed(answers: DataFrame) -> DataFrame:
-    """at and blob: the (key, value) of each chunk, many in one row, as they are read; a blob is the keys' differences by byte planes and the values."""
-
-    def blob(key, value):
-        order = np.argsort(key)
-        step = np.diff(key[order], prepend=np.int64(0)).astype("<i8")
-        return step.view(np.uint8).reshape(-1, 8).T.tobytes() + value[order].astype("<f8").tobytes()
+def _packed(answers: DataFrame, column: str, blob) -> DataFrame:
+    """at and blob: the ``column`` and value of each chunk, many in one row, in the order they are read."""
 
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("at", "key", "value")])
+            held.append(batch)
             rows += batch.num_rows
             if rows >= 1 << 18:
                 yield out(held)
@@ -309,22 +293,61 @@ def _packed(answers: DataFrame) -> DataFrame:
             yield out(held)
 
     def out(held):
-        at, key, value = (np.concatenate(x) for x in zip(*held))
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = table.column("at").to_numpy()
         order = np.argsort(at, kind="stable")
-        at, key, value = at[order], key[order], value[order]
+        at, table = at[order], table.take(pa.array(order)).combine_chunks()
         begin = _runs(at)
-        blobs = [blob(key[a:b], value[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
+        own, value = table.column(column).chunk(0), table.column("value").to_numpy()
+        blobs = [blob(own.slice(a, b - a), value[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
         return pa.RecordBatch.from_arrays([pa.array(at[begin]), pa.array(blobs, pa.binary())], ["at", "blob"])
 
-    return answers.select("at", "key", "value").mapInArrow(run, "at int, blob binary")
+    return answers.select("at", column, "value").mapInArrow(run, "at int, blob binary")
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _string_blob(key: pa.Array, value: np.ndarray) -> bytes:
+    """Ascending keys as differences, by byte planes (most of which are zero), and their values."""
+    key = key.to_numpy()
+    order = np.argsort(key)
+    step = np.diff(key[order], prepend=np.int64(0)).astype("<i8")
+    return step.view(np.uint8).reshape(-1, 8).T.tobytes() + value[order].astype("<f8").tobytes()
+
+
+def _strings_in(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 16
     planes = np.frombuffer(blob, dtype=np.uint8, count=8 * n).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel()), np.frombuffer(blob, dtype="<f8", offset=8 * n)
 
 
+def _word_blob(word: pa.Array, value: np.ndarray) -> bytes:
+    """The number of words, their values and lengths, and their bytes behind one another."""
+    data, offsets = flat(word.cast(pa.large_binary()))
+    return np.int64(len(word)).tobytes() + value.astype("<f8").tobytes() + np.diff(offsets).astype("<i4").tobytes() + data.tobytes()
+
+
+def _words_in(blob: bytes) -> tuple[pa.Array, np.ndarray]:
+    n = int(np.frombuffer(blob, dtype="<i8", count=1)[0])
+    value, length = np.frombuffer(blob, dtype="<f8", count=n, offset=8), np.frombuffer(blob, dtype="<i4", count=n, offset=8 + 8 * n)
+    offsets = np.append(0, np.cumsum(length)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(blob[8 + 12 * n :])]), value
+
+
+class _Words:
+    """Counts of a chunk's words by their hash; should two words of the chunk share one, by the words themselves."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        key = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+        order = np.argsort(key)
+        self.key, self.counts, self.words = key[order], counts[order], None
+        if (self.key[1:] == self.key[:-1]).any():
+            self.words, self.counts = words, counts
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        if self.words is not None:
+            return self.counts[pc.index_in(words, self.words).to_numpy(zero_copy_only=False)]
+        return self.counts[np.searchsorted(self.key, np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words)))]
+
+
 def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """``id``, learnt, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
 
@@ -348,7 +371,7 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()  # two numbers
     trained, vocabulary = total["n"], total["v"]
 
-    empty = {"blob": "binary", "word": "binary", "value": "double", "id": kind, "text": "string", "learn": "boolean"}
+    empty = {"blob": "binary", "id": kind, "text": "string", "learn": "boolean"}
 
     def streamed(df, place, has):
         return df.select("at", F.lit(place).cast("byte").alias("place"), *(F.col(c) if c in has else F.lit(None).cast(k).alias(c) for c, k in empty.items()))
@@ -356,10 +379,10 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
     # a chunk's strings come first, then its words, then its texts
     of_strings = asks.where("key is not null").select("at", F.col("key").alias("gram")).join(values, "gram").select("at", F.col("gram").alias("key"), "value")
     of_words = asks.where("word is not null").select("at", "word").join(words, "word").select("at", "word", F.col("n").cast("double").alias("value"))
-    stream = streamed(_packed(of_strings), 0, ("blob",)).unionByName(streamed(of_words, 1, ("word", "value")))
+    stream = streamed(_packed(of_strings, "key", _string_blob), 0, ("blob",)).unionByName(streamed(_packed(of_words, "word", _word_blob), 1, ("blob",)))
     stream = stream.unionByName(streamed(dealt.withColumnRenamed("chunk", "at"), 2, ("id", "text", "learn")))
 
-    def scored(part, grams, log10, words, counts, end):
+    def scored(part, grams, log10, words, end):
         data, offsets = flat(strings(part.column("text")))
         codes, at = _grams(data, offsets, depth)
         order = np.argsort(codes)
@@ -372,8 +395,7 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
         data = LOWER[data]
         starts, ends, begin = word_spans(data, offsets)
         tokens = token_array(data, starts, ends).dictionary_encode()
-        c = counts[pc.index_in(tokens.dictionary.cast(pa.binary()), words).to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0)
-        of_token = c[tokens.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0)
+        of_token = words.of(tokens.dictionary)[tokens.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0)
         many = np.diff(begin)
         sums, seen, full = np.zeros(len(many)), np.zeros(len(many), dtype=np.int64), many > 0
         if full.any():
@@ -386,22 +408,19 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
 
     def run(batches):
         now, known = None, None
-        for (chunk, place), rows in _chunk_runs(batches, "at", "place"):
+        for (chunk, place), rows in runs_of_keys(batches, "at", "place"):
             if chunk != now:
-                now, blobs, texts, totals, known = chunk, [], [], [], None
-            if place == 0:
-                blobs += [_unpacked(b) for b in rows.column("blob").to_pylist()]
-            elif place == 1:  # a copy, so that no batch is held for one of its columns
-                texts.append(pa.concat_arrays([rows.column("word")]))
-                totals.append(rows.column("value").to_numpy().copy())
+                now, held, known = chunk, ([], []), None
+            if place < 2:
+                held[place].extend((_words_in if place else _strings_in)(b) for b in rows.column("blob").to_pylist())
             else:
                 if known is None:
-                    grams, log10 = (np.concatenate(x) for x in zip(*blobs))
-                    blobs = []
+                    grams, log10 = (np.concatenate(x) for x in zip(*held[0]))
                     order = np.argsort(grams)
-                    words, counts = pa.concat_arrays(texts), np.concatenate(totals)
-                    known = grams[order], log10[order], words, counts, counts[pc.index(words, pa.scalar(b"", pa.binary())).as_py()]
-                    grams = log10 = order = None
+                    words, counts = zip(*held[1])
+                    words = _Words(pa.concat_arrays(words), np.concatenate(counts))
+                    known = grams[order], log10[order], words, words.of(pa.array([b""], pa.large_binary()))[0]
+                    held, grams, log10, order = ([], []), None, None, None
                 for part in pieces(rows, PIECE):
                     yield scored(part, *known)
 

@@ -53,3 +53,16 @@ def _starts(table: pa.Table) -> np.ndarray:
         x = table.column(key).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def runs_of_keys(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Slices of sorted batches in which the given integer columns do not change, with their values."""
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[:1] = True
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            yield tuple(int(x[a]) for x in columns), batch.slice(a, b - a)

@@ -49,6 +49,22 @@ def test_recall(spark, shard_rows):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.9
 
 
+def test_recall_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 32))
+    rows = [(i, (centres[i % 20] + rng.normal(size=32)).tolist()) for i in range(5000)]
+    got, want = found(spark, rows, shard_rows=200), exact(rows, 50, 5)  # 25 shards
+    assert got.keys() == want.keys()
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
+def test_repeated_ids_and_parallel_vectors(spark):
+    """An id with two vectors counts as one row of each; vectors in one direction tie, and scores are the cosines of the vectors as they are."""
+    rows = [(0, [1.0, 2.0, 3.0]), (7, [2.0, 4.0, 6.0]), (3, [4.0, 8.0, 12.0]), (5, [0.5, 1.0, 1.5]), (9, [3.0, 1.0, 0.0]), (9, [1.0, 2.0, 3.5]), (4, [1e200, 2e200, 3e200]), (6, [-1.0, 0.0, 0.0])]
+    got = found(spark, rows, every=50)
+    assert got == {0: [(-1.0, 3), (-1.0, 4), (-1.0, 5), (-1.0, 7), *exact(rows[:1] + [rows[5]], 50, 1)[0]]}
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
@@ -57,3 +73,14 @@ def test_query(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = {q: {j for _, j in near} for q, near in exact(rows, 50, 5).items()}
     assert got.keys() == want.keys() and sum(len(got[q] & want[q]) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_graph_of_vectors_that_all_but_coincide():
+    """Every node can be reached, whichever ones pruning leaves without a link."""
+    rng = np.random.default_rng(6)
+    x = np.ones((300, 8)) + np.where(np.arange(300)[:, None] % 3 == 0, rng.normal(size=(300, 8)), rng.normal(size=(300, 8)) * 1e-8)
+    graph = vamana.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    reached, front = set(graph.entries.tolist()), list(graph.entries)
+    while front:
+        front = [int(n) for f in front for n in graph.links[f] if n >= 0 and n not in reached and not reached.add(int(n))]
+    assert len(reached) == 300

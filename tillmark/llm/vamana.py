@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillmark.llm.grouped import runs_of_keys
+from tillmark.llm.store import keep
+from tillmark.llm.texts import ragged
+
 
 class Graph:
     """A graph over unit vectors; nearness is the inner product, distance its complement to 1."""
@@ -25,6 +29,7 @@ class Graph:
         self.start = int(np.argmax(self.x @ centre)) if self.n else 0
         order = np.random.default_rng(seed).permutation(self.n)
         joined = np.array([self.start], dtype=np.int32)
+        self.entries = joined
         size = 16  # batches grow with the graph, so that members of a batch, who don't see one another, are few
         order = order[order != self.start]
         at = 0
@@ -37,6 +42,27 @@ class Graph:
             self._set(nodes, np.concatenate([found, own], axis=1))
             self._reverse(nodes)
             joined = np.append(joined, nodes)
+            self.entries = self._entries(joined)
+
+    def _entries(self, nodes: np.ndarray) -> np.ndarray:
+        """The start, and as many more nodes as it takes that all given ones can be reached.
+
+        Where many vectors all but coincide, pruning may leave one without a link to it, and this one may be the start.
+        """
+        waiting = np.zeros(self.n, dtype=bool)
+        waiting[nodes] = True
+        entries, front = [self.start], np.array([self.start])
+        while True:
+            while len(front):
+                waiting[front] = False
+                front = self.links[front].ravel()
+                front = np.unique(front[front >= 0])
+                front = front[waiting[front]]
+            left = np.flatnonzero(waiting)
+            if not len(left):
+                return np.array(entries, dtype=np.int32)
+            entries.append(int(left[0]))
+            front = left[:1]
 
     def _among(self, nodes: np.ndarray, near: int = 8) -> np.ndarray:
         """The nearest of a batch to each of its members, which the graph doesn't hold yet."""
@@ -103,15 +129,18 @@ class Graph:
         return out
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search from the medoid for all queries in lockstep: nodes found (-1: none) and their nearness, nearest first."""
+        """Beam search from the entries for all queries in lockstep: nodes found (-1: none) and their nearness, nearest first."""
         m = len(queries)
         queries = np.asarray(queries, dtype=np.float32)
         ids = np.full((m, beam), -1, dtype=np.int32)
         near = np.full((m, beam), -np.inf, dtype=np.float32)
         open_ = np.zeros((m, beam), dtype=bool)
-        ids[:, 0], near[:, 0], open_[:, 0] = self.start, queries @ self.x[self.start], True
+        begin = queries @ self.x[self.entries].T
+        first = np.argsort(-begin, axis=1, kind="stable")[:, :beam]
+        few = first.shape[1]
+        ids[:, :few], near[:, :few], open_[:, :few] = self.entries[first], np.take_along_axis(begin, first, 1), True
         seen = np.zeros((m, self.n), dtype=bool)
-        seen[:, self.start] = True
+        seen[np.arange(m)[:, None], ids[:, :few]] = True
         active = np.arange(m)
         wide = 4  # nodes opened at a time
         while len(active):
@@ -156,9 +185,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares of very large or small numbers stay finite
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors times a power of two each, which leaves every digit and keeps squares finite, and their lengths."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    x = np.ldexp(x, -power[:, None])
+    return x, np.sqrt(np.einsum("nd,nd->n", x, x))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id", vector: str = "embedding", shard_rows: int = 5000, degree: int = 32, beam: int = 48, search_beam: int = 64) -> DataFrame:
@@ -168,51 +199,68 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id",
     id. Vectors that are null, zero, empty or hold null or non-finite components take no part, as query or candidate. Vectors of different
     length are never near each other. Rows of the same vector enter the graph once: only the ``k`` + 1 smallest ids of a
     vector can be among the answers, so they stand for all, and nothing else is left out. A repeated id counts as
-    one row of each of its vectors. Shards hold about ``shard_rows`` vectors, so their number grows with the table and a graph's memory does not. Every shard's
-    task holds all queries of its vector length at once, though: 8 bytes a component for each ``every``-th row, which grows with the table.
+    one row of each of its vectors. Shards hold about ``shard_rows`` vectors, so their number grows with the table and a graph's memory does not. A
+    shard's queries follow its vectors to the task in batches and are answered batch by batch, so their number does not matter to its memory.
     """
     rows = valid_vectors(vectors, id, vector).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).withColumn("width", F.size("v"))
     smallest = Window.partitionBy("v").orderBy("id")
     copies = rows.distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
-    distinct = copies.groupBy("v", "width").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
+    distinct = keep(copies.groupBy("v", "width").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")  # k + 1 ids at most
     total = distinct.groupBy("width").count().withColumn("shards", F.ceil(F.col("count") / F.lit(shard_rows)).cast("int"))
-    placed = distinct.join(F.broadcast(total.select("width", "shards")), "width")  # a row for each vector length
-    nodes = placed.select("width", F.pmod(F.hash(F.element_at("ids", 1), F.lit(11)), "shards").alias("shard"), "v", "ids")
-    asked = rows.where(F.col("id") % every == 0).distinct().join(F.broadcast(total.select("width", "shards")), "width")
-    asked = asked.select((F.col("width") + 0).alias("width"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("id").alias("id"), F.col("v").alias("v"))
-
-    def run(key, shard, queries):
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-        if not shard.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        x, q = _matrix(shard.column("v")), _matrix(queries.column("v"))
-        unit = _unit(x)
-        graph = Graph(unit, degree, beam)
-        ids = shard.column("ids").combine_chunks()
+    tasks = 2 * (total.agg(F.sum("shards")).first()[0] or 1)  # so that few tasks get more than one shard
+    total = F.broadcast(total.select("width", "shards"))  # a row for each vector length
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    nodes = distinct.join(total, "width").select("width", F.pmod(F.hash(F.element_at("ids", 1), F.lit(11)), "shards").alias("shard"), F.lit(0).alias("place"), none("long", "id"), "ids", "v")
+    asked = rows.where(F.col("id") % every == 0).distinct().join(total, "width")
+    asked = asked.select("width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("place"), "id", none("array<long>", "ids"), "v")
+
+    def answers(block, asked_ids, graph, at_node, of_node, x, size, ids):
+        """Query, id and score of the ``k`` nearest found in the shard for each query of the block.
+
+        Nodes of the graph are directions: ``at_node`` and ``of_node`` give the vectors of each.
+        """
+        q, length = _scaled(block)
+        found, _ = graph.search(q / length[:, None], max(search_beam, 2 * k))
+        found = found[:, : 4 * k]
+        row, col = np.nonzero(found >= 0)
+        node = found[row, col]
+        many = np.diff(at_node)[node]
+        row, node = np.repeat(row, many), of_node[ragged(at_node[node], many)]
+        score = np.einsum("nd,nd->n", q[row], x[node]) / (length[row] * size[node])
+        # all copies of the nodes found; the best k of the shard for each query
         first, members = ids.offsets.to_numpy(), ids.values.to_numpy()
-        asked_ids = queries.column("id").to_numpy()
-        out = []
-        for lo in range(0, len(q), 512):
-            block = _unit(q[lo : lo + 512])
-            found, _ = graph.search(block, max(search_beam, 2 * k))
-            found = found[:, : 4 * k]
-            row, col = np.nonzero(found >= 0)
-            node = found[row, col]
-            score = np.einsum("nd,nd->n", block[row], unit[node])
-            # all copies of the nodes found; the best k of the shard for each query
-            size = np.diff(first)[node]
-            at = np.repeat(first[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            row, score, other = np.repeat(row, size), np.repeat(score, size), members[at]
-            keep = asked_ids[lo + row] != other
-            row, score, other = row[keep], score[keep], other[keep]
-            order = np.lexsort((other, -score, row))
-            row, score, other = row[order], score[order], other[order]
-            begin = np.searchsorted(row, np.arange(len(block)))
-            best = np.arange(len(row)) - begin[row] < k
-            out.append(pa.table({"query_id": asked_ids[lo + row[best]], "id": other[best], "score": score[best]}, schema=schema))
-        return pa.concat_tables(out)
-
-    answers = nodes.groupBy("width", "shard").cogroup(asked.groupBy("width", "shard")).applyInArrow(run, "query_id long, id long, score double")
+        many = np.diff(first)[node]
+        row, score, other = np.repeat(row, many), np.repeat(score, many), members[ragged(first[node], many)]
+        apart = asked_ids[row] != other
+        row, score, other = row[apart], score[apart], other[apart]
+        order = np.lexsort((other, -score, row))
+        row, score, other = row[order], score[order], other[order]
+        best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(block)))[row] < k
+        return pa.RecordBatch.from_arrays([pa.array(asked_ids[row[best]]), pa.array(other[best]), pa.array(score[best])], ["query_id", "id", "score"])
+
+    def run(batches):
+        now, held, shard = None, [], None
+        for (*place, asks), part in runs_of_keys(batches, "width", "shard", "place"):
+            if place != now:
+                now, held, shard = place, [], None
+            if not asks:
+                held.append(part)
+                continue
+            if shard is None and held:
+                table = pa.Table.from_batches(held).combine_chunks()
+                x, size = _scaled(_matrix(table.column("v")))
+                unit = (x / size[:, None]).astype(np.float32)
+                unit, node = np.unique(unit, axis=0, return_inverse=True)  # vectors of one direction are one node
+                of_node = np.argsort(node.ravel(), kind="stable")
+                at_node = np.searchsorted(node.ravel()[of_node], np.arange(len(unit) + 1))
+                shard = Graph(unit, degree, beam), at_node, of_node, x, size, table.column("ids").combine_chunks()
+                held = []
+            for at in range(0, part.num_rows if shard else 0, 512):
+                some = part.slice(at, 512)
+                yield answers(_matrix(some.column("v")), some.column("id").to_numpy(), *shard)
+
+    both = nodes.unionByName(asked).repartition(tasks, "width", "shard").sortWithinPartitions("width", "shard", "place")
+    found = both.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = answers.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id), "score")

@@ -39,3 +39,9 @@ def test_copies_with_one_value_or_the_case_changed(spark):
     changed = TWICE.replace("again 12", "again 13")
     assert leaks_of(spark, [changed, TWICE.lower(), TWICE.upper()], [TWICE]) == {(0, 0), (1, 0), (2, 0)}
     assert leaks_of(spark, [f"so {ITEM.upper()}", ITEM.lower(), " ".join(ITEM.split()[:11])], [ITEM]) == {(0, 0), (1, 0)}
+
+
+def test_common_words_as_items_mark_nothing(spark):
+    """Items of one or two tokens leak only as a whole line."""
+    texts = ["Yes, he said. It is a fine day and yes again.", "Answer:\nYes\nend", "yes", "a b", "so 42 of\n42", "true north is\nTrue North\n", "is true north", "\n\nYES\n", "yes\nno"]
+    assert leaks_of(spark, texts, ["Yes", "a", "42", "True north"]) == {(1, 0), (2, 0), (4, 2), (5, 3), (7, 0), (8, 0)}

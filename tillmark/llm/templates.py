@@ -25,6 +25,8 @@ WINDOW = 8
 LEAK_TOKENS = 13
 #: Items of fewer canonical tokens, and windows with fewer plain words, are too common to tell a leak by their template; they count in their own words only.
 LEAST_TOKENS, LEAST_WORDS = 5, 3
+#: Items of fewer tokens than this are found only where they are a whole line: words like "yes" stand in most texts.
+INSIDE_TOKENS = 3
 BLOOM_BITS = 23
 
 #: Unit words that follow a number. Fixed values.
@@ -69,8 +71,8 @@ def _token_facts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return value, named, unit
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each form the kind and value of each token of all texts, and where each text's start.
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Of each form the kind and value of each token of all texts, and where each text's start; and which tokens of the literal form begin a line (one more entry).
 
     A capitalised word is a name, unless a sentence starts with it and the form has openers plain; names in a row are one. A unit is a
     unit word right after a number. The literal form has plain words only.
@@ -90,7 +92,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
     first = np.searchsorted(starts, offsets)
     m = len(starts)
     if not m:
-        return [(np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)] * 3
+        return [(np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)] * 3, np.ones(1, dtype=bool)
     words, index = coded(token_array(data, starts, ends))
     value, named, unit = (x[index] for x in _token_facts(words))
     stops = np.append(0, np.cumsum(_SENTENCE_END[data]))
@@ -108,11 +110,18 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
         keep_ = np.flatnonzero(~again)
         whole = np.add.reduceat(_mixed(value + np.where(again, np.uint64(1), np.uint64(0))), keep_)  # names in a row: the value of all
         made.append((what[keep_], whole, np.searchsorted(keep_, first)))
-    return [*made, (np.zeros(m, np.uint8), value, first)]
+    feeds = np.append(0, np.cumsum(data == 10))
+    line = np.ones(m + 1, dtype=bool)
+    line[1:-1] = feeds[starts[1:]] != feeds[ends[:-1]]
+    line[first] = True
+    return [*made, (np.zeros(m, np.uint8), value, first)], line
 
 
-def windows(form: int, what: np.ndarray, value: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start (token number) and hash of each window of ``length`` tokens that lies in one text and, but in the literal form, has enough plain words."""
+def windows(form: int, what: np.ndarray, value: np.ndarray, first: np.ndarray, length: int, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start (token number) and hash of each window of ``length`` tokens that lies in one text and, but in the literal form, has enough plain words.
+
+    Literal windows of few tokens have to be a whole line, or several.
+    """
     n = len(what)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -126,6 +135,8 @@ def windows(form: int, what: np.ndarray, value: np.ndarray, first: np.ndarray, l
     if form != LITERAL:
         plain = np.append(0, np.cumsum(what == WORD))
         ok &= plain[length:] - plain[:count] >= LEAST_WORDS
+    elif length < INSIDE_TOKENS:
+        ok &= line[:count] & line[length:]
     at = np.flatnonzero(ok)
     return at, _mixed(h[at])
 
@@ -152,9 +163,10 @@ def _windows_of(rows: DataFrame, lengths_for, passes=None) -> DataFrame:
         test = passes() if passes else None
         for batch in batches:
             for part in pieces(batch):
-                for form, (what, value, first) in enumerate(canonical(*flat(strings(part.column("text"))))):
+                forms, line = canonical(*flat(strings(part.column("text"))))
+                for form, (what, value, first) in enumerate(forms):
                     for length, chosen in lengths_for(form, np.diff(first)).items():
-                        at, h = windows(form, what, value, first, length)
+                        at, h = windows(form, what, value, first, length, line)
                         text = np.searchsorted(first, at, side="right") - 1
                         made = np.bincount(text, minlength=len(first) - 1)
                         ok = chosen[text]
@@ -173,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     An item leaks when windows that make up about ``LEAK_TOKENS`` tokens of it (all, if it is shorter) occur in the document
     with consistent slots, or in a row in the item's own words, in whatever case. Windows are counted in the form that covers the item best.
     Null and empty texts match nothing. Items under ``LEAST_TOKENS`` canonical tokens, and those without windows of ``LEAST_WORDS``
-    plain words, are found in their own words only. Rows with one id count as one document
+    plain words, are found in their own words only, and items under ``INSIDE_TOKENS`` tokens only where they are a whole line of the document. Rows with one id count as one document
     or item; null ids are an id of their own. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession

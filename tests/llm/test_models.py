@@ -104,6 +104,14 @@ def test_context_tree_in_many_chunks(spark):
     assert one == many and len(one) == 209
 
 
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    words, counts = pa.array([b"a", b"b", b""], pa.large_binary()), np.array([3.0, 5.0, 7.0])
+    asked = pa.array([b"", b"b", b"a", b"b"], pa.large_binary())
+    assert ctw._Words(words, counts).of(asked).tolist() == [7, 5, 3, 5] and ctw._Words(words, counts).words is None
+    monkeypatch.setattr(ctw.xxhash, "xxh64_intdigest", lambda w: 1)
+    assert ctw._Words(words, counts).of(asked).tolist() == [7, 5, 3, 5]
+
+
 def test_context_tree_of_nothing(spark):
     assert ctw.score(empty(spark), F.lit(True)).collect() == []
     alone = ctw.score(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), F.lit(False)).first()
@@ -119,6 +127,55 @@ def test_context_tree_beats_words(spark):
 # --- languages
 
 
+def test_columns_named_like_results_give_way(spark):
+    from tillmark.llm import bpe
+
+    df = documents(spark).withColumns({c: F.lit("x") for c in ("quality_score", "n_chars", "ids", "decoded")})
+    assert quality.score(df, quality.train([]), ["doc_id", "quality_score"]).columns == ["doc_id", "quality_score"]
+    field = pages.train(pages.labelled_pages(["A sentence here."]))
+    assert pages.main_text(df, field, ["doc_id", "text", "n_chars"], html="text").columns == ["doc_id", "text", "n_chars"]
+    import public_tokenizers
+
+    made = bpe.encode(df, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "ids", "n_tokens"])
+    assert made.columns == ["doc_id", "n_tokens", "ids"] and made.count() == df.count()
+    assert bpe.decode(made.withColumn("decoded", F.lit("x")), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "decoded"]).columns == ["doc_id", "decoded"]
+
+
+def test_training_samples_take_repeated_rows_once(spark):
+    rows = [(1, "one text")] * 40 + [(1, "another text of the id")] + [(k, f"text {k}") for k in range(2, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 8)], "doc_id long, quality int")
+    got = [quality.training_rows(docs.repartition(n), labels, F.lit(True), most=5) for n in (2, 7)]
+    assert got[0] == got[1] and {t for t, y in got[0] if y} == {"one text", "another text of the id", "text 3", "text 5", "text 7"}
+    web = spark.createDataFrame([("u", "<p>Same sentence here.</p>")] * 30 + [(f"v{k}", f"<p>Sentence {k} here.</p>") for k in range(3)] + [("n", None)], "url string, html string")
+    assert sorted(pages.training_sentences(web, rows=10)) == ["Same sentence here.", "Sentence 0 here.", "Sentence 1 here.", "Sentence 2 here."]
+    assert len(pages.training_sentences(web, rows=2)) == 2 and len(pages.training_sentences(web.where("false"))) == 3
+
+
+def test_ftrl_step_by_a_plain_loop():
+    """Weights after some examples against the update rule, feature by feature."""
+    leader = quality.Ftrl(4)
+    z, n, zb, nb = [0.0] * 16, [0.0] * 16, 0.0, 0.0
+    w = lambda z, n: -z / ((leader.beta + math.sqrt(n)) / leader.alpha + leader.l2) if abs(z) > leader.l1 else 0.0
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        ids, label = rng.integers(0, 16, 6), int(rng.integers(0, 2))
+        used, counts = np.unique(ids, return_counts=True)
+        x = counts * (quality.SCALE / counts.sum())
+        weights, bias = [w(z[i], n[i]) for i in used], w(zb, nb)
+        p = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(weights, x)) + bias)))
+        leader.learn(ids.astype(np.int64), label)
+        for i, wi, xi in zip(used, weights, x):
+            g = (p - label) * xi
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / leader.alpha * wi
+            n[i] += g * g
+        g = p - label
+        zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / leader.alpha * bias
+        nb += g * g
+    model, bias = leader.model()
+    assert model == pytest.approx([w(a, b) for a, b in zip(z, n)], rel=1e-5, abs=1e-7) and bias == pytest.approx(w(zb, nb), rel=1e-5)
+
+
 def test_forward_backward():
     """Marginals against the sum over all labellings."""
     rng = np.random.default_rng(1)

@@ -151,8 +151,10 @@ def encode(docs: DataFrame, vocabulary: str, columns: list[str], text: str = "te
     task would need as much memory again).
 
     ``vocabulary`` is the path of the vocabulary file as the driver sees it; the tasks get its content. Special strings
-    inside texts become their special token, no token is added. A null or empty text has no tokens.
+    inside texts become their special token, no token is added. A null or empty text has no tokens. One row per row, repeated rows included; an
+    empty table gives none. A given column named like a result gives way to it.
     """
+    columns = [c for c in columns if c not in ("n_tokens", "ids", "decoded")]
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     kinds = ", ".join(f"k{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(columns))
 
@@ -173,7 +175,11 @@ def encode(docs: DataFrame, vocabulary: str, columns: list[str], text: str = "te
 
 
 def decode(tokens: DataFrame, vocabulary: str, columns: list[str], ids: str = "ids") -> DataFrame:
-    """The given columns and decoded: the text of each row's ids (null for null), specials written out."""
+    """The given columns and decoded: the text of each row's ids (null for null), specials written out.
+
+    One row per row; an empty table gives none. A given column named like the result gives way to it.
+    """
+    columns = [c for c in columns if c != "decoded"]
     content = tokens.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     kinds = ", ".join(f"k{n} {tokens.schema[c].dataType.simpleString()}" for n, c in enumerate(columns))
 

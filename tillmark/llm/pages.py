@@ -344,18 +344,32 @@ def _labelled(page: list[tuple[str, str]]) -> tuple[list[set[str]], list[int]]:
 
 
 def training_sentences(pages: DataFrame, html: str = "html", rows: int = 200, order: str = "url") -> list[str]:
-    """Sentences from a bounded sample: the blocks of ``rows`` pages, those first in the order of a hash of ``order``."""
-    sample = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(order), F.xxhash64(html)).select(F.col(html).alias("h")).limit(rows).collect()
-    texts = [t for row in sample for t, _, _ in leaf_blocks(row["h"])]
-    found = [s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if 0 < len(s.strip()) < 400]
-    return found[:5000] or ["A sentence of some words, said here.", "Another one follows it.", "And a third, with more to say, ends the row."]
+    """Sentences from a bounded sample: the blocks of ``rows`` different pages, those first in the order of a hash of ``order``.
+
+    The hashes are chosen first, so that whole pages leave their tasks only if they are in the sample, and repeated rows only once.
+    """
+    hashed = pages.where(F.col(html).isNotNull()).select(F.xxhash64(order).alias("a"), F.xxhash64(html).alias("b"), F.col(html).alias("h"))
+    chosen = {tuple(r) for r in hashed.select("a", "b").distinct().orderBy("a", "b").limit(rows).collect()}
+    if not chosen:
+        return list(_SENTENCES)
+    found = hashed.where(F.col("b").isin(sorted({b for _, b in chosen}))).dropDuplicates(["a", "b"]).collect()
+    sample = sorted((r["a"], r["b"], r["h"]) for r in found if (r["a"], r["b"]) in chosen)
+    texts = [t for _, _, page in sample for t, _, _ in leaf_blocks(page)]
+    sentences = [s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if 0 < len(s.strip()) < 400]
+    return sentences[:5000] or list(_SENTENCES)
+
+
+#: What training pages are filled with when the table has no sentence.
+_SENTENCES = ("A sentence of some words, said here.", "Another one follows it.", "And a third, with more to say, ends the row.")
 
 
 def main_text(pages: DataFrame, field: Field, columns: list[str], html: str = "html") -> DataFrame:
     """The given columns, text (blocks labelled main, in page order, with one space between) and n_chars (its code points).
 
-    A null or empty page, and one without a main block, has an empty text. Whole pages are read, whatever their length.
+    A null or empty page, and one without a main block, has an empty text. Whole pages are read, whatever their length. One row per row,
+    repeated rows included; an empty table gives none. A given column named like a result gives way to it.
     """
+    columns = [c for c in columns if c not in ("text", "n_chars")]
     model = pages.sparkSession.sparkContext.broadcast((list(field.number), field.weights, field.moves, field.begin))  # a few hundred weights
     kinds = "".join(f"k{n} {pages.schema[c].dataType.simpleString()}, " for n, c in enumerate(columns))
 

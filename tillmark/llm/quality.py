@@ -117,13 +117,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, most: int,
     several labels of one id the smallest counts.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(F.col(label).cast("int")).alias("label"))
-    known = docs.where(learn & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(id).alias("order"))
+    known = docs.where(learn & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(id).alias("order"), F.xxhash64(text).alias("hash"))
     chosen = []
     for value in (0, 1):
-        # ids first, so that texts of the chosen rows only are moved
-        ids = marks.where(F.col("label") == value).join(known.select("id", "order"), "id").orderBy("order", "id").limit(most).select("id").distinct()
-        rows = known.join(F.broadcast(ids), "id").select("order", "id", "text").limit(2 * most)  # at most ``most`` ids
-        chosen.append([(r["text"], value) for r in sorted(rows.collect(), key=lambda r: (r["order"], r["id"], r["text"]))[:most]])
+        # hashes first, so that texts of the chosen rows only are moved, and repeated rows once
+        keys = marks.where(F.col("label") == value).join(known.select("id", "order", "hash"), "id").select("order", "id", "hash").distinct().orderBy("order", "id", "hash").limit(most)
+        rows = known.join(F.broadcast(keys.select("id", "hash")), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("order", "id", "text")  # ``most`` keys
+        chosen.append([(r["text"], value) for r in sorted(rows.collect(), key=lambda r: (r["order"], r["id"], r["text"]))])
     longest = max(map(len, chosen))
     both = [[rows[k % len(rows)] for k in range(longest)] if rows else [] for rows in chosen]  # labels in equal parts
     return [row for pair in zip(*both) for row in pair] if all(both) else chosen[0] + chosen[1]
@@ -141,7 +141,12 @@ def train(rows: list[tuple[str, int]], bits: int = 20, rounds: int = 3) -> tuple
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], text: str = "text") -> DataFrame:
-    """The given columns and quality_score (0 to 1) of each row's whole text, by a sparse dot product. A null or empty text has the score of the bias."""
+    """The given columns and quality_score (0 to 1) of each row's whole text, by a sparse dot product.
+
+    A null or empty text has the score of the bias. One row per row, repeated rows included; an empty table gives none. A given column named
+    like the result gives way to it.
+    """
+    columns = [c for c in columns if c != "quality_score"]
     weights, bias = model
     bits = int(len(weights)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())  # 4 bytes for each of 2 ** bits weights, whatever the input

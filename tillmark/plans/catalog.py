@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillmark.operators.metrics import share_of
-from tillmark.plans import core, growth, learned, outreach, people, prices, ranging  # noqa: F401
+from tillmark.plans import core, growth, learned, outreach, people, prices, ranging, upkeep  # noqa: F401
 from tillmark.plans.registry import ORACLES, QUERIES
 
 # Columns that Spark gives as 32-bit integers where the SQL gives 64-bit ones.

@@ -144,6 +144,48 @@ def new_sku_contribution(
     return out.withColumn("contri", blended).drop(*[f"__{m}" for m in weights])
 
 
+def sku_facts(
+    weekly: DataFrame,
+    sku: str,
+    week: str,
+    weights: Mapping[str, float],
+    by: Sequence[str] = (),
+    max_week: int = 52,
+    months: int = 3,
+    new_months: int = 6,
+    min_weeks: int = 26,
+    within: int = 32,
+) -> DataFrame:
+    """Everything the recommendation looks at that a SKU's own weeks tell, in one pass over the weekly sums.
+
+    Life cycle, mean growth, sums of the analysis weeks and their number, the new-SKU flag, and for look-alikes (see :func:`lookalike_base`) the mean growth of
+    their first ``min_weeks`` weeks. ``weekly`` has one row per SKU and week, so a window holds a SKU's year. Sums read ``recent_x`` (analysis weeks) and
+    ``all_x`` for each metric x.
+    """
+    keys = [*by, sku]
+    own = Window.partitionBy(*keys)
+    ordered = own.orderBy(week)
+    step = sum((safe_div(F.col(m) - F.lag(m).over(ordered), F.lag(m).over(ordered), 0) * F.lit(w) for m, w in weights.items()), F.lit(0.0))
+    rows = weekly.select(*keys, week, *weights, step.alias("__g"), F.row_number().over(ordered).alias("__n"), F.min(week).over(own).alias("__first"))
+    recent = analysis_weeks(week, max_week, months)
+    facts = rows.groupBy(*keys).agg(
+        F.max("__first").alias("first_week"),
+        F.max(week).alias("last_selling_week"),
+        F.count(F.lit(1)).alias("weeks"),
+        F.avg(F.when(F.col("__n") > 1, F.col("__g"))).alias("avg_growth"),
+        F.avg(F.when((F.col("__n") > 1) & (F.col("__n") <= min_weeks), F.col("__g"))).alias("__early"),
+        F.sum(F.when(F.col(week) < F.col("__first") + within, 1).otherwise(0)).alias("__within"),
+        F.sum(F.when(recent, 1).otherwise(0)).alias("recent_weeks"),
+        *[F.sum(F.when(recent, F.col(m))).alias(f"recent_{m}") for m in weights],
+        *[F.sum(m).alias(f"all_{m}") for m in weights],
+    )
+    since = F.lit(max_week) - F.col("last_selling_week")
+    life = F.when(since <= 1, F.lit(SELLING)).when(since <= max_week - 44, F.lit(LOW_SUPPLY)).otherwise(F.lit(NO_SALES))
+    is_new = new_sku_flag_by_week("first_week", max_week, new_months)
+    alike = (F.col("__within") >= min_weeks) & (F.col("last_selling_week") >= max_week - 1) & (is_new == 0)
+    return facts.withColumns({"life": life, "is_new": is_new, "alike_growth": F.when(alike, F.col("__early"))}).drop("__early", "__within")
+
+
 def recommend(
     skus: DataFrame,
     by: Sequence[str] = (),

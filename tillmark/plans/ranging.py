@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillmark.functions import dates
 from tillmark.functions.exprs import safe_div
-from tillmark.operators import assortment, delisting, joins, measurement, metrics
+from tillmark.operators import assortment, delisting, joins, measurement, metrics, ordered
 from tillmark.plans import star
 from tillmark.plans.growth import BRAND_WEEK, brand_weeks
 from tillmark.plans.registry import query
@@ -89,24 +90,37 @@ def tiers_of(wk, life):
 
 
 def sku_frame(spark, d):
-    """One row per SKU with everything the recommendation rules look at; a department without look-alikes has growth 0 for them."""
-    wk = stage(weekly(spark, d))
-    life = life_of(wk)
-    growth = assortment.sku_growth(wk, KEYS, "week", HALF)
-    region = year_sales(spark, d).join(star.stores(spark, d), "store_id").select(*KEYS, "region").distinct()
-    pen = metrics.store_penetration(region, "product_id", "region", ["department"])
-    out = tiers_of(wk, life)
-    out = joins.join_keys(out, life.select(*KEYS, "life", "first_week"), KEYS)
-    out = joins.join_keys(out, growth.select(*KEYS, F.round("avg_growth", 9).alias("avg_growth")), KEYS)
+    """One row per SKU with everything the recommendation rules look at; a department without look-alikes has growth 0 for them.
+
+    The facts are read once, into sums per SKU, week and region; a SKU's weeks are gone through once.
+    """
+    week = dates.week_index("business_day", "2000-01-01").alias("week")
+    lines = star.sales(spark, d).filter(dates.in_period("business_day", "2000-01-01", "2000-12-29"))
+    cells = stage(lines.groupBy(*KEYS, week, "region").agg(F.sum("amount").alias("sales"), F.sum("quantity").alias("quantity")))
+    wk = cells.groupBy(*KEYS, "week").agg(*[F.sum(m).alias(m) for m in HALF])
+    facts = stage(assortment.sku_facts(wk, "product_id", "week", HALF, ["department"]))
+
+    group = facts.groupBy("department").agg(*[F.sum(f"recent_{m}").alias(f"__{m}") for m in HALF], F.round(F.avg("alike_growth"), 9).alias("look"))
+    blend = sum((safe_div(f"recent_{m}", f"__{m}", 0) * F.lit(w) for m, w in HALF.items()), F.lit(0.0))
+    out = joins.join_keys(facts, group, ["department"]).withColumn("contri", blend)
+    # a SKU counts once for each analysis week it sold in
+    counted = out.filter("contri <> 0").groupBy("department", "contri").agg(F.sum("recent_weeks").alias("__n"))
+    cuts = ordered.percentiles_of_counts(counted, "contri", {"p50": 0.5, "p80": 0.8}, ["department"])
+    tier = F.when((F.col("contri") == 0) | (F.col("contri") <= F.col("p50")), "Low").when(F.col("contri") <= F.col("p80"), "Middle").otherwise("Top")
+    out = joins.join_keys(out, cuts, ["department"], "inner").withColumn("tier", tier)
+
+    # new SKUs against the sums of all new SKUs from their own first week on: few rows, one per department and week
+    fresh = wk.join(facts.filter("is_new = 1").select(*KEYS), KEYS, "left_semi").groupBy("department", "week").agg(*[F.sum(m).alias(m) for m in HALF])
+    onward = Window.partitionBy("department").orderBy(F.desc("week"))
+    since = fresh.select("department", F.col("week").alias("first_week"), *[F.sum(m).over(onward).alias(f"__new_{m}") for m in HALF])
+    out = joins.join_keys(out, since, ["department", "first_week"])
+    new = sum((safe_div(f"all_{m}", f"__new_{m}", 0) * F.lit(w) for m, w in HALF.items()), F.lit(0.0))
+
+    pen = metrics.store_penetration(cells.select(*KEYS, "region").distinct(), "product_id", "region", ["department"])
     out = joins.join_keys(out, pen.select(*KEYS, "pen_class"), KEYS)
-    new = assortment.new_sku_contribution(wk, "product_id", "week", HALF, life.filter(assortment.new_sku_flag_by_week() == 1), ["department"])
-    out = joins.join_keys(out, new.select(*KEYS, F.col("contri").alias("new_contri")), KEYS)
-    alike = assortment.sku_growth(assortment.lookalike_base(wk, KEYS, "week"), KEYS, "week", HALF)
-    look = alike.groupBy("department").agg(F.round(F.avg("avg_growth"), 9).alias("look"))
-    out = joins.join_keys(out, look, ["department"])
     return stage(out.select(
-        *KEYS, "tier", "life", "pen_class", F.coalesce("new_contri", "contri").alias("contri"), F.coalesce("avg_growth", F.lit(0.0)).alias("avg_growth"),
-        assortment.new_sku_flag_by_week().alias("is_new"), F.coalesce("look", F.lit(0.0)).alias("look"),
+        *KEYS, "tier", "life", "pen_class", F.when(F.col("is_new") == 1, new).otherwise(F.col("contri")).alias("contri"),
+        F.coalesce(F.round("avg_growth", 9), F.lit(0.0)).alias("avg_growth"), "is_new", F.coalesce("look", F.lit(0.0)).alias("look"),
     ))
 
 

@@ -62,6 +62,52 @@ def test_against_brute_force(spark):
     assert got == classes([(r[0], plain(r[1])) for r in rows])
 
 
+def test_the_tally_decides():
+    """Pairs reach the bits only with six shared positional bytes, wherever the others are."""
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    b = a.copy()
+    for k in range(400):
+        for p in rng.permutation(8)[: k % 5]:
+            b[k] ^= np.uint64(1 << int(8 * p + rng.integers(0, 8)))
+    assert simhash.shared_bytes(a, b).tolist() == [8 - k % 5 for k in range(400)]
+    assert sorted(simhash._near(a, b).tolist()) == [k for k in range(400) if k % 5 <= 2]
+    asked = []
+    simhash_bits = simhash._BITS
+    try:
+        simhash._BITS = type("Counted", (), {"__getitem__": lambda _, x: asked.append(len(x)) or simhash_bits[x]})()
+        simhash._near(a, b)
+    finally:
+        simhash._BITS = simhash_bits
+    assert asked == [240]  # of 400 pairs: the others were left out by the tally
+
+
+def test_every_family_keeps_pairs_that_differ_in_two_bytes():
+    for key, parts in simhash.FAMILIES.items():
+        open_ = [p for p in range(8) if not key >> p & 1]
+        for x in open_:
+            for y in open_:
+                assert any(not part >> x & 1 and not part >> y & 1 for part in parts)
+
+
+@pytest.mark.parametrize("bound", [2, 20, 256])
+def test_postings_are_bounded_and_lose_no_pair(spark, bound):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    made = {b ^ (rng.getrandbits(8) << 8 * rng.randrange(8)) ^ (rng.getrandbits(8) << 8 * rng.randrange(8)) for b in base for _ in range(120)}
+    signed = sorted(int(np.array(f, dtype=np.uint64).view(np.int64)) for f in made)
+    rows = simhash.postings(spark.createDataFrame([(f,) for f in signed], "fp long"), bound=bound).collect()
+    met, sizes = {}, {}
+    for r in rows:
+        met.setdefault((r["family"], r["key"]), []).append(r["fp"])
+    assert all(len(x) <= bound for (family, _), x in met.items() if family.bit_count() < 6)
+    together = {frozenset((x, y)) for group in met.values() for x in group for y in group if x != y}
+    fps = np.array(signed, dtype=np.int64).view(np.uint64)
+    for k, f in enumerate(fps):
+        for j in np.flatnonzero(simhash.shared_bytes(np.full(len(fps), f), fps) >= 6):
+            assert j == k or frozenset((signed[k], signed[j])) in together
+
+
 def test_words_of_fingerprints_near_each_other(spark):
     """Fingerprints made so that postings hold many: 400 within a ball, and far ones that share six bytes."""
     rng = random.Random(7)

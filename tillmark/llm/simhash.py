@@ -1,22 +1,20 @@
 """SimHash fingerprints of word shingles, and near-duplicate classes over an inverted index of byte positions.
 
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share
-six positional bytes at least: that is the guaranteed minimum of the count filter. A posting list of a single (position, byte) would
-hold a 256th of all fingerprints or more, and tallying its pairs grows with the square of the input. The index is therefore
-kept over the 28 ways to choose the six positions that are shared: fingerprints of one posting agree in its six bytes and have only two bytes free. The key so takes the
-place of the tally: any pair of a posting shares six bytes, the count filter leaves none out, and pairs are verified by their bits. A posting holds at most 65,536 different
-fingerprints whatever the input, equal fingerprints having been merged before, and only a
-spanning set of its links leaves it, so a large group of near copies costs its size and not its square.
+six positional bytes at least: that is the guaranteed minimum of the count filter. The index files a fingerprint under its bytes at three disjoint groups
+of positions, of which two differing bytes leave one whole, so that every such pair meets in a posting. A posting that holds more than
+``BOUND`` fingerprints is split by three disjoint groups of the positions that its key leaves open, again and again, until it is small or its key has six
+positions. Within a posting the shared positional bytes of each pair are tallied, pairs reaching six are retained, and these are verified
+by their bits. Postings of six positions have two bytes free and at most 65,536 fingerprints whatever the input; equal fingerprints have been merged before, and only a
+spanning set of its links leaves a posting, so a large group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm.components import components
@@ -26,8 +24,34 @@ from tillmark.llm.texts import strings
 SEED = 42
 MOST_BITS = 2
 SHARED_BYTES = 8 - MOST_BITS
-#: The two free positions of each posting family; the six others are its key.
-FREE = list(combinations(range(8), MOST_BITS))
+#: Fingerprints in a posting that is not split, at most.
+BOUND = 256
+
+
+def _parts(key: int) -> list[int]:
+    """Bit sets of positions: ``key`` with each of three disjoint groups of the open positions, of which two differing bytes leave one whole."""
+    open_ = [p for p in range(8) if not key >> p & 1]
+    size, rest = divmod(len(open_), MOST_BITS + 1)
+    groups, at = [], 0
+    for k in range(MOST_BITS + 1):
+        to = at + size + (k < rest)
+        groups.append(sum(1 << p for p in open_[at:to]))
+        at = to
+    return [key | g for g in groups]
+
+
+def _families() -> dict[int, list[int]]:
+    """For each set of key positions that splitting can lead to, the sets it is split into; sets of six and more are not split."""
+    out, todo = {}, [0]
+    while todo:
+        key = todo.pop()
+        if key not in out and key.bit_count() < SHARED_BYTES:
+            out[key] = _parts(key)
+            todo += out[key]
+    return out
+
+
+FAMILIES = _families()
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
@@ -65,11 +89,23 @@ _BITS = np.array([bin(x).count("1") for x in range(1 << 16)], dtype=np.uint8)
 _MASKS = np.array([x for x in range(1, 1 << 16) if _BITS[x] <= MOST_BITS], dtype=np.int64)
 
 
-def _free_bytes(family: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """The 16 bits that the posting's key leaves open."""
-    pairs = np.array(FREE, dtype=np.uint64)[family] * np.uint64(8)
+def _free_bytes(family: int, fp: np.ndarray) -> np.ndarray:
+    """The 16 bits that a key of six positions leaves open."""
+    one, other = (np.uint64(8 * p) for p in range(8) if not family >> p & 1)
     byte = np.uint64(255)
-    return ((fp >> pairs[:, 0]) & byte | ((fp >> pairs[:, 1]) & byte) << np.uint64(8)).astype(np.int64)
+    return ((fp >> one) & byte | ((fp >> other) & byte) << np.uint64(8)).astype(np.int64)
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally: at how many of the eight positions two fingerprints have the same byte."""
+    return ((a ^ b)[..., None].view(np.uint8) == 0).sum(axis=-1)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs the count filter retains and the bits confirm."""
+    retained = np.flatnonzero(shared_bytes(a, b) >= SHARED_BYTES)
+    apart = (a[retained] ^ b[retained])[:, None].view(np.uint16)
+    return retained[_BITS[apart].sum(axis=1) <= MOST_BITS]
 
 
 def _links(family: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +117,38 @@ def _links(family: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndar
     sizes = np.diff(np.append(starts, n))
     size_of, posting = np.repeat(sizes, sizes), np.cumsum(new)
     left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    few = 8
-    for step in range(1, few):
+    few = 16
+    for step in range(1, few):  # all pairs of all small postings at that distance
         at = np.flatnonzero((size_of[:-step] <= few) & (posting[:-step] == posting[step:])) if n > step else []
         if len(at):
-            apart = fp[at] ^ fp[at + step]
-            shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            bits = _BITS[apart.view(np.uint16).reshape(-1, 4)].sum(axis=1)
-            ok = at[(shared >= SHARED_BYTES) & (bits <= MOST_BITS)]
+            ok = at[_near(fp[at], fp[at + step])]
             left.append(fp[ok])
             right.append(fp[ok + step])
     for start, size in zip(starts[sizes > few], sizes[sizes > few]):
-        own = fp[start : start + size]
-        root = _roots(_free_bytes(family[start : start + size], own))
+        own, its = fp[start : start + size], int(family[start])
+        root = _roots(_free_bytes(its, own)) if its.bit_count() >= SHARED_BYTES else _connected(own)
         other = np.flatnonzero(root != np.arange(size))
         left.append(own[other])
         right.append(own[root[other]])
     return np.concatenate(left), np.concatenate(right)
 
 
+def _connected(own: np.ndarray) -> np.ndarray:
+    """For each fingerprint of a posting of up to ``BOUND`` the index of the first one reachable over retained and confirmed pairs."""
+    n = len(own)
+    one, other = np.triu_indices(n, 1)
+    ok = _near(own[one], own[other])
+    near = np.eye(n, dtype=bool)
+    near[one[ok], other[ok]] = near[other[ok], one[ok]] = True
+    root = np.arange(n)
+    while True:
+        new = np.where(near, root[None, :], n).min(axis=1)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _roots(free: np.ndarray) -> np.ndarray:
     """For different 16-bit values the index of the first one reachable over steps of at most two bits.
 
@@ -127,19 +176,44 @@ def _roots(free: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
+def _filed(rows: DataFrame, family: Column) -> DataFrame:
+    """family, key and fp under each of the sets of positions that ``family`` is split into; the key is the fingerprint's bytes there."""
+
+    def mask(positions: int) -> int:
+        value = sum(255 << 8 * p for p in range(8) if positions >> p & 1)
+        return value - (1 << 64) if value >> 63 else value
+
+    reached = sorted({x for parts in FAMILIES.values() for x in parts})
+    masks = F.create_map(*(F.lit(v) for x in reached for v in (x, mask(x))))
+    parts = F.create_map(*(v for x, to in FAMILIES.items() for v in (F.lit(x), F.array(*map(F.lit, to)))))
+    out = rows.select("fp", F.explode(parts[family]).alias("family"))
+    return out.select("family", F.col("fp").bitwiseAND(masks[F.col("family")].cast("long")).alias("key"), "fp")
+
+
+def postings(prints: DataFrame, fp: str = "fp", bound: int = BOUND) -> DataFrame:
+    """family, key and fp: the index, in which any two fingerprints that share six positional bytes have a posting (family, key) in common.
+
+    Postings over ``bound`` are split where they are, level by level; there are at most four levels, each a count of the level's postings and a join.
+    """
+    rows, done = _filed(prints.select(F.col(fp).alias("fp")), F.lit(0)), None
+    whole = F.col("family").isin([x for x in FAMILIES if x])  # can be split
+    while True:
+        rows = keep(rows, "postings")
+        large = keep(rows.where(whole).groupBy("family", "key").agg(F.count("*").alias("n")).where(F.col("n") > bound), "large")
+        if large.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        fine = rows.join(large, ["family", "key"], "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        rows = _filed(rows.join(large, ["family", "key"], "left_semi"), F.col("family"))
+
+
+def links(prints: DataFrame, fp: str = "fp", bound: int = BOUND) -> DataFrame:
     """Pairs (a, b) of different fingerprints that connect all fingerprints within two bits of one another.
 
     ``prints`` holds each fingerprint once. Not every pair within two bits is returned, but any two are connected by
     returned pairs within one posting.
     """
 
-    def postings():
-        for n, (i, j) in enumerate(FREE):
-            mask = ~(255 << 8 * i | 255 << 8 * j) & (1 << 64) - 1
-            mask -= (1 << 64) if mask >> 63 else 0
-            yield F.struct(F.lit(n).cast("byte").alias("family"), F.col(fp).bitwiseAND(F.lit(mask)).alias("key"))
-
     def run(batches):
         held = None
         for batch in batches:
@@ -160,7 +234,7 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
         a, b = _links(table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy(), table.column(2).to_numpy().view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    index = prints.select(fp, F.explode(F.array(*postings())).alias("p")).select("p.family", "p.key", fp)
+    index = postings(prints, fp, bound)
     return index.repartition("family", "key").sortWithinPartitions("family", "key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 

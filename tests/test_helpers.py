@@ -34,8 +34,8 @@ def test_distinct_counts(spark):
 
 def test_returns_by_type(spark):
     kept = "no return"
-    df = spark.createDataFrame([(t,) for t in [*metrics.RETURN_TYPE_IDS, kept]], "transaction_type_id string")
-    assert rows(metrics.not_returned(df)) == [(kept,)]
+    df = spark.createDataFrame([(t,) for t in [*metrics.RETURN_TYPE_IDS, kept, None]], "transaction_type_id string")
+    assert set(rows(metrics.not_returned(df))) == {(None,), (kept,)}
 
 
 def test_growth_tiers_leave_out_falls(spark):

@@ -23,8 +23,8 @@ def valid_sales(df: DataFrame, types: Sequence[str] = SALE_TYPES, decimals: int
 
 
 def not_returned(df: DataFrame) -> DataFrame:
-    """The rule for countries that only mark returns."""
-    return df.filter(~F.col("transaction_type_id").isin(*RETURN_TYPE_IDS))
+    """The rule for countries that only mark returns: a line without a type is a sale."""
+    return df.filter(~F.coalesce(F.col("transaction_type_id").isin(*RETURN_TYPE_IDS), F.lit(False)))
 
 
 def distinct_counts(df: DataFrame, by: Sequence[str], columns: Mapping[str, str | Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import dates
 from tillmark.functions.exprs import seeded_order
-from tillmark.operators import campaigns
+from tillmark.operators import campaigns, customers, joins, metrics, series
 from tillmark.plans import star
 from tillmark.plans.core import SQL_CY, SQL_PY, cy, py
 from tillmark.plans.registry import query
@@ -217,3 +217,48 @@ def _(spark, d):
     return tx.join(chosen.select("customer_id"), "customer_id", "left_semi").groupBy(dates.day_name("business_day").alias("day_name")).agg(
         F.countDistinct("transaction_id").alias("orders"), F.sum("amount").alias("sales")
     )
+
+
+@query("list_conversion", sql("""
+WITH l AS (SELECT 'balance' AS campaign, customer_id FROM cust WHERE balance > 5000 UNION SELECT 'household', customer_id FROM cust WHERE segment = 'HOUSEHOLD'),
+sp AS (SELECT customer_id, sum(amount) AS spend FROM tx GROUP BY 1),
+a AS (SELECT campaign, c.customer_id, segment, CAST(c.customer_id IN (SELECT user_id FROM events WHERE event_type = 'click') AS INTEGER) AS touched, CAST(coalesce(spend, 0) >= 5e7 AS INTEGER) AS hit
+  FROM l JOIN cust c USING (customer_id) LEFT JOIN sp USING (customer_id))
+SELECT campaign, 'segment' AS feature, segment AS level, count(*) AS n, round(avg(hit), 8) AS rate FROM a GROUP BY 1, 3 UNION ALL SELECT campaign, 'touched', CAST(touched AS VARCHAR), count(*), round(avg(hit), 8) FROM a GROUP BY 1, 3"""))
+def _(spark, d):
+    """Of two lists, the share of customers over a spend, by segment and by whether an earlier campaign reached them."""
+    people = star.customers(spark, d)
+    lists = campaigns.campaign_lists({"balance": people.filter("balance > 5000"), "household": people.filter("segment = 'HOUSEHOLD'")})
+    spend = star.transactions(spark, d).groupBy("customer_id").agg(F.sum("amount").alias("spend"))
+    clicked = star.table(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id").alias("customer_id")).distinct()
+    reached = campaigns.touched_before(joins.keep(people, lists, keys=["customer_id"]), clicked)
+    reached = joins.join_keys(reached, spend, ["customer_id"]).na.fill(0.0, subset=["spend"]).withColumn("hit", campaigns.threshold_met("spend", 5e7))
+    parts = [
+        customers.conversion_by_feature(reached.join(lists.filter(F.col("campaign") == name), "customer_id"), ["segment", "touched"], "hit").withColumn("campaign", F.lit(name))
+        for name in ("balance", "household")
+    ]
+    return parts[0].unionByName(parts[1]).select("campaign", "feature", "level", "n", F.round("rate", 8).alias("rate"))
+
+
+@query("never_bought", sql("SELECT customer_id, segment FROM cust WHERE customer_id NOT IN (SELECT customer_id FROM ps WHERE brand = 'Brand#1')"))
+def _(spark, d):
+    buyers = star.product_sales(spark, d).filter("brand = 'Brand#1'")
+    return customers.never_bought(star.customers(spark, d).select("customer_id", "segment"), buyers)
+
+
+@query("unreturned_lines", sql("SELECT year(business_day) AS year, count(*) AS lines, sum(amount) AS sales FROM all_tx WHERE transaction_type <> 'RETURN' GROUP BY 1"))
+def _(spark, d):
+    """Where only returns carry a type."""
+    lines = star.all_transactions(spark, d).withColumn("transaction_type_id", F.when(F.col("transaction_type") == "RETURN", F.lit(metrics.RETURN_TYPE_IDS[0])))
+    return metrics.not_returned(lines).groupBy(F.year("business_day").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("lines"), F.sum("amount").alias("sales"))
+
+
+@query("growth_tiers", sql(f"""
+WITH c AS (SELECT product_id, sum(amount) AS s FROM ps WHERE {SQL_CY} GROUP BY 1), p AS (SELECT product_id, sum(amount) AS s FROM ps WHERE {SQL_PY} GROUP BY 1),
+g AS (SELECT (c.s - p.s) / p.s AS g FROM c JOIN p USING (product_id)) SELECT round(quantile_cont(g, 0.33), 8) AS p33, round(quantile_cont(g, 0.66), 8) AS p66 FROM g WHERE g >= 0"""))
+def _(spark, d):
+    """Thirds of the SKUs that grew."""
+    df = star.product_sales(spark, d)
+    both = df.groupBy("product_id").agg(F.sum(F.when(cy(), F.col("amount"))).alias("c"), F.sum(F.when(py(), F.col("amount"))).alias("p")).dropna()
+    grown = both.select(((F.col("c") - F.col("p")) / F.col("p")).alias("g"))
+    return series.growth_tiers(grown, "g").select(F.round("p33", 8).alias("p33"), F.round("p66", 8).alias("p66"))

@@ -115,3 +115,18 @@ def test_trees_find_the_slope_of_each_key(spark, kind):
     assert np.mean(errors) < 0.25 and max(errors) < 0.8
     assert np.corrcoef([found[k]["elasticity"] for k in slopes], list(slopes.values()))[0, 1] > 0.95
     assert min(r["r2_test"] for r in got) > 0.5 and np.mean([r["r2_train"] for r in got]) > 0.9
+
+
+def test_possible_neighbours_hold_the_nearest_under_any_scaling():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        d = [rng.integers(0, 6, (12, 40)) * 0.2, rng.random((12, 40)) * 1.5, rng.integers(0, 4, (12, 40)) / 4]
+        d[1][rng.random((12, 40)) < 0.2] = np.nan
+        most = (3.0, 2.0, 1.0)
+        possible = elasticity._possible(d, most, 3)
+        for _ in range(20):
+            ranges = [rng.uniform(np.nanmax(x) - np.nanmin(x), m) for x, m in zip(d, most)]
+            mean = np.round(np.nanmean(np.stack([(x - np.nanmin(x)) / r for x, r in zip(d, ranges)]), axis=0), 9)
+            order = np.argsort(mean, axis=1, kind="stable")[:, :3]
+            assert np.take_along_axis(possible, order, 1).all()
+        assert possible.mean() < 0.6

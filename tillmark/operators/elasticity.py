@@ -270,87 +270,108 @@ def impute_elasticity(
     and averaged; the nearest SKU gives one estimate and the mean of the nearest three the other.
 
     Both sides are cut into blocks, and every block of one meets every block of the other in a task of
-    its own. Distances stay inside the task: the first pass returns their extremes, the second the
-    nearest few per SKU. No pair is written or shuffled, and a large group is spread over many tasks.
+    its own, once. How the distances will be scaled is not known before all have been seen, but it lies between bounds: the range of a distance over
+    the group is at least that over the block and at most what its definition allows. A task hands on the extremes of its block, and for each SKU
+    the few references that are not certain to stand behind three others, whatever the scaling; scaling and the last choice follow as column expressions.
+    No other pair is written or shuffled, and a large group is spread over many tasks.
     """
     cols = [*by, sku, "content_ordinal", "price_ordinal", "series", "attributes"]
     coded = F.transform("attributes", lambda x: F.xxhash64(x))  # whole numbers compare faster than text
     flags = [F.col(flag).alias("acceptable"), F.col(value).alias("elasticity"), F.col(share).cast("double").alias("__in_share")]
     base = stage(skus.select(*cols, *flags).withColumn("attributes", coded))
+    spread = lambda c: F.max(c) - F.min(c)
     sizes = base.groupBy(*by).agg(
         F.ceil(F.sum(F.col("acceptable")) / block).cast("int").alias("__nm"),
         F.ceil(F.sum(1 - F.col("acceptable")) / block).cast("int").alias("__nu"),
         F.avg("__in_share").alias("__share"),
+        (0.2 * spread("content_ordinal") + 0.8 * spread("price_ordinal")).cast("double").alias("__range"),
     )
     sized = join_keys(base.drop("__in_share"), sizes, by).filter((F.col("__nm") > 0) & (F.col("__nu") > 0))
-    numbered = lambda n: F.pmod(F.xxhash64(sku), F.col(n)).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    numbered = lambda n: F.pmod(F.xxhash64(sku), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.filter("acceptable = 0").withColumn("__ub", numbered("__nu")).withColumn("__mb", others("__nm"))
     right = sized.filter("acceptable = 1").withColumn("__mb", numbered("__nm")).withColumn("__ub", others("__nu"))
-    left, right = left.drop("__nm", "__nu", "elasticity"), right.drop("__nm", "__nu", "__share")
+    left, right = left.drop("__nm", "__nu", "elasticity"), right.drop("__nm", "__nu", "__share", "__range")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides stem from one scan
     keys = [*by, "__ub", "__mb"]
-    group_fields = [base.schema[c] for c in by]
     parts = ("ordinal", "correlation", "attribute")
-
-    ends_schema = T.StructType(
-        group_fields + [T.StructField(f"{e}_{p}", T.DoubleType()) for p in parts for e in ("lo", "hi")]
-    )
-
-    def extremes(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=ends_schema.names)
-        row = [a[c].iloc[0] for c in by]
-        for d in _distances(a, b):
-            known = d[~np.isnan(d)]
-            row += [known.min(), known.max()] if known.size else [None, None]
-        return pd.DataFrame([row], columns=ends_schema.names)
-
-    ends = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(extremes, ends_schema)
-    limits = ends.groupBy(*by).agg(
-        *[F.min(f"lo_{p}").alias(f"lo_{p}") for p in parts], *[F.max(f"hi_{p}").alias(f"hi_{p}") for p in parts]
-    )
-    left = join_keys(left, stage(limits), by)
-
-    best_schema = T.StructType(
-        group_fields
-        + [base.schema[sku], T.StructField("distance", T.DoubleType()), T.StructField("reference", base.schema[sku].dataType)]
-        + [T.StructField("elasticity", T.DoubleType()), T.StructField("modelled_share", T.DoubleType())]
+    ends = [f"{end}_{part}" for part in parts for end in ("lo", "hi")]
+    numbers = [*parts, *ends, "elasticity", "modelled_share"]
+    schema = T.StructType(
+        [base.schema[c] for c in by]
+        + [T.StructField(sku, base.schema[sku].dataType), T.StructField("reference", base.schema[sku].dataType)]
+        + [T.StructField(c, T.DoubleType()) for c in numbers]
     )
 
-    def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame(columns=best_schema.names)
-        scaled = []
-        for d, p in zip(_distances(a, b), parts):
-            lo, hi = a[f"lo_{p}"].iloc[0], a[f"hi_{p}"].iloc[0]
-            scaled.append((d - lo) / (hi - lo) if hi is not None and lo is not None and hi > lo else d * np.nan)
-        stacked = np.stack(scaled)
-        count = (~np.isnan(stacked)).sum(axis=0)
-        # a pair without any known distance is no neighbour
-        mean = np.where(count > 0, np.round(np.nansum(stacked, axis=0) / np.maximum(count, 1), 9), np.inf)
-        by_id = np.argsort(b[sku].to_numpy(), kind="stable")
-        order = by_id[np.argsort(mean[:, by_id], axis=1, kind="stable")[:, :nearest]]
-        row, place = np.nonzero(np.isfinite(np.take_along_axis(mean, order, axis=1)))
-        other = order[row, place]
+            return pd.DataFrame(columns=schema.names)
+        distances = _distances(a, b)
+        known = [d[~np.isnan(d)] for d in distances]
+        found = {f"{end}_{part}": f(d) if d.size else np.nan for part, d in zip(parts, known) for end, f in (("lo", np.min), ("hi", np.max))}
+        row, other = np.nonzero(_possible(distances, (a["__range"].iloc[0], 2.0, 1.0), nearest))
         out = a.iloc[row][[*by, sku]].reset_index(drop=True)
-        return out.assign(
-            distance=mean[row, other], reference=b[sku].to_numpy()[other], elasticity=b["elasticity"].to_numpy()[other], modelled_share=a["__share"].to_numpy()[row]
+        out = out.assign(
+            reference=b[sku].to_numpy()[other], elasticity=b["elasticity"].to_numpy()[other], modelled_share=a["__share"].to_numpy()[row],
+            **{part: d[row, other] for part, d in zip(parts, distances)},
         )
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, best_schema)
+        first = a.iloc[:1][list(by)].assign(**found)  # a row without a SKU: the extremes of the block
+        return pd.concat([out, first], ignore_index=True).reindex(columns=schema.names)
+
+    met = stage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    limits = met.filter(F.col(sku).isNull()).groupBy(*by).agg(*[(F.min if c.startswith("lo") else F.max)(known(c)).alias(f"__{c}") for c in ends])
+    pairs = join_keys(met.filter(F.col(sku).isNotNull()).drop(*ends), limits, by)
+    scaled = [safe_div(known(p) - F.col(f"__lo_{p}"), F.col(f"__hi_{p}") - F.col(f"__lo_{p}")) for p in parts]
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in scaled), F.lit(0.0))
+    count = sum((c.isNotNull().cast("int") for c in scaled), F.lit(0))
+    pairs = pairs.withColumn("distance", F.round(safe_div(total, count), 9)).filter("distance IS NOT NULL")  # without any known distance: no neighbour
     from tillmark.operators.series import top_n
 
-    kept = top_n(found, [*by, sku], [F.col("distance"), F.col("reference")], nearest)
-    share = F.max("modelled_share")
+    kept = top_n(pairs, [*by, sku], [F.col("distance"), F.col("reference")], nearest)
+    modelled = F.max("modelled_share")
     return kept.groupBy(*by, sku).agg(
         F.min_by("reference", "position").alias("nearest_sku"),
         F.min_by("elasticity", "position").alias("elasticity_nearest"),
         F.avg("elasticity").alias("elasticity_top3"),
-        F.when(share >= 0.77, "case 1").when(share >= 0.36, "case 2").otherwise("case 3").alias("case"),
+        F.when(modelled >= 0.77, "case 1").when(modelled >= 0.36, "case 2").otherwise("case 3").alias("case"),
     )
 
 
+def _possible(distances: Sequence[np.ndarray], most: Sequence[float], nearest: int) -> np.ndarray:
+    """Pairs (rows x references) that can be among a row's ``nearest`` by the mean of the distances, each divided by its range over a larger set.
+
+    That range is at least the one seen here and at most ``most``. Only pairs with the same distances known are compared: there the offsets of the
+    scaling cancel. A pair goes when ``nearest`` others of its kind are nearer under every scaling, by more than the rounding of the mean.
+    """
+    known = [~np.isnan(d) for d in distances]
+    weights = []
+    for d, k, top in zip(distances, known, most):
+        seen = float(d[k].max() - d[k].min()) if k.any() else 0.0
+        # a distance that is the same for all pairs here sets none of them apart
+        weights.append((1.0 / max(top, seen), 1.0 / seen) if seen > 0 else (0.0, 0.0))
+    kind = sum(k.astype(int) << p for p, k in enumerate(known))
+    possible = np.zeros(kind.shape, dtype=bool)
+    for code in np.unique(kind[kind > 0]):
+        own = kind == code
+        used = [p for p in range(len(distances)) if code >> p & 1]
+        middle = sum(np.sqrt(weights[p][0] * weights[p][1]) * np.where(own, distances[p], 0.0) for p in used)
+        first = np.argsort(np.where(own, middle, np.inf), axis=1, kind="stable")[:, :nearest]
+        behind = np.ones(own.shape, dtype=bool)
+        for r in range(nearest):
+            if r >= first.shape[1]:
+                behind[:] = False
+                break
+            at = first[:, r : r + 1]
+            gap = np.zeros(own.shape)
+            for p in used:
+                step = np.take_along_axis(distances[p], at, 1) - distances[p]
+                gap += np.maximum(weights[p][0] * step, weights[p][1] * step)
+            behind &= (gap < -1e-8) & np.take_along_axis(own, at, 1)
+        possible |= own & ~behind
+    return possible
+
+
 def accepted_and_imputed(skus: DataFrame, imputed: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:
     """Own elasticities where the flag accepts them, imputed ones elsewhere: criteria, top_1 (own or nearest) and top_3 (own or mean of three)."""
     own = skus.filter(F.col(flag) == 1).select(*keys, F.lit("accepted set").alias("criteria"), F.col(value).alias("top_1"), F.col(value).alias("top_3"))

@@ -61,7 +61,7 @@ def held_out_fit(df: DataFrame, by: Sequence[str], price: str, quantity: str, te
         F.avg(tx).alias("__mx"), F.avg(ty).alias("__my"), F.var_pop(tx).alias("__vx"), F.var_pop(ty).alias("__vy"), F.covar_pop(tx, ty).alias("__c"),
     ).filter((F.col("n_train") >= min_rows) & F.col("slope").isNotNull())
     b, bias = F.col("slope"), F.col("__my") - F.col("intercept") - F.col("slope") * F.col("__mx")
-    mse = F.greatest(F.col("__vy") + b * b * F.col("__vx") - 2 * b * F.col("__c") + bias * bias, F.lit(0.0))
+    mse = F.when(F.col("n_test") > 0, F.greatest(F.col("__vy") + b * b * F.col("__vx") - 2 * b * F.col("__c") + bias * bias, F.lit(0.0)))
     return m.select(
         *by, "n_train", "n_test", "slope", "intercept", "r2_train", (1 - safe_div(mse, "__vy")).alias("r2_test"), F.sqrt(mse).alias("rmse_test")
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import bpe, codebooks, ctw, flatfiles, langid, manifest, minhash, pages, quality, simhash, templates, transducer, vamana
+from tillmark.llm import bpe, codebooks, ctw, flatfiles, langid, manifest, minhash, oracles, pages, quality, simhash, templates, transducer, vamana
 from tillmark.llm.store import new_path
 
 #: The vocabulary of the token queries, and the most tokens that fit a context.
@@ -20,7 +20,7 @@ LANGUAGE_TEXTS = 100
 TRAINING_ROWS = 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle": oracles.OP11, "op12_codebooks": oracles.OP12, "op13_minhash": oracles.OP13}
 
 
 def query(f):

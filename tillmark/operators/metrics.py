@@ -42,6 +42,7 @@ def kpi_summary(
 
     Lines are reduced to receipts in one pass, each with its sums and its few different products. Receipts, customers and
     products are then counted as rows of one key each, and the counts meet per group, so no line is multiplied for the sake of a distinct count.
+    Lines without a receipt number share one set of products, which the catalog bounds.
     """
     receipts = stage(df.groupBy(*by, transaction, customer).agg(
         F.sum("amount").alias("__s"), F.sum("quantity").alias("__q"), F.sum("discount_amount").alias("__d"), F.collect_set(product).alias("__products"),

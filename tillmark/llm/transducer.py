@@ -224,7 +224,8 @@ class TextCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row's whole text.
 
-    A null or empty text has 0 bytes and tokens. Special strings inside texts count as their one token.
+    A null or empty text has 0 bytes and tokens. Special strings inside texts count as their one token. One row per row, repeated rows
+    included; an empty table gives none.
     """
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     kind = docs.schema[id].dataType.simpleString()

@@ -207,7 +207,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id",
     copies = rows.distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
     distinct = keep(copies.groupBy("v", "width").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")  # k + 1 ids at most
     total = distinct.groupBy("width").count().withColumn("shards", F.ceil(F.col("count") / F.lit(shard_rows)).cast("int"))
-    tasks = 2 * (total.agg(F.sum("shards")).first()[0] or 1)  # so that few tasks get more than one shard
+    tasks = total.agg(F.sum("shards")).first()[0] or 1
     total = F.broadcast(total.select("width", "shards"))  # a row for each vector length
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     nodes = distinct.join(total, "width").select("width", F.pmod(F.hash(F.element_at("ids", 1), F.lit(11)), "shards").alias("shard"), F.lit(0).alias("place"), none("long", "id"), "ids", "v")
@@ -259,7 +259,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id",
                 some = part.slice(at, 512)
                 yield answers(_matrix(some.column("v")), some.column("id").to_numpy(), *shard)
 
-    both = nodes.unionByName(asked).repartition(tasks, "width", "shard").sortWithinPartitions("width", "shard", "place")
+    # by ranges, since hashes would put several shards into some tasks and none into others
+    both = nodes.unionByName(asked).repartitionByRange(tasks, "width", "shard").sortWithinPartitions("width", "shard", "place")
     found = both.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -62,3 +62,17 @@ def test_utilities_of_the_chain(spark, chain):
         for r in ranging.choice_base(spark, FOLDER).collect()
     }
     assert got == pytest.approx(want, abs=5e-3)
+
+
+def test_share_coefficients_maximise_the_likelihood(spark):
+    """Units bought, level by level, are what the model expects."""
+    rng = np.random.default_rng(2)
+    rows = [(b, c, float(rng.integers(1, 100))) for b in "xyz" for c in "pq"]
+    got = delisting.share_coefficients(spark.createDataFrame(rows, "brand string, category string, units double"), ["brand", "category"]).collect()
+    beta = {(r["attribute"], r["level"]): r["beta"] for r in got}
+    assert beta["brand", "x"] == beta["category", "p"] == 0
+    weight = {(b, c): np.exp(beta["brand", b] + beta["category", c]) for b, c, _ in rows}
+    total = sum(u for *_, u in rows)
+    for n, level in [(0, b) for b in "xyz"] + [(1, c) for c in "pq"]:
+        expected = total * sum(w for k, w in weight.items() if k[n] == level) / sum(weight.values())
+        assert expected == pytest.approx(sum(r[2] for r in rows if r[n] == level))

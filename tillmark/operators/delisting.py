@@ -14,6 +14,22 @@ from tillmark.operators.joins import join_keys, with_group
 from tillmark.operators.ordered import running
 
 
+def share_coefficients(skus: DataFrame, attributes: Sequence[str], units: str = "units") -> DataFrame:
+    """(attribute, level, beta) of an additive logit over attribute levels, from what was bought.
+
+    With one constant for each level the likelihood is highest where the choice probabilities give back the levels' shares of units; over
+    the product of the levels a constant is the logarithm of its level's units over those of the base level, the first one in
+    order. No model is fitted row by row; :func:`tillmark.operators.models.fit_choice` does that where prices matter. Levels without units have no row.
+    """
+    out = None
+    for a in attributes:
+        per = skus.groupBy(F.col(a).cast("string").alias("level")).agg(F.sum(units).alias("__u")).filter(F.col("__u") > 0)
+        base = per.agg(F.min_by("__u", "level").alias("__base"))  # one row
+        part = per.crossJoin(F.broadcast(base)).select(F.lit(a).alias("attribute"), "level", F.ln(F.col("__u") / F.col("__base")).alias("beta"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def choice_value(
     skus: DataFrame, attributes: Sequence[str], coefficients: DataFrame, intercept: float, by: Sequence[str] = ()
 ) -> DataFrame:

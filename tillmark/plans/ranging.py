@@ -302,9 +302,9 @@ def _(spark, d):
 CHOICE = f"""
 u0 AS (SELECT department, brand, category, sum(quantity) AS units, sum(amount) / sum(quantity) AS price, sum(amount) AS sales, sum(amount * gp_percent / 100) AS gp,
   sum(amount * gp_percent / 100) / sum(amount) AS margin FROM ps WHERE {YEAR} GROUP BY ALL),
-bb AS (SELECT brand, (sum(units) / (SELECT sum(units) FROM u0) - 0.04) * 10 AS b FROM u0 GROUP BY 1),
-bc AS (SELECT category, (sum(units) / (SELECT sum(units) FROM u0) - 0.125) * 10 AS b FROM u0 GROUP BY 1),
-u1 AS (SELECT u0.*, -1.5 + bb.b + bc.b AS utility, exp(-1.5 + bb.b + bc.b) AS beta_exp FROM u0 JOIN bb USING (brand) JOIN bc USING (category)),
+bb AS (SELECT brand, ln(u / first_value(u) OVER (ORDER BY brand)) AS b FROM (SELECT brand, sum(units) AS u FROM u0 GROUP BY 1)),
+bc AS (SELECT category, ln(u / first_value(u) OVER (ORDER BY category)) AS b FROM (SELECT category, sum(units) AS u FROM u0 GROUP BY 1)),
+u1 AS (SELECT u0.*, bb.b + bc.b AS utility, exp(bb.b + bc.b) AS beta_exp FROM u0 JOIN bb USING (brand) JOIN bc USING (category)),
 ch AS (SELECT *, beta_exp / sum(beta_exp) OVER w AS probability, beta_exp / sum(beta_exp) OVER w * units AS prob_units, price * (beta_exp / sum(beta_exp) OVER w * units) * margin AS value,
   sales / sum(sales) OVER w AS sales_share, gp / sum(gp) OVER w AS gp_share FROM u1 WINDOW w AS (PARTITION BY department))"""
 
@@ -322,13 +322,8 @@ def choice_base(spark, d):
 
 def choice(spark, d):
     base = stage(choice_base(spark, d))
-    total = base.agg(F.sum("units").alias("t"))
-    betas = None
-    for a, mean in (("brand", 0.04), ("category", 0.125)):
-        part = base.groupBy(F.lit(a).alias("attribute"), F.col(a).alias("level")).agg(F.sum("units").alias("u"))
-        part = part.crossJoin(F.broadcast(total)).select("attribute", "level", ((F.col("u") / F.col("t") - mean) * 10).alias("beta"))
-        betas = part if betas is None else betas.unionByName(part)
-    valued = delisting.choice_value(base, ["brand", "category"], betas, -1.5, ["department"])
+    betas = delisting.share_coefficients(base, ["brand", "category"], "units")
+    valued = delisting.choice_value(base, ["brand", "category"], betas, 0.0, ["department"])
     out = metrics.share_of(valued, "sales", ["department"], "sales_share")
     return stage(metrics.share_of(out, "gp", ["department"], "gp_share").withColumn("sku", F.concat_ws(" ", "brand", "category")))
 

@@ -70,6 +70,22 @@ def test_ratios_to_every_sku_of_the_group(spark):
     assert got["h", "m1", "s99", "s99"] is None and got[None, "m1", "x", "x"] == 1
 
 
+def test_ratio_query_compares_all_brands_of_a_region_and_month(spark, tmp_path):
+    import random
+
+    import tables
+    from tillmark.plans.catalog import QUERIES
+
+    rows = QUERIES["price_ratios"](spark, tables.star(tmp_path / "star", random.Random(1), orders=400)).collect()
+    own = {}
+    for r in rows:
+        own.setdefault((r["region"], r["month"]), {})[r["brand"]] = r["avg_unit_price"]
+    assert len(rows) == sum(len(brands) ** 2 for brands in own.values())
+    for r in rows:
+        assert r["price_ratio"] == pytest.approx(r["avg_unit_price"] / own[r["region"], r["month"]][r["reference"]])
+    assert any(r["brand"][:7] != r["reference"][:7] for r in rows) and {"sales", "quantity", "stores", "demand_group"} <= set(rows[0].asDict())
+
+
 def test_skus_without_a_model_are_pooled(spark):
     rows = [("r", "good", "m1", 5.0, 9.0), ("r", "poor", "m1", 2.0, 4.0), ("r", "none", "m1", 3.0, 6.0), (None, "good", "m1", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "region string, sku string, month string, quantity double, sales double")

@@ -107,15 +107,15 @@ def monthly_sales(
 
 
 def price_ratios(df: DataFrame, sku: str, period: str, by: Sequence[str], price: str = "avg_unit_price") -> DataFrame:
-    """Price of each row over that of every SKU of its group in the same period: one row per SKU and reference SKU, itself included.
+    """Each row with its price over that of every SKU of its group in the same period: one row per SKU and reference SKU, itself included.
 
     ``by`` names the groups whose members are compared (demand group and region, say). The references are the SKUs that the
     data has, met over an equi-join on group and period, so a group of n SKUs gives n rows to each of its SKUs and no list is kept.
     """
     keys = [*by, period]
     other = df.select(*keys, F.col(sku).alias("reference"), F.col(price).alias("__reference_price"))
-    return join_keys(df.select(*keys, sku, price), other, keys, "inner").select(
-        *keys, sku, "reference", safe_div(price, "__reference_price").alias("price_ratio")
+    return join_keys(df, other, keys, "inner").select(
+        *df.columns, "reference", safe_div(price, "__reference_price").alias("price_ratio")
     )
 
 

@@ -54,10 +54,11 @@ def _(spark, d):
 
 @query("price_ratios", sql(f"""
 WITH {MONTHLY}, g AS (SELECT substr(brand, 1, 7) AS demand_group, * FROM mo)
-SELECT demand_group, region, month, a.brand, b.brand AS reference, a.avg_unit_price / b.avg_unit_price AS price_ratio FROM g a JOIN g b USING (demand_group, region, month)"""))
+SELECT a.*, b.brand AS reference, a.avg_unit_price / b.avg_unit_price AS price_ratio FROM g a JOIN mo b USING (region, month)"""))
 def _(spark, d):
+    """Every brand against every brand of its region and month, those of other demand groups included."""
     rows = monthly(spark, d).withColumn("demand_group", demand_group())
-    return pricing.price_ratios(rows, "brand", "month", ["demand_group", "region"])
+    return pricing.price_ratios(rows, "brand", "month", ["region"])
 
 
 @query("complement_price", sql(f"""

@@ -8,6 +8,8 @@ import time
 
 import pytest
 
+import tables
+from tillmark.plans.catalog import QUERIES
 from tillmark.streaming import windows
 
 SCHEMA = "ts timestamp, user_id long, value double"
@@ -58,3 +60,21 @@ def test_sessions_close_once(spark, folder):
 def test_late_rows_are_kept(spark, folder):
     late = windows.late_rows(stream(spark, folder), "1 day").collect()
     assert [tuple(r) for r in late] == [(at(1, 5), 7, 100.0)]
+
+
+@pytest.fixture
+def events(tmp_path):
+    """Two users over three days; the last day and the last sessions are open when the file ends."""
+    times = [(at(1, 5), 1), (at(1, 5, 30), 1), (at(1, 23), 2), (at(2, 8), 1), (at(3, 10), 2), (at(3, 10, 20), 2), (at(3, 10, 40), 1)]
+    rows = [{"event_id": k, "ts": ts, "user_id": user, "event_type": "view", "value": 2.0**k} for k, (ts, user) in enumerate(times)]
+    return tables.write(tmp_path / "events", events=rows)
+
+
+def test_window_query_has_the_open_windows(spark, events):
+    got = {r["window_start"][:10]: (r["events"], r["total"]) for r in QUERIES["stream_window_kpis"](spark, events).collect()}
+    assert got == {"2024-01-01": (3, 7.0), "2024-01-02": (1, 8.0), "2024-01-03": (3, 112.0)}
+
+
+def test_session_query_has_the_open_sessions(spark, events):
+    got = {(r["user_id"], r["start"][5:16]): (r["events"], r["total"]) for r in QUERIES["stream_session_kpis"](spark, events).collect()}
+    assert got == {(1, "01-01 05:00"): (2, 3.0), (2, "01-01 23:00"): (1, 4.0), (1, "01-02 08:00"): (1, 8.0), (2, "01-03 10:00"): (2, 48.0), (1, "01-03 10:40"): (1, 64.0)}

@@ -112,16 +112,15 @@ def _events(spark, d):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-# append mode returns what the watermark has closed: all but the last hour and what reaches into it
+# complete mode returns every window and session, those still open with what they have so far
 # event times carry no zone in the files; they are read as session time and written back the same way
 TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 @query("stream_window_kpis", """
-SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events
-WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def _(spark, d):
-    out = windows.run_once(windows.window_kpis(_events(spark, d), ["event_type"], "1 day"), "append")
+    out = windows.run_once(windows.window_kpis(_events(spark, d), ["event_type"], "1 day"), "complete")
     return out.select(
         F.date_format("window_start", TIME).alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean")
     )
@@ -130,9 +129,9 @@ def _(spark, d):
 @query("stream_session_kpis", """
 WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 3600000000 THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
 def _(spark, d):
-    out = windows.run_once(windows.session_kpis(_events(spark, d), "user_id", "1 hour"), "append")
+    out = windows.run_once(windows.session_kpis(_events(spark, d), "user_id", "1 hour"), "complete")
     return out.select("user_id", F.date_format("start", TIME).alias("start"), "events", F.round("total", 4).alias("total"))
 
 

@@ -26,35 +26,52 @@ def choice_dataset(
 
     The grid of receipts and attribute combinations is not built. Combinations are numbered, and every receipt
     walks over their numbers from a seeded start in seeded steps that have no factor in common with their count, so it meets
-    none twice. Walks of twice the mean receipt leave enough non-purchases once what was bought is taken out, and these are cut to
-    size in a seeded order. Prices of non-purchases are those of the next purchase of the combination, else of the
-    last one. The price is min-max scaled.
+    none twice. Walks of twice the mean receipt leave enough non-purchases once what was bought is taken out, which needs the
+    receipt's own numbers only, and these are cut to size in a seeded order: counts by the first digits of the hash tell where
+    the cut lies, so only rows that share them are sorted. Prices of non-purchases are those of the next purchase of the
+    combination, else of the last one. The price is min-max scaled; filling copies prices, so the purchases have its range.
     """
     bought = stage(purchases.groupBy(receipt, *attributes).agg(F.min(day).alias(day), F.avg(price).alias(price)))
-    size = bought.agg(F.count(F.lit(1)).alias("p"), F.countDistinct(receipt).alias("t"), F.countDistinct(*attributes).alias("k")).first()
-    p, k, cells = size["p"], size["k"], size["t"] * size["k"]
+    combos = stage(running(bought.select(*attributes).distinct(), [F.col(a).asc() for a in attributes], position="__c"))
+    k = combos.dropna(subset=list(attributes)).count()
+    own = bought.select(receipt, day, *attributes).join(combos, list(attributes), "left")
+    heads = stage(own.groupBy(receipt).agg(F.min(day).alias(day), F.count(F.lit(1)).alias("__n"), F.collect_set("__c").alias("__own")))
+    size = heads.agg(F.sum("__n").alias("p"), F.count(receipt).alias("t")).first()
+    p, cells = size["p"] or 0, size["t"] * k
     if cells <= p:
         raise ValueError("every receipt holds every combination: there is no non-purchase")
     wanted = min(p, cells - p)
     length = min(k, -(-2 * p // size["t"]))
     steps = [x for x in range(1, max(2, k)) if gcd(x, k) == 1][:64]
-    combos = running(bought.select(*attributes).distinct(), [F.col(a).asc() for a in attributes], position="__c")
     number = lambda salt: F.conv(F.substring(seeded_order(salt, receipt), 1, 8), 16, 10).cast("long")
     step = F.element_at(F.array(*[F.lit(x) for x in steps]), (number(seed + 1) % len(steps) + 1).cast("int"))
-    walks = bought.groupBy(receipt).agg(F.min(day).alias(day)).select(
-        receipt, day, F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: (number(seed) + j * step) % k + 1)).alias("__c")
-    )
-    drawn = walks.join(combos, "__c").drop("__c").join(bought.select(receipt, *attributes), [receipt, *attributes], "left_anti")
-    order = [seeded_order(seed + 2, receipt, *attributes), F.col(receipt), *[F.col(a) for a in attributes]]
-    others = running(drawn.select(receipt, *attributes, day), order, position="__pos").filter(F.col("__pos") <= wanted).drop("__pos")
+    walk = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: (F.col("__a") + j * F.col("__step")) % k + 1)
+    free = F.when(F.col(receipt).isNull(), walk).otherwise(F.array_except(walk, "__own"))
+    walks = heads.withColumn("__a", number(seed)).withColumn("__step", step).select(receipt, day, F.explode(free).alias("__c"))
+    hashed = seeded_order(seed + 2, receipt, *attributes)
+    drawn = stage(walks.join(combos, "__c").select(receipt, *attributes, day, F.substring(hashed, 1, 4).alias("__b")))
+    counts = running(drawn.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")), [F.col("__b")], sums={"__upto": "__n"})
+    edge = counts.filter(F.col("__upto") >= wanted).orderBy("__b").first()
+    others = drawn
+    if edge:
+        order = [hashed, F.col(receipt), *[F.col(a) for a in attributes]]
+        last = running(drawn.filter(F.col("__b") == edge["__b"]), order, position="__pos")
+        last = last.filter(F.col("__pos") <= wanted - (edge["__upto"] - edge["__n"])).drop("__pos")
+        others = drawn.filter(F.col("__b") < edge["__b"]).unionByName(last)
     both = bought.withColumn("purchase_flag", F.lit(1)).unionByName(
-        others.withColumn(price, F.lit(None).cast("double")).withColumn("purchase_flag", F.lit(0))
+        others.drop("__b").withColumn(price, F.lit(None).cast("double")).withColumn("purchase_flag", F.lit(0))
     )
-    keys = [F.col(day), F.col(receipt)]
-    filled = running(both, [key.desc() for key in keys], attributes, fills={"__next": price})
-    filled = running(filled, [key.asc() for key in keys], attributes, fills={"__last": price})
-    out = filled.withColumn(price, F.coalesce(price, "__next", "__last")).drop("__next", "__last")
-    out = with_group(out, [], [F.min(price).alias("__lo"), F.max(price).alias("__hi")])
+    # later the same day, else on the next day with a purchase, else the last purchase: days and combinations are few
+    known = F.col(price).isNotNull()
+    days = both.groupBy(*attributes, day).agg(F.min_by(price, F.when(known, F.struct(receipt))).alias("__first"))
+    later = Window.partitionBy(*attributes).orderBy(F.col(day).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*attributes, day, F.last("__first", ignorenulls=True).over(later).alias("__next"))
+    lasts = bought.groupBy(*attributes).agg(F.max_by(price, F.when(known, F.struct(day, receipt))).alias("__last"))
+    own_day = Window.partitionBy(*attributes, day).orderBy(F.col(receipt).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn(price, F.last(price, ignorenulls=True).over(own_day))
+    filled = join_keys(join_keys(filled, days, [*attributes, day]), lasts, attributes)
+    span = bought.agg(F.min(price).alias("__lo"), F.max(price).alias("__hi"))
+    out = filled.withColumn(price, F.coalesce(price, "__next", "__last")).crossJoin(F.broadcast(span))
     scaled = safe_div(F.col(price) - F.col("__lo"), F.col("__hi") - F.col("__lo"), 0)
     return out.withColumn(price, scaled).select(receipt, *attributes, price, "purchase_flag"), p / cells
 

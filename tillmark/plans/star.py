@@ -37,6 +37,11 @@ SCHEMAS = {
 }
 
 
+#: Bytes of the line file for each task of the join with the receipts, and how many tasks make it worth dealing.
+TASK_BYTES = 4 << 20
+LEAST_TASKS = 16
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
@@ -75,14 +80,26 @@ def receipts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def with_header(sold: DataFrame, d: str) -> DataFrame:
+    """Lines with their receipt header. Large tables are dealt to tasks by their size, so that what a task sorts and
+    aggregates behind this join does not grow with them; small ones are left to Spark."""
+    spark = sold.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/lineitem.parquet")
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    tasks, header = size // TASK_BYTES, receipts(spark, d)
+    if tasks >= LEAST_TASKS:
+        sold, header = (df.repartition(tasks, "transaction_id") for df in (sold, header))
+    return sold.join(header, "transaction_id")
+
+
 def all_transactions(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).join(receipts(spark, d), "transaction_id")
+    return with_header(lines(spark, d), d)
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     """Valid sales with their header. Filtered before the join, so the filter reaches the scan."""
     sold = tuple(f for f, t in TRANSACTION_TYPES.items() if t in SALE_TYPES)
-    return valid_sales(lines(spark, d, sold)).join(receipts(spark, d), "transaction_id")
+    return with_header(valid_sales(lines(spark, d, sold)), d)
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:

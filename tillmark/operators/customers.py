@@ -238,25 +238,24 @@ def rolling_retention(
 ) -> DataFrame:
     """Share of the customers of each ``window``-month window who buy in the month after it.
 
-    A purchase month is sent to the windows that contain it and to the one it follows, so all windows
-    come from one shuffle of distinct (customer, month) rows. Windows reaching past the data are left out.
+    A purchase month stands for the windows that contain it and none of the customer's months before, and for the return
+    to the window it follows, if the month before lies in that. So a window meets a customer once, and only counts per
+    month leave a task. Windows reaching past the data are left out.
     """
     every = tx.groupBy(*by, customer, month_number(day).alias("__m")).agg(F.count(F.lit(1)).alias("__n"))  # read once, for months and span
-    months = every.filter((F.col(customer).isNotNull()) & (F.col("__n") > 0))
-    marks = months.select(
-        *by,
-        customer,
-        F.explode(F.sequence(F.col("__m"), F.col("__m") + window)).alias("target"),
-        "__m",
-    )
-    per = marks.groupBy(*by, "target", customer).agg(
-        F.max((F.col("__m") < F.col("target")).cast("int")).alias("__in"),
-        F.max((F.col("__m") == F.col("target")).cast("int")).alias("__back"),
+    months = every.filter((F.col(customer).isNotNull()) & (F.col("__n") > 0) & F.col("__m").isNotNull())
+    before = F.lag("__m").over(Window.partitionBy(*by, customer).orderBy("__m"))
+    months = months.select(*by, "__m", before.alias("__p"))
+    back = F.col("__m") - F.col("__p") <= window
+    fresh = F.when(back, F.col("__p") + window + 1).otherwise(F.col("__m") + 1)
+    reached = F.when(fresh <= F.col("__m") + window, F.sequence(fresh, F.col("__m") + window))
+    marks = F.array_append(
+        F.transform(F.coalesce(reached, F.array().cast(f"array<{dict(months.dtypes)['__m']}>")), lambda t: F.struct(t.alias("target"), F.lit(1).alias("in"), F.lit(0).alias("back"))),
+        F.struct(F.col("__m").alias("target"), F.lit(0).alias("in"), F.coalesce(back, F.lit(False)).cast("int").alias("back")),
     )
+    per = months.select(*by, F.explode(marks).alias("__k")).select(*by, "__k.*")
     span = every.agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"))
-    out = per.filter("__in = 1").groupBy(*by, "target").agg(
-        F.count(F.lit(1)).alias("window_customers"), F.sum("__back").alias("returning")
-    )
+    out = per.groupBy(*by, "target").agg(F.sum("in").alias("window_customers"), F.sum("back").alias("returning")).filter("window_customers > 0")
     inside = out.crossJoin(F.broadcast(span)).filter(
         (F.col("target") - window >= F.col("__lo")) & (F.col("target") <= F.col("__hi"))
     )

@@ -427,8 +427,12 @@ we AS (SELECT brand, sum(sales) AS sales, sum(round(slope, 9) * sales) / sum(sal
 
 
 def weighted(spark, d):
-    fit = fitted(spark, d).select("region", "brand", F.round("elasticity", 9).alias("elasticity"))
-    s = star.sales(spark, d).groupBy("region", "brand").agg(F.sum("amount").alias("sales"))
+    from tillmark.session import stage
+
+    panel = stage(monthly(spark, d))  # the fit and the sales come from one pass over the lines
+    fit = elasticity.fit_elasticity(panel, ["region", "brand"], "avg_unit_price", "quantity", "loglog")
+    fit = stage(fit.select("region", "brand", F.round("elasticity", 9).alias("elasticity")))
+    s = panel.groupBy("region", "brand").agg(F.sum("sales").alias("sales"))
     return pricing.weighted_elasticity(joins.join_keys(fit, s, ["region", "brand"], "inner"), "brand", "elasticity")
 
 

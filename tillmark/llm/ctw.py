@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tillmark.llm.grouped import runs_of_keys
 from tillmark.llm.store import drop, keep
-from tillmark.llm.texts import LOWER, flat, pieces, strings, token_array, word_spans
+from tillmark.llm.texts import LOWER, flat, give_back, pieces, strings, token_array, word_spans
 
 #: Bytes of text in a chunk, about.
 CHUNK = 24 << 20
@@ -89,6 +89,8 @@ def _spread(ordered: DataFrame, schema: str, each) -> DataFrame:
             held, rows = table.slice(whole).to_batches(), len(group) - whole
         if rows:
             yield from each(pa.Table.from_batches(held).combine_chunks()).to_batches()
+        held = group = table = None
+        give_back()
 
     return ordered.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
 
@@ -255,6 +257,7 @@ def _asks(dealt: DataFrame, depth: int) -> DataFrame:
             if chunk != now and now is not None:
                 yield from out(now, grams, words)
                 grams, words, held = [], [], 0
+                give_back()
             now = chunk
             for part in pieces(rows, PIECE):
                 data, offsets = flat(strings(part.column("text")))
@@ -273,6 +276,8 @@ def _asks(dealt: DataFrame, depth: int) -> DataFrame:
                 words.append(pa.table({"word": pa.concat_arrays([tokens.dictionary, pa.array([b""], pa.large_binary())]), "n": np.append(n, learn.sum())}))
         if now is not None:
             yield from out(now, grams, words)
+        grams = words = part = data = offsets = codes = tokens = None
+        give_back()
 
     placed = dealt.select("chunk", "text", "learn").repartition("chunk").sortWithinPartitions("chunk")
     return placed.mapInArrow(run, "at int, key long, word binary, n long")
@@ -291,6 +296,8 @@ def _packed(answers: DataFrame, column: str, blob) -> DataFrame:
                 held, rows = [], 0
         if rows:
             yield out(held)
+        held = None
+        give_back()
 
     def out(held):
         table = pa.Table.from_batches(held).combine_chunks()
@@ -411,6 +418,7 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
         for (chunk, place), rows in runs_of_keys(batches, "at", "place"):
             if chunk != now:
                 now, held, known = chunk, ([], []), None
+                give_back()
             if place < 2:
                 held[place].extend((_words_in if place else _strings_in)(b) for b in rows.column("blob").to_pylist())
             else:
@@ -423,6 +431,8 @@ def score(docs: DataFrame, learn: Column, depth: int = 5, id: str = "doc_id", te
                     held, grams, log10, order = ([], []), None, None, None
                 for part in pieces(rows, PIECE):
                     yield scored(part, *known)
+        held = known = words = counts = part = rows = None
+        give_back()
 
     schema = f"id {kind}, learnt boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
     made = keep(stream.repartition("at").sortWithinPartitions("at", "place").mapInArrow(run, schema), "scores")

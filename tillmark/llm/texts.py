@@ -5,6 +5,8 @@ A record batch is cut into pieces of bounded size at row borders; one very long
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -83,3 +85,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions start, start + 1, ... of runs of the given lengths, behind each other."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on after a task, and would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -112,3 +112,19 @@ def test_query(spark):
         ids = np.array([*wanted(t), 2], dtype="<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_freed_memory_is_given_back():
+    import os
+
+    from tillmark.llm.texts import give_back
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    many = [bytearray(b"x" * 20_000) for _ in range(10_000)]
+    last, full = many[-1], held()
+    del many
+    give_back()
+    assert last and held() < full - 100

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 import zlib
 from collections import Counter
 
@@ -60,6 +62,40 @@ def test_long_words():
         assert COUNTER.batch(strings(pa.array([word])))[0] == len(wanted(word))
 
 
+def test_new_words_cost_less_than_calls_of_the_library():
+    """Of many different words, splitting, storing and merging together take less CPU than the library alone takes for these words as texts."""
+    rng = np.random.default_rng(5)
+    words = [" " + "".join(w) for w in rng.choice(list("etaoinshrdlu"), (60_000, 9))]
+    text = strings(pa.array(["".join(words[at : at + 500]) for at in range(0, len(words), 500)]))
+    own, library = [], []
+    for _ in range(3):
+        encoder, tokenizer = flatfiles.library_encoder(CONTENT)[0], Tokenizer.from_str(CONTENT)
+        began = time.process_time()
+        ids, _ = encoder.batch(text)
+        own.append(time.process_time() - began)
+        began = time.process_time()
+        made = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        library.append(time.process_time() - began)
+        assert ids.tolist() == [i for m in made for i in m]
+    assert min(own) < min(library)
+
+
+def test_store_starts_afresh(monkeypatch):
+    monkeypatch.setattr(bpe.Encoder, "STORE", 400)
+    texts = ["one two three", "three four", "", "one two", "five six seven one", "one"]
+    for encoder in (bpe.own_encoder(CONTENT), flatfiles.library_encoder(CONTENT)[0]):
+        for text in texts * 2:
+            assert encoder.batch(strings(pa.array([text])))[0].tolist() == wanted(text)
+            assert len(encoder.store) < 8
+
+
+def test_normalizer():
+    made = json.loads(CONTENT)
+    made["normalizer"] = {"type": "Lowercase"}
+    encoder = flatfiles.library_encoder(json.dumps(made))[0]
+    assert encoder.batch(strings(pa.array(["ONE Two", "\u00c9"])))[0].tolist() == [*wanted("one two"), *wanted("\u00e9")]
+
+
 def test_counts(spark):
     docs = documents(spark)
     got = Counter(tuple(r) for r in transducer.token_counts(docs, PATH, 5).collect())

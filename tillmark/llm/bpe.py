@@ -89,27 +89,37 @@ class Encoder:
 
     def __init__(self, special: dict[str, int], new_words):
         self.special, self.new_words = special, new_words
-        self.store: dict[bytes, bytes] = {}  # word -> its ids, packed
+        self._forget()
+
+    def _forget(self) -> None:
+        self.store: dict[bytes, int] = {}  # word -> its number
+        self.ids, self.borders = array("I"), array("q", [0])  # the ids of all stored words by number, and where each word's end
         self.stored = 0
 
     def _words(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pre-tokens behind each other, and how many each has."""
+        if self.stored > self.STORE:
+            self._forget()
         words, index = coded(tokens)
-        get = self.store.get
-        ids = [get(w) for w in words]
-        new = [k for k, x in enumerate(ids) if x is None]
-        if new:
-            if self.stored > self.STORE:
-                self.store, self.stored = {}, 0
-            for k, made in zip(new, self.new_words([words[k] for k in new])):
-                ids[k] = self.store[words[k]] = array("I", made).tobytes()
-                self.stored += 5 * len(words[k]) + 180
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         if not len(index):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        every = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        begin = np.cumsum(length) - length
-        return every[ragged(begin[index], length[index])], length[index]
+        get = self.store.get
+        number = np.array([get(w, -1) for w in words], dtype=np.int64)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new = [words[k] for k in unknown.tolist()]
+            lengths = []
+            for made in self.new_words(new):
+                self.ids.extend(made)
+                lengths.append(len(made))
+            self.borders.extend((self.borders[-1] + np.cumsum(lengths)).tolist())
+            number[unknown] = np.arange(len(self.store), len(self.store) + len(new))
+            self.store.update(zip(new, number[unknown].tolist()))
+            self.stored += sum(map(len, new)) * 5 + 180 * len(new)
+        borders = np.array(self.borders, dtype=np.int64)
+        begin = borders[number]
+        length = (borders[number + 1] - begin)[index]
+        return np.array(self.ids, dtype=np.uint32)[ragged(begin[index], length)], length
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and where each text's ids start (one more entry)."""

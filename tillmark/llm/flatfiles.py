@@ -20,27 +20,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm.bpe import Encoder
+from tillmark.llm.bpe import Encoder, byte_letters
 from tillmark.llm.texts import pieces, strings
 
 
 def library_encoder(content: str) -> tuple[Encoder, int]:
-    """An encoder whose pre-tokens the tokenizers library encodes, and the size of the vocabulary."""
+    """An encoder whose pre-tokens the tokenizers library encodes, and the size of the vocabulary.
+
+    Pre-tokens go straight to the library's merges, in the letters of the vocabulary file; all of the library runs on them only if the vocabulary
+    has a normalizer or another splitter before the merges.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_str(content)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-
-    def new_words(words):
+    tokenize = tokenizer.model.tokenize
+    letter = np.zeros(256, dtype="<u4")
+    for c, b in byte_letters().items():
+        letter[b] = ord(c)
+
+    def merged(words):
+        letters = letter[np.frombuffer(b"".join(words), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        at = 0
+        for word in words:
+            yield [t.id for t in tokenize(letters[at : at + len(word)])]
+            at += len(word)
+
+    def whole(words):
         for at in range(0, len(words), 1 << 14):
             for made in fast([w.decode() for w in words[at : at + (1 << 14)]], add_special_tokens=False):
                 yield made.ids
 
-    return Encoder(special, new_words), tokenizer.get_vocab_size()
+    splitter = tokenizer.pre_tokenizer
+    plain = tokenizer.normalizer is None and isinstance(splitter, pre_tokenizers.ByteLevel) and not splitter.add_prefix_space
+    return Encoder(special, merged if plain else whole), tokenizer.get_vocab_size()
 
 
 def _make_folder(uri: str) -> None:
@@ -105,7 +122,7 @@ def open_part(folder: str, name: str, kind: str) -> tuple[np.ndarray, np.ndarray
 
     def numbers(path, dtype):
         if isinstance(store, fs.LocalFileSystem):
-            return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+            return np.asarray(np.memmap(path, dtype=dtype, mode="r")) if os.path.getsize(path) else np.zeros(0, dtype)
         with store.open_input_file(path) as f:
             return np.frombuffer(f.read(), dtype=dtype)
 

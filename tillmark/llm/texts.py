@@ -78,7 +78,7 @@ def token_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
 def coded(tokens: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """Distinct tokens, and for each token the index of its own among them."""
     made = tokens.dictionary_encode()
-    return made.dictionary.to_pylist(), made.indices.to_numpy(zero_copy_only=False)
+    return made.dictionary.to_numpy(zero_copy_only=False).tolist(), made.indices.to_numpy(zero_copy_only=False)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
